@@ -82,24 +82,28 @@ def qcut_score(df: DataFrame, value: str, q: int, out: str, by=(), drop_duplicat
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), label + base)).drop("edges")
 
 
-def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None) -> DataFrame:
-    """Equal-width histogram over ``[min, max]`` (last bin closed).
+def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None, by=()) -> DataFrame:
+    """Equal-width histogram over ``[min, max]`` (last bin closed), per ``by`` group.
 
-    Returns ``(bin, bin_start, bin_end, [hue], count)`` for non-empty bins;
-    ``bin`` is 1-based.  A constant column gets the range ``x ± 0.5``.
+    Returns ``(*by, bin, bin_start, bin_end, [hue], count)`` for non-empty
+    bins; ``bin`` is 1-based.  A constant column gets the range ``x ± 0.5``.
+    The range table has one row per group (one row without groups).
     """
-    rng = df.agg(F.min(value).alias("_lo0"), F.max(value).alias("_hi0"))
+    by = _cols(by)
+    d = df.where(F.col(value).isNotNull())
+    rng = d.groupBy(*by).agg(F.min(value).alias("_lo0"), F.max(value).alias("_hi0"))
     rng = rng.select(
-        F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
-        F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
+        *by,
+        F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).cast("double").alias("_lo"),
+        F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).cast("double").alias("_hi"))
     x = F.col(value).cast("double")
     b = F.least(F.floor((x - F.col("_lo")) * F.lit(bins) / (F.col("_hi") - F.col("_lo"))).cast("long") + 1,
                 F.lit(bins).cast("long"))
-    keys = ["bin"] + ([hue] if hue else [])
-    d = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(rng)).withColumn("bin", b)
+    keys = [*by, "bin"] + ([hue] if hue else [])
+    d = (d.crossJoin(F.broadcast(rng)) if not by else d.join(rng, by)).withColumn("bin", b)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     return (d.groupBy(*keys, "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
-             .select("bin",
+             .select(*by, "bin",
                      (F.col("_lo") + (F.col("bin") - 1) * width).alias("bin_start"),
                      (F.col("_lo") + F.col("bin") * width).alias("bin_end"),
                      *([hue] if hue else []), "count"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import floor_days, minus_days, month_start
-from tenure.operators.common import AMT, DRV, KIND, TS, TX, drivers, ref_date, sum0, with_ref
+from tenure.operators.common import AMT, DRV, KIND, TS, TX, drivers, mavg, ref_date, sum0, with_ref
 
 
 def churn_basic_metrics(t: DataFrame, window_days: int = 30) -> DataFrame:
@@ -31,7 +31,7 @@ def churn_basic_metrics(t: DataFrame, window_days: int = 30) -> DataFrame:
         F.count(F.lit(1)).alias("total_drivers"),
         F.count_if(F.col("last") < F.col("_cut")).alias("churned_drivers"),
         F.count_if(active).alias("_n_active"),
-        F.avg(F.when(active, F.col("total") / F.lit(window_days / 30.0))).alias("_active_rev"),
+        (mavg(F.when(active, F.col("total"))) / F.lit(window_days / 30.0)).alias("_active_rev"),
     )
     rate = F.try_divide(F.col("churned_drivers"), F.col("total_drivers"))
     return agg.select(
@@ -81,7 +81,7 @@ def revenue_before_churn(t: DataFrame, window_days: int = 30, pre_churn_window:
     rows = drivers(t).select(DRV, TS, AMT).join(ch, DRV)
     in_win = F.col(TS) >= minus_days("last_transaction", pre_churn_window)
     per = rows.groupBy(DRV).agg(sum0(F.when(in_win, F.col(AMT))).alias("rev"))
-    return per.agg(F.coalesce(F.avg("rev"), F.lit(0.0)).alias("avg_revenue_before_churn"))
+    return per.agg(F.coalesce(mavg("rev"), F.lit(0.0)).alias("avg_revenue_before_churn"))
 
 
 def churn_by_segment(t: DataFrame, col: str = KIND, window_days: int = 30) -> DataFrame:

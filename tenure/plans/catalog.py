@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.plans.sqlviews import ACT_CTE, PRICING_CTE, PROFILE_CTE, T_CTE, sql
+from tenure.plans.sqlviews import ACT_CTE, PRICING_CTE, PROFILE_CTE, T_CTE, mavg, msum, sql
 from tenure.plans.sqlviews import floor_days as fd
 from tenure.sources import load_activity, load_customer_profile, load_pricing, load_transactions
 
@@ -65,4 +65,4 @@ PER_LAST = "per AS (SELECT driver_id, max(transaction_date) AS last FROM t WHERE
 CHURNED = ("ch AS (SELECT p.driver_id, p.last AS last_transaction FROM per p, ref "
            "WHERE p.last < ref.ref_date - INTERVAL 30 DAY)")
 
-from tenure.plans import queries_churn, queries_more  # noqa: E402,F401  (registration)
+from tenure.plans import queries_churn, queries_monthly, queries_drivers, queries_cohort  # noqa: E402,F401,I001

@@ -20,16 +20,6 @@ PRICING_CTE = """pr AS (
          l_extendedprice * (1 - l_discount) AS revenue, p_brand AS segment
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
-PROFILE_CTE = """prof AS (
-  SELECT c_custkey AS driver_id, c_acctbal AS acctbal, o.data_cadastro, o.ultima_data_ativo,
-         o.valor_medio_corrida, o.numero_corridas
-  FROM customer LEFT JOIN (
-     SELECT o_custkey, CAST(min(o_orderdate) AS TIMESTAMP) AS data_cadastro,
-            CAST(max(o_orderdate) AS TIMESTAMP) AS ultima_data_ativo,
-            count(o_orderkey) AS numero_corridas, avg(o_totalprice) AS valor_medio_corrida
-     FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey)"""
-
-
 def floor_days(a: str, b: str) -> str:
     """DuckDB text of floor of whole days from ``a`` to ``b``."""
     return f"CAST(floor((epoch_us({b}) - epoch_us({a})) / 86400000000.0) AS BIGINT)"
@@ -39,3 +29,30 @@ def sql(*parts: str) -> str:
     """``WITH part1, part2, ... <body>``: all but the last part are CTEs."""
     *ctes, body = parts
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+
+
+def msum(e: str) -> str:
+    """DuckDB exact money sum as double (matches ``dsum0``)."""
+    return f"CAST(coalesce(sum(CAST({e} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+
+
+def mavg(e: str) -> str:
+    """DuckDB exact money mean, half-up at 6 decimals, as double (matches ``mavg``).
+
+    Integer arithmetic on cents: DuckDB's own ``avg(DECIMAL)`` returns a
+    double, not the exact decimal quotient.
+    """
+    s = f"CAST(sum(CAST({e} AS DECIMAL(38,2))) * 100 AS HUGEINT)"
+    n = f"NULLIF(count({e}), 0)"
+    return (f"(CAST(CASE WHEN {s} >= 0 THEN (2 * {s} * 10000 + {n}) // (2 * {n}) "
+            f"ELSE -((-2 * {s} * 10000 + {n}) // (2 * {n})) END AS DOUBLE) / 1000000.0)")
+
+
+PROFILE_CTE = f"""prof AS (
+  SELECT c_custkey AS driver_id, c_acctbal AS acctbal, o.data_cadastro, o.ultima_data_ativo,
+         o.valor_medio_corrida, o.numero_corridas
+  FROM customer LEFT JOIN (
+     SELECT o_custkey, CAST(min(o_orderdate) AS TIMESTAMP) AS data_cadastro,
+            CAST(max(o_orderdate) AS TIMESTAMP) AS ultima_data_ativo,
+            count(o_orderkey) AS numero_corridas, {mavg('o_totalprice')} AS valor_medio_corrida
+     FROM orders GROUP BY o_custkey) o ON c_custkey = o.o_custkey)"""

@@ -86,7 +86,7 @@ def load_customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("o_orderdate").cast("timestamp_ntz").alias("data_cadastro"),
         F.max("o_orderdate").cast("timestamp_ntz").alias("ultima_data_ativo"),
         F.count("o_orderkey").alias("numero_corridas"),
-        F.avg("o_totalprice").alias("valor_medio_corrida"),
+        F.avg(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("valor_medio_corrida"),
     )
     return c.join(o, c.c_custkey == o.o_custkey, "left").select(
         F.col("c_custkey").alias("driver_id"),
