@@ -5,7 +5,8 @@ by a key that may hold a third of all rows) runs in one task.  The helpers
 here replace it by
 
 1. a global sort (range partitioning: a hot key is split across partitions
-   because the sort key ends in a unique tie-breaker),
+   because the sort key ends in a unique tie-breaker), written once to the
+   checkpoint folder,
 2. per-partition row counts — one row per partition, so a proven small
    broadcast — turned into offsets, giving every row its global index
    ``_gidx``,
@@ -27,13 +28,19 @@ _LOW33 = (1 << 33) - 1
 def global_order(df: DataFrame, order_cols: list, idx: str = GIDX) -> DataFrame:
     """Add ``_pid`` and the 0-based global row index ``idx`` in ``order_cols`` order.
 
-    ``order_cols`` should end in a unique column so that the order (and the
-    index, on recomputation after an executor loss) is deterministic.
+    ``order_cols`` should end in a unique column so that the order is total.
+    The sorted rows are checkpointed (shared checkpoint folder) before the
+    per-partition counts are taken: Spark seeds a range partitioner's
+    sample with the RDD id, so two separately planned sorts of the same rows
+    may cut partitions differently — both the counts and the rows must come
+    from one materialised copy.  The checkpoint also cuts the lineage, so a
+    lost executor recomputes from it.
     """
+    from tenure.session import cut_lineage
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    s = (df.orderBy(*cols)
-           .withColumn(PID, F.spark_partition_id())
-           .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
+    s = cut_lineage(df.orderBy(*cols)
+                      .withColumn(PID, F.spark_partition_id())
+                      .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     counts = s.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: safe to broadcast and to order in one task

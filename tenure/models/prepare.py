@@ -35,11 +35,19 @@ def split_positions(df: DataFrame, label: str, id_col: str = "driver_id", seed:
 
 
 def stratified_split(df: DataFrame, label: str = "churn", test_size: float = 0.2, seed: int = 42,
-                     id_col: str = "driver_id", folds: int = 5) -> tuple[DataFrame, DataFrame]:
+                     id_col: str = "driver_id", folds: int = 5,
+                     materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Deterministic stratified train / test split: in each class the first
     ``round(test_size · n)`` rows of the seeded order go to test.  The train
-    part carries a stratified ``fold`` column (0..folds-1) for CV."""
+    part carries a stratified ``fold`` column (0..folds-1) for CV.
+
+    ``materialize`` checkpoints the marked rows to the shared checkpoint
+    folder first: model fitting reads the split many times (every fold and
+    grid point), and a lost executor then recomputes from the checkpoint."""
     p = split_positions(df, label, id_col, seed)
+    if materialize:
+        from tenure.session import cut_lineage
+        p = cut_lineage(p)
     n_test = F.floor(F.lit(test_size) * F.col("_class_n") + 0.5)
     is_test = F.col("_pos") < n_test
     marked = p.withColumn("_test", is_test).withColumn(

@@ -65,4 +65,4 @@ PER_LAST = "per AS (SELECT driver_id, max(transaction_date) AS last FROM t WHERE
 CHURNED = ("ch AS (SELECT p.driver_id, p.last AS last_transaction FROM per p, ref "
            "WHERE p.last < ref.ref_date - INTERVAL 30 DAY)")
 
-from tenure.plans import queries_churn, queries_monthly, queries_drivers, queries_cohort, queries_features, queries_pricing  # noqa: E402,F401,I001
+from tenure.plans import queries_churn, queries_monthly, queries_drivers, queries_cohort, queries_features, queries_pricing, queries_eval  # noqa: E402,F401,I001
