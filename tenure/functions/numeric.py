@@ -137,7 +137,7 @@ def _solve_quadratic() -> list[Column]:
     det = s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2)
     da = t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)
     db = s4 * (t1 * n - t0 * s1) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)
-    dc = s4 * (s2 * t0 - s1 * t1) - s3 * (s3 * t0 - s1 * t2) + t2 * (s3 * s1 - s2 * s2)
+    dc = s4 * (s2 * t0 - s1 * t1) - s3 * (s3 * t0 - s2 * t1) + t2 * (s3 * s1 - s2 * s2)
     A, B, C = F.try_divide(da, det), F.try_divide(db, det), F.try_divide(dc, det)
     a = A / (s * s)
     b = B / s - 2 * A * m / (s * s)

@@ -141,12 +141,21 @@ def calibration(s: DataFrame, q: int = 10) -> DataFrame:
                                 F.count(F.lit(1)).alias("n"))
 
 
+def safe_corr(x, y) -> F.Column:
+    """Pearson correlation over the rows where both are non-NULL; NULL for a
+    constant column (``corr`` raises division by zero in ANSI mode)."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    y = (F.col(y) if isinstance(y, str) else y).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    xb, yb = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(xb, yb), F.stddev_pop(xb) * F.stddev_pop(yb))
+
+
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations as long rows (x, y, r), from one
     aggregation of k(k+1)/2 ``corr`` expressions."""
     pairs = list(itertools.combinations_with_replacement(range(len(cols)), 2))
-    agg = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"r_{i}_{j}")
-                   for i, j in pairs])
+    agg = df.agg(*[safe_corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
     cells = []
     for i, j in pairs:
         cells.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), F.col(f"r_{i}_{j}").alias("r")))
@@ -157,8 +166,7 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def churn_correlation(df: DataFrame, features: list[str], label: str = "churn") -> DataFrame:
     """|corr(feature, label)| per feature, ascending."""
-    agg = df.agg(*[F.abs(F.corr(F.col(f).cast("double"), F.col(label).cast("double"))).alias(f"c{i}")
-                   for i, f in enumerate(features)])
+    agg = df.agg(*[F.abs(safe_corr(f, label)).alias(f"c{i}") for i, f in enumerate(features)])
     cells = [F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, f in enumerate(features)]
     return agg.select(F.explode(F.array(*cells)).alias("c")).select("c.*").orderBy("correlation")
 

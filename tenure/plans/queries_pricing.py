@@ -23,7 +23,7 @@ def quad_sql(src: str, x: str, y: str, by: str | None = None) -> list[str]:
         """qdet AS (SELECT *, s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2) AS det,
             t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0) AS da,
             s4 * (t1 * n - t0 * s1) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2) AS db,
-            s4 * (s2 * t0 - s1 * t1) - s3 * (s3 * t0 - s1 * t2) + t2 * (s3 * s1 - s2 * s2) AS dc FROM qs)""",
+            s4 * (s2 * t0 - s1 * t1) - s3 * (s3 * t0 - s2 * t1) + t2 * (s3 * s1 - s2 * s2) AS dc FROM qs)""",
         """qabc AS (SELECT *, da / det AS A, db / det AS B, dc / det AS C FROM qdet)""",
         f"""qf AS (SELECT {b}n, A / (s * s) AS a, B / s - 2 * A * m / (s * s) AS b,
             A * m * m / (s * s) - B * m / s + C AS c, (m * 2 * A - B * s) / (2 * A) AS vertex_x,
