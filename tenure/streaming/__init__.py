@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming code (no watermarks, windows or state); its
+"automatic updates" are a re-run of the batch job over the stored data.  The
+batch job here writes processed transactions partitioned by month
+(:func:`tenure.plans.pipeline.write_processed`), so a re-run reads only the
+partitions it needs.  No streaming operator is built, because the reference
+has none to match.
+"""
