@@ -24,8 +24,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by=()) -> Dat
     Returns long rows ``(*by, prob, quantile)``.  NULL values are skipped.
     """
     by = _cols(by)
-    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    ordered = global_order(base, [*by, "_v"])
+    # the row id breaks ties: a value held by a third of the rows is still
+    # split over many range partitions
+    base = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"),
+                                                      F.monotonically_increasing_id().alias("_tie"))
+    ordered = global_order(base, [*by, "_v", "_tie"])
     grp = ordered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min(GIDX).alias("_start"))
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     tgt = (grp.select(*by, "_n", "_start", F.explode(probs_arr).alias("prob"))
@@ -62,6 +65,26 @@ def qcut_edges(df: DataFrame, value: str, q: int, by=()) -> DataFrame:
     return qs.groupBy(*by).agg(e) if by else qs.agg(e)
 
 
+def _count_below(edges: Column, x: Column) -> Column:
+    """Number of inner edges (all but the first and last) strictly below ``x``."""
+    inner = F.slice(edges, 2, F.size(edges) - 2)
+    return F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(e < x, 1).otherwise(0))
+
+
+def qcut_scores(df: DataFrame, values: list[str], q: int, suffix: str = "_score", base: int = 1) -> DataFrame:
+    """:func:`qcut_score` for several columns with one sort: the columns are
+    unpivoted to (column, value), their edges found together, and one row of
+    edge arrays (one per column) is broadcast."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x"))
+                                         for c in values])).alias("_s")).select("_s._c", "_s._x")
+    edges = qcut_edges(long, "_x", q, by="_c")
+    row = edges.groupBy().pivot("_c", values).agg(F.first("edges"))  # one row, one array per column
+    x = df.crossJoin(F.broadcast(row.select(*[F.col(c).alias(f"_e_{c}") for c in values])))
+    for c in values:
+        x = x.withColumn(c + suffix, F.when(F.col(c).isNotNull(), _count_below(F.col(f"_e_{c}"), F.col(c)) + base))
+    return x.drop(*[f"_e_{c}" for c in values])
+
+
 def qcut_score(df: DataFrame, value: str, q: int, out: str, by=(), drop_duplicates: bool = False,
                base: int = 1) -> DataFrame:
     """``qcut(x, q, labels=False) + base`` as a column ``out``.

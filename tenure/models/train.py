@@ -31,7 +31,7 @@ def _estimator(kind: str, label: str, seed: int):
 
 
 def train(df: DataFrame, features: list[str], label: str = "churn", kind: str = "rf", grid: dict | None = None,
-          folds: int = 5, seed: int = 42, parallelism: int = 2) -> CrossValidatorModel:
+          folds: int = 5, seed: int = 42, parallelism: int | None = None) -> CrossValidatorModel:
     """Grid search with k-fold CV on ROC-AUC.  ``df`` must carry the
     stratified ``fold`` column of :func:`tenure.models.prepare.stratified_split`."""
     est = _estimator(kind, label, seed)
@@ -43,7 +43,7 @@ def train(df: DataFrame, features: list[str], label: str = "churn", kind: str =
         pb = pb.addGrid(est.getParam(name), values)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=pb.build(), evaluator=ev, numFolds=folds,
-                        foldCol="fold", parallelism=parallelism, seed=seed)
+                        foldCol="fold", parallelism=parallelism or folds, seed=seed)
     return cv.fit(df.withColumn(label, F.col(label).cast("double")))
 
 

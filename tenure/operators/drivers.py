@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.numeric import exact_quantiles, histogram, qcut_score
+from tenure.functions.numeric import exact_quantiles, histogram, qcut_scores
 from tenure.functions.timeutil import floor_days, month_start, plus_days
 from tenure.operators.common import AMT, DRV, KIND, TS, drivers, dsum0, mavg, ref_date, with_ref
 from tenure.sources.schema import KINDS
@@ -140,8 +140,7 @@ def rfm_scores(t: DataFrame, q: int = 5) -> DataFrame:
                                       dsum0(AMT).alias("monetary"))
     x = with_ref(per, ref_date(t)).withColumn("recency", floor_days("_last", plus_days("ref_date", 1)))
     x = x.select(DRV, "recency", "frequency", "monetary")
-    for m in ("recency", "frequency", "monetary"):
-        x = qcut_score(x, m, q, f"{m}_score")
+    x = qcut_scores(x, ["recency", "frequency", "monetary"], q)
     x = x.withColumn("recency_score", (q + 1) - F.col("recency_score"))
     return (x.withColumn("rfm_score", F.col("recency_score") * 100 + F.col("frequency_score") * 10
                          + F.col("monetary_score"))

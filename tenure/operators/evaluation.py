@@ -152,16 +152,21 @@ def safe_corr(x, y) -> F.Column:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as long rows (x, y, r), from one
-    aggregation of k(k+1)/2 ``corr`` expressions."""
+    """Pairwise-complete Pearson correlations as long rows (x, y, r).
+
+    Each row is exploded into its k(k+1)/2 column pairs and grouped by pair:
+    three small aggregates per group stay in whole-stage codegen and partial
+    aggregation leaves one row per pair and task to shuffle (a single
+    aggregation with 3·k(k+1)/2 expressions compiles poorly)."""
     pairs = list(itertools.combinations_with_replacement(range(len(cols)), 2))
-    agg = df.agg(*[safe_corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, j in pairs:
-        cells.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), F.col(f"r_{i}_{j}").alias("r")))
-        if i != j:
-            cells.append(F.struct(F.lit(cols[j]).alias("x"), F.lit(cols[i]).alias("y"), F.col(f"r_{i}_{j}").alias("r")))
-    return agg.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    st = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                                      F.col(cols[i]).cast("double").alias("a"),
+                                      F.col(cols[j]).cast("double").alias("b")) for i, j in pairs])).alias("p")
+    r = df.select(st).select("p.*").groupBy("i", "j").agg(safe_corr("a", "b").alias("r"))
+    names = F.array(*[F.lit(c) for c in cols])
+    both = r.select(F.col("i").alias("xi"), F.col("j").alias("yi"), "r").unionByName(
+        r.where(F.col("i") != F.col("j")).select(F.col("j").alias("xi"), F.col("i").alias("yi"), "r"))
+    return both.select(names[F.col("xi")].alias("x"), names[F.col("yi")].alias("y"), "r")
 
 
 def churn_correlation(df: DataFrame, features: list[str], label: str = "churn") -> DataFrame:
