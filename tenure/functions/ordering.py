@@ -7,9 +7,9 @@ here replace it by
 1. a global sort (range partitioning: a hot key is split across partitions
    because the sort key ends in a unique tie-breaker), written once to the
    checkpoint folder,
-2. per-partition row counts — one row per partition, so a proven small
-   broadcast — turned into offsets, giving every row its global index
-   ``_gidx``,
+2. per-partition row counts — one row per partition, bounded by the
+   partition count — turned into offsets (as ``RDD.zipWithIndex`` does),
+   giving every row its global index ``_gidx``,
 3. equi-joins on ``_gidx`` (lags) or per-partition windows plus a carry-in
    from the preceding partitions (running sums, forward fill).
 
@@ -41,13 +41,19 @@ def global_order(df: DataFrame, order_cols: list, idx: str = GIDX) -> DataFrame:
     s = cut_lineage(df.orderBy(*cols)
                       .withColumn(PID, F.spark_partition_id())
                       .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
-    counts = s.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: safe to broadcast and to order in one task
-    offsets = counts.select(PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (s.join(F.broadcast(offsets), PID)
-             .withColumn(idx, F.col("_off") + F.col("_local"))
-             .drop("_off", "_local"))
+    # Row counts per partition, as RDD.zipWithIndex does: one small job whose
+    # result has one row per partition (bounded by the partition count, not
+    # by the data).  The offsets become a literal array indexed by partition
+    # id, so later reads need no join and no second pass over the rows.
+    counts = dict(s.groupBy(PID).agg(F.count(F.lit(1)).alias("_n")).collect())
+    n_parts = max(counts) + 1 if counts else 0
+    offsets, acc = [], 0
+    for p in range(n_parts):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(PID) + 1) if offsets \
+        else F.lit(0).cast("long")
+    return s.withColumn(idx, off + F.col("_local")).drop("_local")
 
 
 def shift_ordered(df: DataFrame, cols: list[str], k: int, key: str | None = None,

@@ -64,12 +64,15 @@ def value_trend(t: DataFrame, ordered: DataFrame | None = None) -> DataFrame:
              .agg(F.regr_slope(F.col(AMT), F.col(GIDX).cast("double")).alias("value_trend")))
 
 
-def _driver_stats(t: DataFrame) -> DataFrame:
+def _driver_stats(t: DataFrame, with_slope: bool = False) -> DataFrame:
+    """All per-driver statistics in one aggregation (partial, skew-safe);
+    with ``with_slope`` ``t`` must carry ``_gidx`` and the slope is added."""
+    slope = [F.regr_slope(F.col(AMT), F.col(GIDX).cast("double")).alias("value_trend")] if with_slope else []
     return t.where(F.col(DRV).isNotNull()).groupBy(DRV).agg(
         F.count(TS).alias("transaction_frequency"), F.min(TS).alias("_first"), F.max(TS).alias("_last"),
         mavg(AMT).alias("avg_payment"), F.stddev_samp(AMT).alias("payment_volatility"),
         (F.max(AMT) - F.min(AMT)).alias("payment_range"),
-        dsum0(AMT).alias("total_value"))
+        dsum0(AMT).alias("total_value"), *slope)
 
 
 def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "monetary", "risk", "interaction")) -> DataFrame:
@@ -80,16 +83,12 @@ def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "moneta
     base_cols = list(t.columns)
     if need_roll or need_mon:
         o = _ordered(t)
-        if need_roll:
-            rows = rolling_usage(t, ordered=o)
-        else:
-            rows = o
-        if need_mon:
-            rows = rows.join(value_trend(t, ordered=o), DRV, "left")
-        rows = rows.drop(GIDX, PID)
+        stats = _driver_stats(o, with_slope=need_mon)  # one aggregation: stats and slope
+        rows = (rolling_usage(t, ordered=o) if need_roll else o).drop(GIDX, PID)
     else:
+        stats = _driver_stats(t)
         rows = t
-    x = rows.join(_driver_stats(t), DRV, "left")
+    x = rows.join(stats, DRV, "left")
     if need_mon:
         mm = (t.where(F.col(DRV).isNotNull()).groupBy(DRV, month_start(TS).alias("_ym"))
                .agg(mavg(AMT).alias("avg_value_per_month")))
