@@ -51,12 +51,17 @@ def get_session(master: str | None = None, app: str = "tenure",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting wins.  Only when it is unset (local tests) a scratch
-    folder is created and registered.
+    The cluster's setting wins.  Only a local-mode session (tests, the
+    bench) without the setting gets a scratch folder; on a cluster a missing
+    setting is an error, because a machine-local folder would not survive the
+    loss of the executor that wrote it.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+         or sc.getCheckpointDir())
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="tenure-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():
