@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import floor_days, minus_days, month_start
-from tenure.operators.common import AMT, DRV, KIND, TS, TX, drivers, mavg, ref_date, sum0, with_ref
+from tenure.operators.common import (AMT, DRV, KIND, TS, TX, drivers, mavg, per_driver_with_ref, ref_date,
+                                     sum0, with_ref)
 
 
 def churn_basic_metrics(t: DataFrame, window_days: int = 30) -> DataFrame:
@@ -24,8 +25,8 @@ def churn_basic_metrics(t: DataFrame, window_days: int = 30) -> DataFrame:
     revenue_at_risk = mean over *active* drivers of ``sum(amount)/(N/30)``
     × (number of active drivers × churn_rate).
     """
-    per = drivers(t).groupBy(DRV).agg(F.max(TS).alias("last"), sum0(AMT).alias("total"))
-    x = with_ref(per, ref_date(t)).withColumn("_cut", minus_days("ref_date", window_days))
+    x = (per_driver_with_ref(t, F.max(TS).alias("last"), sum0(AMT).alias("total"))
+         .withColumn("_cut", minus_days("ref_date", window_days)))
     active = F.col("last") >= F.col("_cut")
     agg = x.agg(
         F.count(F.lit(1)).alias("total_drivers"),
@@ -64,8 +65,7 @@ def churned_drivers(t: DataFrame, window_days: int = 30, subset: DataFrame | Non
     used — all their kinds — and the reference date is *their* last date.
     """
     src = t if subset is None else t.join(subset.select(DRV).distinct(), DRV, "left_semi")
-    per = drivers(src).groupBy(DRV).agg(F.max(TS).alias("last_transaction"))
-    x = with_ref(per, ref_date(src))
+    x = per_driver_with_ref(src, F.max(TS).alias("last_transaction"))
     return (x.where(F.col("last_transaction") < minus_days("ref_date", window_days))
              .select(DRV, "last_transaction"))
 
@@ -114,10 +114,10 @@ def segment_churn_last_kind(t: DataFrame, days: int = 30) -> DataFrame:
     ``max_by`` is an ordinary aggregate (partial aggregation), so no
     per-driver window is needed.
     """
-    per = drivers(t).groupBy(DRV).agg(
-        F.max(TS).alias("last"),
-        F.max_by(KIND, F.when(F.col(KIND).isNotNull(), F.col(TX))).alias("last_kind"))
-    x = with_ref(per, ref_date(t)).where(F.col("last_kind").isNotNull())
+    x = per_driver_with_ref(
+        t, F.max(TS).alias("last"),
+        F.max_by(KIND, F.when(F.col(KIND).isNotNull(), F.col(TX))).alias("last_kind"),
+    ).where(F.col("last_kind").isNotNull())
     churn = (floor_days("last", "ref_date") > days).cast("double")
     return (x.groupBy(F.col("last_kind").alias(KIND))
              .agg(F.avg(churn).alias("churn_rate"), F.count(F.lit(1)).alias("total_drivers")))

@@ -53,3 +53,17 @@ def dsum0(c) -> F.Column:
 def driver_last(t: DataFrame) -> DataFrame:
     """(driver_id, last_transaction): partial aggregation, skew-safe."""
     return drivers(t).groupBy(DRV).agg(F.max(TS).alias("last_transaction"))
+
+
+def per_driver_with_ref(t: DataFrame, *aggs, ref_name: str = "ref_date") -> DataFrame:
+    """``groupBy(driver_id).agg(*aggs)`` for the non-NULL drivers, each row
+    carrying the reference date (the last date of *all* rows).
+
+    The reference date is a separate global ``max``: a scan of the one date
+    column with a one-row partial aggregate per task and no data shuffle.
+    (Deriving it from the per-driver aggregate instead does not share that
+    aggregate — the optimizer prunes and re-plans the branch — and adds a
+    shuffle.)
+    """
+    per = drivers(t).groupBy(DRV).agg(*aggs)
+    return with_ref(per, ref_date(t, ref_name))

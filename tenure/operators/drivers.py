@@ -8,21 +8,20 @@ from pyspark.sql import functions as F
 
 from tenure.functions.numeric import exact_quantiles, histogram, qcut_scores
 from tenure.functions.timeutil import floor_days, month_start, plus_days
-from tenure.operators.common import AMT, DRV, KIND, TS, drivers, dsum0, mavg, ref_date, with_ref
+from tenure.operators.common import AMT, DRV, KIND, TS, drivers, dsum0, mavg, per_driver_with_ref
 from tenure.sources.schema import KINDS
 
 
 def driver_summary(t: DataFrame, days: int = 28) -> DataFrame:
     """Ten columns per driver, with counts per kind and churn = more than
     ``days`` whole days without payment (CP3)."""
-    per = drivers(t).groupBy(DRV).agg(
-        F.max(TS).alias("ultimo_pagamento"), F.min(TS).alias("primeiro_pagamento"),
+    x = per_driver_with_ref(
+        t, F.max(TS).alias("ultimo_pagamento"), F.min(TS).alias("primeiro_pagamento"),
         F.count(TS).alias("total_pagamentos"), mavg(AMT).alias("valor_medio"),
         dsum0(AMT).alias("valor_total"),
         F.count_if(F.col(KIND) == "RECURRENCY").alias("pagamentos_recorrentes"),
         F.count_if(F.col(KIND) == "FIRST_PAYMENT_EXCHANGE").alias("trocas_carro"),
-        F.count_if(F.col(KIND) == "FIRST_PAYMENT").alias("contratos_novos"))
-    x = with_ref(per, ref_date(t, "_final"))
+        F.count_if(F.col(KIND) == "FIRST_PAYMENT").alias("contratos_novos"), ref_name="_final")
     dias = floor_days("ultimo_pagamento", "_final")
     return x.withColumn("dias_sem_pagar", dias).withColumn("churn", dias > days).drop("_final")
 
@@ -63,10 +62,10 @@ def behavioral_metrics(t: DataFrame) -> DataFrame:
     per_month = (d.where(F.col(TS).isNotNull()).groupBy(DRV, month_start(TS).alias("_m"))
                   .agg(F.count(F.lit(1)).alias("_n"))
                   .groupBy(DRV).agg(F.avg("_n").alias("transactions_per_month")))
-    per = d.groupBy(DRV).agg(mavg(AMT).alias("avg_amount"),
-                             F.coalesce(F.stddev_samp(AMT), F.lit(0.0)).alias("amount_std"),
-                             F.max(TS).alias("_last"))
-    x = with_ref(per, ref_date(t)).withColumn("days_since_last", floor_days("_last", "ref_date"))
+    x = per_driver_with_ref(t, mavg(AMT).alias("avg_amount"),
+                            F.coalesce(F.stddev_samp(AMT), F.lit(0.0)).alias("amount_std"),
+                            F.max(TS).alias("_last"))
+    x = x.withColumn("days_since_last", floor_days("_last", "ref_date"))
     return (x.join(per_month, DRV, "left")
              .select(DRV, "avg_amount", "transactions_per_month", "amount_std", "days_since_last"))
 
@@ -116,11 +115,10 @@ def driver_features(t: DataFrame, kinds=tuple(KINDS), days: int = 30) -> DataFra
     """
     shares = [F.avg(F.when(F.col(KIND) == k, 1.0).otherwise(0.0)).alias(f"payment_type_{k}")
               for k in sorted(kinds)]
-    per = drivers(t).groupBy(DRV).agg(
-        F.count(AMT).alias("total_transactions"), mavg(AMT).alias("avg_amount"),
+    x = per_driver_with_ref(
+        t, F.count(AMT).alias("total_transactions"), mavg(AMT).alias("avg_amount"),
         F.stddev_samp(AMT).alias("std_amount"), dsum0(AMT).alias("total_amount"),
         F.min(TS).alias("first_transaction"), F.max(TS).alias("last_transaction"), *shares)
-    x = with_ref(per, ref_date(t))
     da = floor_days("first_transaction", "last_transaction")
     return (x.withColumn("days_active", da)
              .withColumn("avg_transaction_per_day", F.col("total_transactions") / (da + 1))
@@ -136,9 +134,9 @@ def rfm_scores(t: DataFrame, q: int = 5) -> DataFrame:
 
     Quantile edges are exact (sorted, not collected) and tied edges are kept.
     """
-    per = drivers(t).groupBy(DRV).agg(F.max(TS).alias("_last"), F.count(AMT).alias("frequency"),
-                                      dsum0(AMT).alias("monetary"))
-    x = with_ref(per, ref_date(t)).withColumn("recency", floor_days("_last", plus_days("ref_date", 1)))
+    x = per_driver_with_ref(t, F.max(TS).alias("_last"), F.count(AMT).alias("frequency"),
+                            dsum0(AMT).alias("monetary"))
+    x = x.withColumn("recency", floor_days("_last", plus_days("ref_date", 1)))
     x = x.select(DRV, "recency", "frequency", "monetary")
     x = qcut_scores(x, ["recency", "frequency", "monetary"], q)
     x = x.withColumn("recency_score", (q + 1) - F.col("recency_score"))
