@@ -43,17 +43,19 @@ def global_order(df: DataFrame, order_cols: list, idx: str = GIDX) -> DataFrame:
                       .withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW33))))
     # Row counts per partition, as RDD.zipWithIndex does: one small job whose
     # result has one row per partition (bounded by the partition count, not
-    # by the data).  The offsets become a literal array indexed by partition
-    # id, so later reads need no join and no second pass over the rows.
-    counts = dict(s.groupBy(PID).agg(F.count(F.lit(1)).alias("_n")).collect())
-    n_parts = max(counts) + 1 if counts else 0
+    # by the data).  The offsets go back as a broadcast table — shipped once
+    # per executor, not inside every task like a literal array would be — so
+    # later reads of the rows need no shuffle and no second pass.
+    counts = sorted(s.groupBy(PID).agg(F.count(F.lit(1)).alias("_n")).collect())
     offsets, acc = [], 0
-    for p in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(p, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(PID) + 1) if offsets \
-        else F.lit(0).cast("long")
-    return s.withColumn(idx, off + F.col("_local")).drop("_local")
+    for pid, n in counts:
+        offsets.append((int(pid), acc))
+        acc += int(n)
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets or [(0, 0)], f"{PID} int, _off long")
+    return (s.join(F.broadcast(off), PID)
+             .withColumn(idx, F.col("_off") + F.col("_local"))
+             .drop("_off", "_local"))
 
 
 def shift_ordered(df: DataFrame, cols: list[str], k: int, key: str | None = None,

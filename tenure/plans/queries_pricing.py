@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tenure.operators import pricing as P
 from tenure.plans.catalog import ACT, ACT_CTE, PR, PRICING_CTE, T, T_CTE, mavg, register, rnd, sql
+from tenure.plans.queries_drivers import hist_sql
 
 
 def quad_sql(src: str, x: str, y: str, by: str | None = None) -> list[str]:
@@ -120,3 +121,10 @@ def q_revcurve(spark, d):
 WHERE transaction_date IS NOT NULL GROUP BY transaction_date"""))
 def q_ptrends(spark, d):
     return rnd(P.price_trends(T(spark, d)), std_price=4)
+
+
+@register("elasticity_histogram", sql(PRICING_CTE, *_EL, hist_sql("e", "elasticity", 20)))
+def q_el_hist(spark, d):
+    from tenure.functions.numeric import histogram
+    return rnd(histogram(P.elasticity_curve(PR(spark, d), "price", "demand"), "elasticity", 20),
+               bin_start=6, bin_end=6)
