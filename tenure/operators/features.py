@@ -88,11 +88,16 @@ def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "moneta
     else:
         stats = _driver_stats(t)
         rows = t
-    x = rows.join(stats, DRV, "left")
     if need_mon:
+        # per-driver stats joined onto the (driver, month) means first (both are
+        # aggregates), so the rows are shuffled for one join, keyed by
+        # (driver, month): a hot driver is spread over its months
         mm = (t.where(F.col(DRV).isNotNull()).groupBy(DRV, month_start(TS).alias("_ym"))
                .agg(mavg(AMT).alias("avg_value_per_month")))
-        x = x.withColumn("_ym", month_start(TS)).join(mm, [DRV, "_ym"], "left").drop("_ym")
+        x = (rows.withColumn("_ym", month_start(TS))
+                 .join(mm.join(stats, DRV), [DRV, "_ym"], "left").drop("_ym"))
+    else:
+        x = rows.join(stats, DRV, "left")
     x = (x.withColumn("day_of_week", F.weekday(TS))
           .withColumn("month", F.month(TS))
           .withColumn("quarter", F.quarter(TS))
