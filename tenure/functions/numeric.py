@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.ordering import GIDX, global_order, shift_ordered
+from tenure.functions.ordering import GIDX, global_order, shifts_ordered
 
 
 def _cols(by) -> list[str]:
@@ -179,14 +179,10 @@ def centred_rolling_mean(df: DataFrame, value: str, w: int, out: str) -> DataFra
     exist and are non-NULL.  Built from ``w-1`` index joins (``w`` is small).
     """
     o = (w - 1) // 2
-    cur = df
-    names = []
-    for k in range(-(w - 1 - o), o + 1):
-        if k == 0:
-            continue
-        nm = f"_r{k + w}"
-        cur = shift_ordered(cur, [value], -k, suffix=nm)
-        names.append(value + nm)
+    offs = [k for k in range(-(w - 1 - o), o + 1) if k != 0]
+    sufs = [f"_r{k + w}" for k in offs]
+    cur = shifts_ordered(df, [value], [-k for k in offs], sufs)
+    names = [value + s for s in sufs]
     parts = [F.col(value)] + [F.col(n) for n in names]
     total = parts[0]
     for p in parts[1:]:

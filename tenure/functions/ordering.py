@@ -58,23 +58,40 @@ def global_order(df: DataFrame, order_cols: list, idx: str = GIDX) -> DataFrame:
              .drop("_off", "_local"))
 
 
+def shifts_ordered(df: DataFrame, cols: list[str], ks: list[int], suffixes: list[str], key: str | None = None,
+                   idx: str = GIDX) -> DataFrame:
+    """Values of ``cols`` ``k`` rows earlier (``k < 0``: later), for every
+    ``k`` in ``ks``, as columns ``c + suffixes[i]``.
+
+    Each row sends narrow copies of itself to its target indices; one
+    aggregation by target index (consecutive rows share a task, so the
+    partial aggregation already merges most copies) and one equi-join on
+    the index bring them back — two exchanges however many offsets.  With
+    ``key`` the other row must have the same key (a lag within groups that
+    are contiguous in the order)."""
+    parts = [F.struct(F.lit(k).alias("_k"), (F.col(idx) + k).alias("_t"),
+                      *([F.col(key).alias("_key")] if key else []),
+                      *[F.col(c).alias(c) for c in cols]) for k in ks]
+    ex = df.select(F.explode(F.array(*parts)).alias("_s")).select("_s.*")
+    aggs = []
+    for k, suf in zip(ks, suffixes):
+        if key:
+            aggs.append(F.max(F.when(F.col("_k") == k, F.col("_key"))).alias(f"_key{suf}"))
+        aggs += [F.max(F.when(F.col("_k") == k, F.col(c))).alias(c + suf) for c in cols]
+    got = ex.groupBy(F.col("_t").alias(idx)).agg(*aggs)
+    out = df.join(got, idx, "left")
+    keep = [F.col(c) for c in df.columns]
+    for k, suf in zip(ks, suffixes):
+        same = (F.col(f"_key{suf}") == F.col(key)) if key else F.lit(True)
+        keep += [F.when(same, F.col(c + suf)).alias(c + suf) for c in cols]
+    return out.select(*keep)
+
+
 def shift_ordered(df: DataFrame, cols: list[str], k: int, key: str | None = None,
                   suffix: str | None = None, idx: str = GIDX) -> DataFrame:
-    """Value of ``cols`` ``k`` rows earlier in ``idx`` order (``lag``).
-
-    With ``key`` the earlier row must have the same key (a lag within groups
-    that are contiguous in the order).  An equi-join on the unique index.
-    """
-    suffix = suffix or f"_lag{k}"
-    prev = df.select((F.col(idx) + k).alias(idx),
-                     *([F.col(key).alias("_key_prev")] if key else []),
-                     *[F.col(c).alias(c + suffix) for c in cols])
-    out = df.join(prev, idx, "left")
-    if key:
-        same = F.col("_key_prev") == F.col(key)
-        out = out.select(*[F.col(c) for c in df.columns],
-                         *[F.when(same, F.col(c + suffix)).alias(c + suffix) for c in cols])
-    return out
+    """Value of ``cols`` ``k`` rows earlier in ``idx`` order (``lag``); see
+    :func:`shifts_ordered`."""
+    return shifts_ordered(df, cols, [k], [suffix or f"_lag{k}"], key=key, idx=idx)
 
 
 def cumsum_ordered(df: DataFrame, cols: list[str], suffix: str = "_cum",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.numeric import qcut_score
-from tenure.functions.ordering import GIDX, cumsum_ordered, global_order, shift_ordered
+from tenure.functions.ordering import GIDX, cumsum_ordered, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, minus_days
 from tenure.operators.common import DRV, TS, drivers, ref_date, with_ref
 
@@ -72,8 +72,7 @@ def roc_curve(s: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     c = _curve_points(s).select(GIDX, "y_prob", "tps", "fps")
     tot = c.agg(F.max("tps").alias("_P"), F.max("fps").alias("_N"), F.max(GIDX).alias("_last"))
     if drop_intermediate:
-        c = shift_ordered(c, ["tps", "fps"], 1, suffix="_p")
-        c = shift_ordered(c, ["tps", "fps"], -1, suffix="_n")
+        c = shifts_ordered(c, ["tps", "fps"], [1, -1], ["_p", "_n"])
         c = with_ref(c, tot)
         bend = ((F.col("fps_p") - 2 * F.col("fps") + F.col("fps_n")) != 0) | \
                ((F.col("tps_p") - 2 * F.col("tps") + F.col("tps_n")) != 0)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.numeric import exact_quantiles
-from tenure.functions.ordering import GIDX, PID, global_order, shift_ordered
+from tenure.functions.ordering import GIDX, PID, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, month_start
 from tenure.operators.common import AMT, DRV, TS, TX, dsum0, mavg
 from tenure.sources.schema import numeric_columns
@@ -45,10 +45,9 @@ def rolling_usage(t: DataFrame, n: int = 3, out: str = "usage_intensity", ordere
     """Mean of the driver's last ``n`` rows (current included, at least one),
     in (date, tx_id) order; NULL amounts are skipped."""
     o = ordered if ordered is not None else _ordered(t)
-    lags = []
-    for k in range(1, n):
-        o = shift_ordered(o, [AMT], k, key=DRV, suffix=f"_l{k}")
-        lags.append(F.col(f"{AMT}_l{k}"))
+    ks = list(range(1, n))
+    o = shifts_ordered(o, [AMT], ks, [f"_l{k}" for k in ks], key=DRV)
+    lags = [F.col(f"{AMT}_l{k}") for k in ks]
     vals = [F.col(AMT)] + lags
     s = sum((F.coalesce(v, F.lit(0.0)) for v in vals[1:]), F.coalesce(vals[0], F.lit(0.0)))
     c = sum((v.isNotNull().cast("int") for v in vals[1:]), vals[0].isNotNull().cast("int"))
