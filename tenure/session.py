@@ -56,7 +56,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     setting is an error, because a machine-local folder would not survive the
     loss of the executor that wrote it.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's checkpoint setting applies
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
          or sc.getCheckpointDir())
     if not d:

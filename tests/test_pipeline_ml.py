@@ -73,3 +73,17 @@ def test_scaled_population_std(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     r = scaled_features(df, ["a", "b"]).collect()
     assert sorted(x.a for x in r) == [-1.0, 1.0] and all(x.b == 0.0 for x in r)
+
+
+def test_run_pipeline_end_to_end(spark):
+    from tenure.plans.pipeline import run_pipeline
+    from tenure.sources import load_transactions
+    t = load_transactions(spark, "/root/testdata/sf0.001")
+    out = tempfile.mkdtemp(prefix="tenure-pipe-")
+    summary = run_pipeline(spark, t, out)
+    assert summary["selected"] in ("rf", "gb") and 0.0 <= summary["auc_rf"] <= 1.0
+    df, metrics, meta = load_processed(spark, out)
+    assert df.count() == t.count() and "risk_score" in df.columns
+    assert metrics["cohort_retention"].count() > 0 and meta.first().n_rows == t.count()
+    model = load_model(f"{out}/model")
+    assert len(model.stages) == 2
