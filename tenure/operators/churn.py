@@ -94,11 +94,11 @@ def churn_by_segment(t: DataFrame, col: str = KIND, window_days: int = 30) -> Da
     """
     per = drivers(t).groupBy(DRV).agg(F.max(TS).alias("last"))
     sd = drivers(t).where(F.col(col).isNotNull()).select(col, DRV).distinct().join(per, DRV)
-    seg_ref = sd.groupBy(col).agg(F.max("last").alias("seg_ref"))
-    x = sd.join(seg_ref, col)
+    # both uses of sd read the same three columns, so it is computed once
+    seg = sd.groupBy(col).agg(F.max("last").alias("seg_ref"), F.count(DRV).alias("n_drivers"))
     churned = F.col("last") < minus_days("seg_ref", window_days)
-    return x.groupBy(col).agg(F.avg(churned.cast("double")).alias("churn_rate"),
-                              F.count(F.lit(1)).alias("n_drivers"))
+    c = sd.join(seg, col).groupBy(col, "n_drivers").agg(F.count_if(churned).alias("_c"))
+    return c.select(col, (F.col("_c") / F.col("n_drivers")).alias("churn_rate"), "n_drivers")
 
 
 def churn_seasonality(t: DataFrame, window_days: int = 30) -> DataFrame:

@@ -31,22 +31,24 @@ def driver_months(t: DataFrame, key: str = "year_month") -> DataFrame:
             .select(DRV, _month_key(key).alias("month")).distinct())
 
 
-def month_chain(dm: DataFrame) -> DataFrame:
+def month_chain(months: DataFrame) -> DataFrame:
     """(month, prev_month) over the observed months; bounded by the calendar."""
     w = Window.orderBy("month")
-    return dm.select("month").distinct().withColumn("prev_month", F.lag("month").over(w))
+    return months.select("month").distinct().withColumn("prev_month", F.lag("month").over(w))
 
 
 def month_flows(t: DataFrame, key: str = "year_month") -> DataFrame:
     """Per observed month: active, previous_active, retained, churned, new."""
     dm = driver_months(t, key)
-    chain = month_chain(dm)
+    # every branch reads dm with both columns, so its exchange is planned once
+    # and reused; the month chain comes from the per-month counts
+    active = dm.groupBy("month").agg(F.count(DRV).alias("active"))
+    chain = month_chain(active)
     nxt = chain.where(F.col("prev_month").isNotNull()).select(
         F.col("prev_month").alias("month"), F.col("month").alias("next_month"))
     carried = dm.join(F.broadcast(nxt), "month")  # (month=prev, driver, next_month)
     retained = (carried.join(dm.select(DRV, F.col("month").alias("next_month")), [DRV, "next_month"])
                 .groupBy(F.col("next_month").alias("month")).agg(F.count(F.lit(1)).alias("retained")))
-    active = dm.groupBy("month").agg(F.count(F.lit(1)).alias("active"))
     prev_active = active.select(F.col("month").alias("prev_month"), F.col("active").alias("previous_active"))
     out = (chain.join(active, "month")
                 .join(prev_active, "prev_month", "left")
