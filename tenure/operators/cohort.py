@@ -27,7 +27,9 @@ def cohort_assign(t: DataFrame) -> DataFrame:
 def _driver_month_amounts(t: DataFrame) -> DataFrame:
     d = drivers(t).where(F.col(TS).isNotNull())
     dm = d.groupBy(DRV, month_start(TS).alias("month")).agg(sum0(AMT).alias("amount"))
-    first = dm.groupBy(DRV).agg(F.min("month").alias("cohort_month"))
+    # min over (month, amount) reads the same columns as the other use of dm,
+    # so both share one scan and exchange; the month decides the minimum
+    first = dm.groupBy(DRV).agg(F.min(F.struct("month", "amount"))["month"].alias("cohort_month"))
     per = F.col("month")
     return (dm.join(first, DRV)
               .withColumn("period_number", (month_index(per) - month_index("cohort_month"))))
