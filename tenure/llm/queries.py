@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.llm import warc
+from tenure.llm import quality, warc
 from tenure.llm.common import table
 
 
@@ -14,7 +14,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
 }
 ORACLES: dict[str, str] = {}
