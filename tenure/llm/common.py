@@ -36,3 +36,11 @@ def filesystem(uri: str):
     if uri.startswith("file:") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
     return fs.FileSystem.from_uri(uri)
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
