@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.llm import linededup, packing, quality, simhash, warc
+from tenure.llm import decontam, linededup, packing, quality, simhash, warc
 from tenure.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_lines": op8_lines,
+    "op10_decontam": op10_decontam,
 }
 ORACLES: dict[str, str] = {
     "op8_lines": linededup.SQL,
