@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenure.llm import decontam, linededup, packing, quality, simhash, warc
+from tenure.llm import decontam, html, linededup, packing, quality, simhash, warc
 from tenure.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_lines": op8_lines,
+    "op9_html": op9_html,
     "op10_decontam": op10_decontam,
 }
 ORACLES: dict[str, str] = {
