@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tenure.llm import decontam, html, linededup, packing, quality, simhash, warc
+from tenure.llm import decontam, html, linededup, packing, quality, simhash, suffix, warc
 from tenure.llm.common import table
 
 
@@ -18,6 +19,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return spans.withColumn("n_words", F.col("end_word") - F.col("start_word"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
+    "op3_suffix": op3_suffix,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_lines": op8_lines,
