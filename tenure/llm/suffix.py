@@ -11,7 +11,7 @@ its copies, so a repeated passage meets itself in the array.
 2. The others get their context: the words after the gram (up to
    ``min_words`` from the position) and the ``gram`` words before it.
 3. These suffixes are sorted over the whole cluster by gram and following
-   words.  The sort ends in document and position, so a passage that a third of
+   words, and with equal ones by the words before, read backwards.  The sort ends in document and position, so a passage that a third of
    all documents hold is spread over many tasks.  Every suffix is compared
    with its ``reach`` nearest neighbours on both sides; the first and last
    suffixes of every task are compared once more with those of the next task.
@@ -171,20 +171,31 @@ class Neighbours:
         g, after, n_after, before, n_before, doc = c[:6]
         n = len(g)
         left, right, ref = np.full(n, -1), np.full(n, -1), np.zeros(n, np.int64)
-        for d in range(1, min(self.reach, n - 1) + 1):
-            i = np.flatnonzero((g[:-d] == g[d:]) & (doc[:-d] != doc[d:]))
-            if not len(i):
-                continue
-            j = i + d
+
+        def compare(i, j):
+            ok = (g[i] == g[j]) & (doc[i] != doc[j])
+            i, j = i[ok], j[ok]
             r = self.gram + _common(after[i], after[j], n_after[i], n_after[j])
             l = _common(before[i], before[j], n_before[i], n_before[j])  # noqa: E741
             hit = l + r >= self.min_words
             i, j, l, r = i[hit], j[hit], l[hit], r[hit]  # noqa: E741
             for x, y in ((i, j), (j, i)):
-                new = left[x] < 0
-                ref[x[new]] = doc[y[new]]
-                left[x] = np.maximum(left[x], l)
-                right[x] = np.maximum(right[x], r)
+                np.maximum.at(left, x, l)
+                np.maximum.at(right, x, r)
+                ref[x] = doc[y]
+        every = np.arange(n)
+        for d in range(1, min(self.reach, n - 1) + 1):
+            compare(every[:-d], every[d:])
+        # A text that repeats itself may fill the reach: its suffixes go on to the neighbours outside.
+        edge = np.flatnonzero((doc[1:] != doc[:-1]) | (g[1:] != g[:-1])) + 1
+        start = np.repeat(np.concatenate(([0], edge)), np.diff(np.concatenate(([0], edge, [n])))) if n else every
+        stop = np.repeat(np.concatenate((edge, [n])), np.diff(np.concatenate(([0], edge, [n])))) if n else every
+        inside = np.flatnonzero(stop - start >= self.reach)
+        for d in range(self.reach):
+            i = inside[stop[inside] + d < n]
+            compare(i, stop[i] + d)
+            i = inside[start[inside] - 1 - d >= 0]
+            compare(i, start[i] - 1 - d)
         row = np.flatnonzero(left >= 0)
         return row, left[row], right[row], ref[row]
 
@@ -225,9 +236,11 @@ def _compare(nb: Neighbours):
             if rest is not None:
                 c = [np.concatenate(x) for x in zip(rest, c)]
             yield hit_batch(c)
-            rest = [x[-nb.reach:].copy() for x in c]
+            other = np.flatnonzero((c[5] != c[5][-1]) | (c[0] != c[0][-1]))  # a whole run of one text, and reach before it
+            keep = len(c[0]) - (int(other[-1]) + 1 if len(other) else 0) + nb.reach
+            rest = [x[-keep:].copy() for x in c]
         if rest is not None:
-            yield end_batch(rest)
+            yield end_batch([x[-nb.reach:] for x in rest])
     return run
 
 
@@ -268,7 +281,7 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
               .agg(F.collect_set("pos").alias("wanted")))  # at most a text's own positions
     texts = (rows.join(wanted, ["doc", "version"]).groupBy("doc", "version")
              .agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")))
-    key = ["g", "after", "doc", "pos"]
+    key = ["g", "after", "before", "doc", "pos"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     suffixes = texts.mapInArrow(_contexts(gram, min_words), SUFFIX)
     nb = Neighbours(gram, min_words, reach)
