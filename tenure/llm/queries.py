@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import decontam, html, linededup, packing, quality, simhash, suffix, warc
+from tenure.llm import decontam, embeddings, html, linededup, packing, quality, simhash, suffix, warc
 from tenure.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.withColumn("n_words", F.col("end_word") - F.col("start_word"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
     "op3_suffix": op3_suffix,
+    "op4_embeddings": op4_embeddings,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op8_lines": op8_lines,
