@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import decontam, embeddings, html, linededup, packing, quality, simhash, suffix, warc
+from tenure.llm import decontam, embeddings, html, linededup, packing, pii, quality, simhash, suffix, warc
 from tenure.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.report(documents, pii.train(documents))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix": op3_suffix,
     "op4_embeddings": op4_embeddings,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_lines": op8_lines,
     "op9_html": op9_html,
