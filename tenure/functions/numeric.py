@@ -44,17 +44,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by=()) -> Dat
     return out.select(*by, "prob", q.alias("quantile"))
 
 
-def quantile_row(df: DataFrame, value: str, probs: list[float], names: list[str], by=()) -> DataFrame:
-    """Exact quantiles pivoted to one row per group, columns ``names``."""
-    by = _cols(by)
-    q = exact_quantiles(df, value, probs, by)
-    aggs = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(n)
-            for p, n in zip(probs, names)]
-    if by:
-        return q.groupBy(*by).agg(*aggs)
-    return q.agg(*aggs)
-
-
 def qcut_edges(df: DataFrame, value: str, q: int, by=()) -> DataFrame:
     """The ``q+1`` quantile edges of ``qcut`` as an array column ``edges``."""
     by = _cols(by)
@@ -67,7 +56,7 @@ def qcut_edges(df: DataFrame, value: str, q: int, by=()) -> DataFrame:
 
 def _count_below(edges: Column, x: Column) -> Column:
     """Number of inner edges (all but the first and last) strictly below ``x``."""
-    inner = F.slice(edges, 2, F.size(edges) - 2)
+    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
     return F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(e < x, 1).otherwise(0))
 
 
@@ -99,7 +88,7 @@ def qcut_score(df: DataFrame, value: str, q: int, out: str, by=(), drop_duplicat
     edges = qcut_edges(df, value, q, by)
     if drop_duplicates:
         edges = edges.withColumn("edges", F.array_distinct("edges"))
-    inner = F.slice("edges", 2, F.size("edges") - 2)
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     label = F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(e < F.col(value), 1).otherwise(0))
     joined = df.crossJoin(F.broadcast(edges)) if not by else df.join(edges, by, "left")
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), label + base)).drop("edges")
@@ -108,28 +97,34 @@ def qcut_score(df: DataFrame, value: str, q: int, out: str, by=(), drop_duplicat
 def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None, by=()) -> DataFrame:
     """Equal-width histogram over ``[min, max]`` (last bin closed), per ``by`` group.
 
-    Returns ``(*by, bin, bin_start, bin_end, [hue], count)`` for non-empty
-    bins; ``bin`` is 1-based.  A constant column gets the range ``x ± 0.5``.
-    The range table has one row per group (one row without groups).
+    Returns ``(*by, bin, bin_start, bin_end, [hue], count)`` for every bin
+    (and every ``hue`` value of the group), empty ones with count 0; ``bin`` is
+    1-based.  NULL and NaN values are left out.  A constant column gets the
+    range ``x ± 0.5``.  The range table has one row per group (one row without
+    groups), the grid ``bins`` rows per group and hue.
     """
     by = _cols(by)
-    d = df.where(F.col(value).isNotNull())
-    rng = d.groupBy(*by).agg(F.min(value).alias("_lo0"), F.max(value).alias("_hi0"))
-    rng = rng.select(
-        *by,
-        F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).cast("double").alias("_lo"),
-        F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).cast("double").alias("_hi"))
     x = F.col(value).cast("double")
-    b = F.least(F.floor((x - F.col("_lo")) * F.lit(bins) / (F.col("_hi") - F.col("_lo"))).cast("long") + 1,
+    d = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, *([hue] if hue else []), x.alias("_x"))
+    rng = d.groupBy(*by).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0")).where(F.col("_lo0").isNotNull())
+    flat = F.when(F.col("_lo0") == F.col("_hi0"), 0.5).otherwise(0.0)
+    rng = rng.select(*by, (F.col("_lo0") - flat).alias("_lo"), (F.col("_hi0") + flat).alias("_hi"))
+    b = F.least(F.floor((F.col("_x") - F.col("_lo")) * F.lit(bins) / (F.col("_hi") - F.col("_lo"))).cast("long") + 1,
                 F.lit(bins).cast("long"))
     keys = [*by, "bin"] + ([hue] if hue else [])
-    d = (d.crossJoin(F.broadcast(rng)) if not by else d.join(rng, by)).withColumn("bin", b)
+    ranged = d.crossJoin(F.broadcast(rng)) if not by else d.join(rng, by)
+    counts = ranged.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))))
+    if hue:
+        values = d.select(*by, hue).distinct()
+        grid = grid.join(values, by) if by else grid.crossJoin(values)
+    match = [grid[k].eqNullSafe(counts[k]) for k in keys]
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    return (d.groupBy(*keys, "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
-             .select(*by, "bin",
-                     (F.col("_lo") + (F.col("bin") - 1) * width).alias("bin_start"),
-                     (F.col("_lo") + F.col("bin") * width).alias("bin_end"),
-                     *([hue] if hue else []), "count"))
+    return (grid.join(counts, match, "left")
+                .select(*[grid[c] for c in by], grid["bin"],
+                        (F.col("_lo") + (grid["bin"] - 1) * width).alias("bin_start"),
+                        (F.col("_lo") + grid["bin"] * width).alias("bin_end"),
+                        *([grid[hue]] if hue else []), F.coalesce("_n", F.lit(0).cast("long")).alias("count")))
 
 
 def quad_fit(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
@@ -137,14 +132,15 @@ def quad_fit(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
 
     Two aggregations: mean / spread of ``x``, then power sums of the centred,
     scaled ``z = (x − m)/s`` (well conditioned), solved in closed form and
-    mapped back.  Returns ``(*by, n, a, b, c, vertex_x, vertex_y, is_maximum)``.
+    mapped back.  Returns ``(*by, n, a, b, c, vertex_x, vertex_y, is_maximum)``;
+    fewer than three distinct ``x`` have no single parabola: all NULL but ``n``.
     """
     by = _cols(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"),
                                                                       F.col(y).cast("double").alias("_y"))
     m = d.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
     dz = (d.crossJoin(F.broadcast(m)) if not by else d.join(m, by)).withColumn(
-        "_z", (F.col("_x") - F.col("_m")) / F.col("_s"))
+        "_z", F.try_divide(F.col("_x") - F.col("_m"), F.col("_s")))
     z, yy = F.col("_z"), F.col("_y")
     sums = dz.groupBy(*by, "_m", "_s").agg(
         F.count(F.lit(1)).alias("n"), F.sum(z).alias("s1"), F.sum(z * z).alias("s2"),
@@ -162,11 +158,9 @@ def _solve_quadratic() -> list[Column]:
     db = s4 * (t1 * n - t0 * s1) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)
     dc = s4 * (s2 * t0 - s1 * t1) - s3 * (s3 * t0 - s2 * t1) + t2 * (s3 * s1 - s2 * s2)
     A, B, C = F.try_divide(da, det), F.try_divide(db, det), F.try_divide(dc, det)
-    a = A / (s * s)
-    b = B / s - 2 * A * m / (s * s)
-    c = A * m * m / (s * s) - B * m / s + C
-    vx = m - B * s / (2 * A)
-    vy = C - B * B / (4 * A)
+    a = F.try_divide(A, s * s)
+    b = F.try_divide(B, s) - F.try_divide(2 * A * m, s * s)
+    c = F.try_divide(A * m * m, s * s) - F.try_divide(B * m, s) + C
     return [a.alias("a"), b.alias("b"), c.alias("c"), F.try_divide(m * 2 * A - B * s, 2 * A).alias("vertex_x"),
             F.try_divide(4 * A * C - B * B, 4 * A).alias("vertex_y"), (A < 0).alias("is_maximum")]
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 TS, DRV, AMT, KIND, TX = "transaction_date", "driver_id", "amount", "kind", "tx_id"
 
@@ -24,35 +23,15 @@ def drivers(t: DataFrame) -> DataFrame:
     return t.where(F.col(DRV).isNotNull())
 
 
-# Money is summed and averaged as DECIMAL(18,2): exact, so the result does
-# not depend on the order rows reach a task (retries, AQE re-planning and
-# engines all give the same digits).  Outputs are cast back to double.
-MONEY = DecimalType(18, 2)
-
-
-def _money(c):
-    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
-
-
 def sum0(c) -> F.Column:
-    """pandas ``sum`` of money: exact, 0 for an empty or all-NULL group (decimal)."""
-    return F.coalesce(F.sum(_money(c)), F.lit(0).cast(MONEY))
+    """pandas ``sum``: 0 for an empty or all-NULL group.  Amounts are summed as
+    they are; only the query layer rounds."""
+    return F.coalesce(F.sum((F.col(c) if isinstance(c, str) else c).cast("double")), F.lit(0.0))
 
 
 def mavg(c) -> F.Column:
-    """Mean of money (or of exact money sums), exact to 6 decimals (half-up), as double."""
-    x = F.col(c) if isinstance(c, str) else c
-    return F.avg(x.cast(DecimalType(38, 2))).cast("double")
-
-
-def dsum0(c) -> F.Column:
-    """:func:`sum0` as double."""
-    return sum0(c).cast("double")
-
-
-def driver_last(t: DataFrame) -> DataFrame:
-    """(driver_id, last_transaction): partial aggregation, skew-safe."""
-    return drivers(t).groupBy(DRV).agg(F.max(TS).alias("last_transaction"))
+    """Mean of amounts (or of sums of amounts), NULLs skipped, unrounded."""
+    return F.avg((F.col(c) if isinstance(c, str) else c).cast("double"))
 
 
 def per_driver_with_ref(t: DataFrame, *aggs, ref_name: str = "ref_date") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.numeric import exact_quantiles, histogram, qcut_scores
 from tenure.functions.timeutil import floor_days, month_start, plus_days
-from tenure.operators.common import AMT, DRV, KIND, TS, drivers, dsum0, mavg, per_driver_with_ref
+from tenure.operators.common import AMT, DRV, KIND, TS, drivers, mavg, sum0, per_driver_with_ref
 from tenure.sources.schema import KINDS
 
 
@@ -18,7 +18,7 @@ def driver_summary(t: DataFrame, days: int = 28) -> DataFrame:
     x = per_driver_with_ref(
         t, F.max(TS).alias("ultimo_pagamento"), F.min(TS).alias("primeiro_pagamento"),
         F.count(TS).alias("total_pagamentos"), mavg(AMT).alias("valor_medio"),
-        dsum0(AMT).alias("valor_total"),
+        sum0(AMT).alias("valor_total"),
         F.count_if(F.col(KIND) == "RECURRENCY").alias("pagamentos_recorrentes"),
         F.count_if(F.col(KIND) == "FIRST_PAYMENT_EXCHANGE").alias("trocas_carro"),
         F.count_if(F.col(KIND) == "FIRST_PAYMENT").alias("contratos_novos"), ref_name="_final")
@@ -117,7 +117,7 @@ def driver_features(t: DataFrame, kinds=tuple(KINDS), days: int = 30) -> DataFra
               for k in sorted(kinds)]
     x = per_driver_with_ref(
         t, F.count(AMT).alias("total_transactions"), mavg(AMT).alias("avg_amount"),
-        F.stddev_samp(AMT).alias("std_amount"), dsum0(AMT).alias("total_amount"),
+        F.stddev_samp(AMT).alias("std_amount"), sum0(AMT).alias("total_amount"),
         F.min(TS).alias("first_transaction"), F.max(TS).alias("last_transaction"), *shares)
     da = floor_days("first_transaction", "last_transaction")
     return (x.withColumn("days_active", da)
@@ -135,7 +135,7 @@ def rfm_scores(t: DataFrame, q: int = 5) -> DataFrame:
     Quantile edges are exact (sorted, not collected) and tied edges are kept.
     """
     x = per_driver_with_ref(t, F.max(TS).alias("_last"), F.count(AMT).alias("frequency"),
-                            dsum0(AMT).alias("monetary"))
+                            sum0(AMT).alias("monetary"))
     x = x.withColumn("recency", floor_days("_last", plus_days("ref_date", 1)))
     x = x.select(DRV, "recency", "frequency", "monetary")
     x = qcut_scores(x, ["recency", "frequency", "monetary"], q)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tenure.functions.numeric import exact_quantiles
 from tenure.functions.ordering import GIDX, PID, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, month_start
-from tenure.operators.common import AMT, DRV, TS, TX, dsum0, mavg
+from tenure.operators.common import AMT, DRV, TS, TX, mavg, sum0
 from tenure.sources.schema import numeric_columns
 
 TEMPORAL = ["day_of_week", "month", "quarter", "is_weekend", "transaction_frequency",
@@ -71,7 +71,7 @@ def _driver_stats(t: DataFrame, with_slope: bool = False) -> DataFrame:
         F.count(TS).alias("transaction_frequency"), F.min(TS).alias("_first"), F.max(TS).alias("_last"),
         mavg(AMT).alias("avg_payment"), F.stddev_samp(AMT).alias("payment_volatility"),
         (F.max(AMT) - F.min(AMT)).alias("payment_range"),
-        dsum0(AMT).alias("total_value"), *slope)
+        sum0(AMT).alias("total_value"), *slope)
 
 
 def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "monetary", "risk", "interaction")) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import month_start
-from tenure.operators.common import AMT, DRV, KIND, TS, drivers, dsum0, mavg
+from tenure.operators.common import AMT, DRV, KIND, TS, drivers, mavg, sum0
 
 
 def _month_key(key: str):
@@ -87,14 +87,14 @@ def monthly_stats(t: DataFrame, key: str = "year_month") -> DataFrame:
     """Unique drivers, sum, mean and count of amounts per month."""
     return (t.where(F.col(TS).isNotNull())
              .groupBy(_month_key(key).alias("month"))
-             .agg(F.countDistinct(DRV).alias("n_drivers"), dsum0(AMT).alias("total_amount"),
+             .agg(F.countDistinct(DRV).alias("n_drivers"), sum0(AMT).alias("total_amount"),
                   mavg(AMT).alias("avg_amount"), F.count(AMT).alias("n_transactions")))
 
 
 def kind_stats(t: DataFrame) -> DataFrame:
     """The same four statistics per payment kind."""
     return (t.where(F.col(KIND).isNotNull()).groupBy(KIND)
-             .agg(F.countDistinct(DRV).alias("n_drivers"), dsum0(AMT).alias("total_amount"),
+             .agg(F.countDistinct(DRV).alias("n_drivers"), sum0(AMT).alias("total_amount"),
                   mavg(AMT).alias("avg_amount"), F.count(AMT).alias("n_transactions")))
 
 
@@ -102,7 +102,7 @@ def monthly_trend(t: DataFrame) -> DataFrame:
     """Per observed year-month: drivers, revenue, churn_rate, growth_rate,
     revenue_at_risk = revenue × churn_rate (first month: rates 0)."""
     f = month_flows(t, "year_month")
-    rev = t.where(F.col(TS).isNotNull()).groupBy(month_start(TS).alias("month")).agg(dsum0(AMT).alias("revenue"))
+    rev = t.where(F.col(TS).isNotNull()).groupBy(month_start(TS).alias("month")).agg(sum0(AMT).alias("revenue"))
     prev = F.col("previous_active")
     rate = F.when(prev > 0, F.col("churned") / prev).otherwise(F.lit(0.0))
     growth = F.when(prev > 0, (F.col("active") - prev) / prev).otherwise(F.lit(0.0))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import floor_days, month_start
-from tenure.operators.common import AMT, DRV, KIND, TS, drivers, dsum0, mavg, ref_date, sum0, with_ref
+from tenure.operators.common import AMT, DRV, KIND, TS, drivers, mavg, ref_date, sum0, with_ref
 
 
 def segment_profile(t: DataFrame, col: str = KIND) -> DataFrame:
     """total_drivers, total_revenue, avg_amount, transaction_count,
     avg_transactions and revenue_share per segment value."""
     g = (t.where(F.col(col).isNotNull()).groupBy(col)
-          .agg(F.countDistinct(DRV).alias("total_drivers"), dsum0(AMT).alias("total_revenue"),
+          .agg(F.countDistinct(DRV).alias("total_drivers"), sum0(AMT).alias("total_revenue"),
                mavg(AMT).alias("avg_amount"), F.count(AMT).alias("transaction_count")))
     tot = g.agg(F.sum("total_revenue").alias("_all"))  # one row
     return (g.crossJoin(F.broadcast(tot))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.plans.sqlviews import ACT_CTE, PRICING_CTE, PROFILE_CTE, T_CTE, mavg, msum, sql
+from tenure.plans.sqlviews import ACT_CTE, NUDGE, PRICING_CTE, PROFILE_CTE, T_CTE, mavg, msum, r6, sql
 from tenure.plans.sqlviews import floor_days as fd
 from tenure.sources import load_activity, load_customer_profile, load_pricing, load_transactions
 
@@ -37,10 +37,14 @@ def register(name: str, oracle: str | None):
     return deco
 
 
-def rnd(df: DataFrame, **digits: int) -> DataFrame:
-    """Round the named double columns (query layer only)."""
-    return df.select(*[F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c)
-                       for c in df.columns])
+def rnd(df: DataFrame, means: tuple[str, ...] = (), **digits: int) -> DataFrame:
+    """Round the named double columns (query layer only); ``means`` are means
+    of amounts, rounded like ``sqlviews.r6``."""
+    def one(c):
+        if c in means:
+            return F.round(F.col(c) + NUDGE, 6).alias(c)
+        return F.round(F.col(c), digits[c]).alias(c) if c in digits else F.col(c)
+    return df.select(*[one(c) for c in df.columns])
 
 
 def T(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenure.operators import churn
-from tenure.plans.catalog import (ACT, CHURNED, PER_LAST, REF, T, T_CTE, ACT_CTE, fd, mavg, register, rnd,
+from tenure.plans.catalog import (ACT, CHURNED, PER_LAST, REF, T, T_CTE, ACT_CTE, fd, mavg, r6, register, rnd,
                                   sql)
 from tenure.sources.readers import load_transactions
 
@@ -16,7 +16,7 @@ def q_scan(spark, d):
 
 
 @register("churn_basic_metrics", sql(T_CTE, REF, """per AS (
-  SELECT driver_id, max(transaction_date) AS last, coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS total
+  SELECT driver_id, max(transaction_date) AS last, coalesce(sum(amount), 0) AS total
   FROM t WHERE driver_id IS NOT NULL GROUP BY driver_id)""", f"""x AS (
   SELECT count(*) AS total_drivers,
          count(*) FILTER (WHERE last < ref_date - INTERVAL 30 DAY) AS churned_drivers,
@@ -53,11 +53,11 @@ def q_churned(spark, d):
 
 @register("revenue_before_churn", sql(T_CTE, REF, PER_LAST, CHURNED, """r AS (
   SELECT t.driver_id, coalesce(sum(CASE WHEN t.transaction_date >= ch.last_transaction - INTERVAL 30 DAY
-                                   THEN CAST(t.amount AS DECIMAL(18,2)) END), 0) AS rev
+                                   THEN t.amount END), 0) AS rev
   FROM t JOIN ch ON t.driver_id = ch.driver_id GROUP BY t.driver_id)""",
- f"SELECT coalesce({mavg('rev')}, 0) AS avg_revenue_before_churn FROM r"))
+ f"SELECT {r6("coalesce(avg(rev), 0)")} AS avg_revenue_before_churn FROM r"))
 def q_rev_before(spark, d):
-    return churn.revenue_before_churn(T(spark, d))
+    return rnd(churn.revenue_before_churn(T(spark, d)), means=("avg_revenue_before_churn",))
 
 
 @register("churn_by_segment", sql(T_CTE, PER_LAST, """sd AS (
@@ -98,7 +98,7 @@ def q_tx_flag(spark, d):
 
 @register("kpi_summary", sql(T_CTE, REF, """per AS (
   SELECT driver_id, max(transaction_date) AS last, min(transaction_date) AS first,
-         coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS total
+         coalesce(sum(amount), 0) AS total
   FROM t WHERE driver_id IS NOT NULL GROUP BY driver_id)""", f"""x AS (
   SELECT count(*) AS n, count(*) FILTER (WHERE last < ref_date - INTERVAL 30 DAY) AS c,
          count(*) FILTER (WHERE last >= ref_date - INTERVAL 30 DAY) AS a,
@@ -112,7 +112,7 @@ def q_kpi(spark, d):
 
 
 @register("activity_churn_basic_metrics", sql(ACT_CTE, REF, """per AS (
-  SELECT driver_id, max(transaction_date) AS last, coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS total
+  SELECT driver_id, max(transaction_date) AS last, coalesce(sum(amount), 0) AS total
   FROM t WHERE driver_id IS NOT NULL GROUP BY driver_id)""", f"""x AS (
   SELECT count(*) AS total_drivers,
          count(*) FILTER (WHERE last < ref_date - INTERVAL 7 DAY) AS churned_drivers,

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from tenure.operators import cohort as C
-from tenure.plans.catalog import T, T_CTE, mavg, register, rnd, sql
+from tenure.plans.catalog import T, T_CTE, mavg, r6, register, rnd, sql
 
 MIDX = "(year({c}) * 12 + month({c}) - 1)"
 
 _DM = [
     """dm AS (SELECT driver_id, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
-        coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS amount FROM t
+        coalesce(sum(amount), 0) AS amount FROM t
         WHERE driver_id IS NOT NULL AND transaction_date IS NOT NULL GROUP BY 1, 2)""",
     """dmc AS (SELECT dm.*, min(month) OVER (PARTITION BY driver_id) AS cohort_month FROM dm)""",
     f"""cc AS (SELECT cohort_month, CAST({MIDX.format(c='month')} - {MIDX.format(c='cohort_month')} AS BIGINT) AS period_number,
@@ -55,9 +55,9 @@ def q_ltv_cum(spark, d):
 
 
 @register("cohort_period_means", sql(T_CTE, *_DM, f"""SELECT period_number, round(avg(retention), 6) AS avg_retention,
-  {mavg('ltv')} AS avg_ltv FROM ret GROUP BY period_number"""))
+  {r6(mavg('ltv'))} AS avg_ltv FROM ret GROUP BY period_number"""))
 def q_pm(spark, d):
-    return rnd(C.cohort_period_means(T(spark, d)), avg_retention=6)
+    return rnd(C.cohort_period_means(T(spark, d)), means=("avg_ltv",), avg_retention=6)
 
 
 @register("cohort_value_per_retained", sql(T_CTE, *_DM, """SELECT period_number,

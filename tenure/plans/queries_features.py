@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tenure.operators import drivers as D
 from tenure.operators import features as FE
-from tenure.plans.catalog import REF, T, T_CTE, fd, mavg, msum, register, rnd, sql
+from tenure.plans.catalog import REF, T, T_CTE, fd, mavg, msum, r6, register, rnd, sql
 
 MONTH = "CAST(date_trunc('month', transaction_date) AS DATE)"
 BASE = ["tx_id", "driver_id", "transaction_date", "amount", "kind"]
 ROUND = {"usage_intensity": 6, "value_trend": 4, "payment_volatility": 4, "payment_range": 2,
          "payment_consistency": 6, "risk_score": 6, "risk_value_interaction": 2,
-         "value_frequency_interaction": 2, "seasonal_value": 4}
+         "value_frequency_interaction": 2, "seasonal_value": 4, "total_value": 2}
+MEANS = ("avg_payment", "avg_value_per_month")
 
 _FEAT = [
     f"""ds AS (SELECT driver_id, count(transaction_date) AS transaction_frequency, min(transaction_date) AS first_ts,
@@ -50,14 +51,14 @@ _FEAT = [
 
 def _select(cols: list[str]) -> str:
     # "+ 0.0" turns DuckDB's -0.0 into 0.0 (Spark's rounding never yields -0.0)
-    parts = [f"round({c}, {ROUND[c]}) + 0.0 AS {c}" if c in ROUND else c for c in BASE + cols]
+    parts = [f"{r6(c)} AS {c}" if c in MEANS else f"round({c}, {ROUND[c]}) + 0.0 AS {c}" if c in ROUND else c for c in BASE + cols]
     return "SELECT " + ", ".join(parts) + " FROM w"
 
 
 def _reg(name, fn, cols):
     @register(name, sql(T_CTE, *_FEAT, _select(cols)))
     def q(spark, d):
-        return rnd(fn(T(spark, d)), **{c: ROUND[c] for c in cols if c in ROUND})
+        return rnd(fn(T(spark, d)), means=MEANS, **{c: ROUND[c] for c in cols if c in ROUND})
     return q
 
 
@@ -92,7 +93,7 @@ _DF_SQL = f"""dfe AS (SELECT driver_id, count(amount) AS total_transactions, {ma
   CAST({fd('max(transaction_date)', 'any_value(ref_date)')} > 30 AS BIGINT) AS churn,
   {', '.join(f"avg(CASE WHEN kind = '{k}' THEN 1.0 ELSE 0.0 END) AS payment_type_{k}" for k in _KS)}
   FROM t, ref WHERE driver_id IS NOT NULL GROUP BY driver_id)"""
-_IQR_ROUND = {"std_amount": 4, "total_amount": 2, "avg_transaction_per_day": 6,
+_IQR_ROUND = {"std_amount": 4, "total_amount": 4, "avg_transaction_per_day": 6,
               **{f"payment_type_{k}": 6 for k in _KS}}
 
 
@@ -106,7 +107,7 @@ def _iqr_sql() -> str:
             q1, med, q3 = f"q_{c}[1]", f"q_{c}[2]", f"q_{c}[3]"
             e = (f"CASE WHEN CAST({c} AS DOUBLE) < {q1} - 1.5 * ({q3} - {q1}) OR CAST({c} AS DOUBLE) > {q3} + 1.5 * ({q3} - {q1}) "
                  f"THEN {med} ELSE CAST({c} AS DOUBLE) END")
-            out.append(f"round({e}, {_IQR_ROUND[c]}) AS {c}" if c in _IQR_ROUND else f"{e} AS {c}")
+            out.append(f"{r6(e)} AS {c}" if c == "avg_amount" else f"round({e}, {_IQR_ROUND[c]}) AS {c}" if c in _IQR_ROUND else f"{e} AS {c}")
         else:
             out.append(c)
     return f"SELECT {', '.join(out)} FROM dfe, (SELECT {qs} FROM dfe) q"
@@ -114,7 +115,7 @@ def _iqr_sql() -> str:
 
 @register("iqr_outlier_treatment", sql(T_CTE, REF, _DF_SQL, _iqr_sql()))
 def q_iqr(spark, d):
-    return rnd(FE.iqr_outlier_treatment(D.driver_features(T(spark, d)), "churn"), **_IQR_ROUND)
+    return rnd(FE.iqr_outlier_treatment(D.driver_features(T(spark, d)), "churn"), means=("avg_amount",), **_IQR_ROUND)
 
 
 @register("feature_text", None)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tenure.operators import monthly as M
-from tenure.plans.catalog import T, T_CTE, mavg, msum, register, rnd, sql
+from tenure.plans.catalog import T, T_CTE, mavg, msum, r6, register, rnd, sql
 
 MONTH = "CAST(date_trunc('month', transaction_date) AS DATE)"
 MNUM = "CAST(month(transaction_date) AS INTEGER)"
@@ -45,27 +45,27 @@ def q_mc(spark, d):
 
 def _stats_sql(key: str) -> str:
     return sql(T_CTE, f"""SELECT {key} AS month, count(DISTINCT driver_id) AS n_drivers,
-  {msum('amount')} AS total_amount, {mavg('amount')} AS avg_amount,
+  round({msum('amount')}, 2) AS total_amount, {r6(mavg('amount'))} AS avg_amount,
   count(amount) AS n_transactions
 FROM t WHERE transaction_date IS NOT NULL GROUP BY 1""")
 
 
 @register("monthly_stats", _stats_sql(MONTH))
 def q_ms(spark, d):
-    return M.monthly_stats(T(spark, d))
+    return rnd(M.monthly_stats(T(spark, d)), means=("avg_amount",), total_amount=2)
 
 
 @register("monthly_stats_calendar", _stats_sql(MNUM))
 def q_msc(spark, d):
-    return M.monthly_stats(T(spark, d), key="month")
+    return rnd(M.monthly_stats(T(spark, d), key="month"), means=("avg_amount",), total_amount=2)
 
 
 @register("kind_stats", sql(T_CTE, f"""SELECT kind, count(DISTINCT driver_id) AS n_drivers,
-  {msum('amount')} AS total_amount, {mavg('amount')} AS avg_amount,
+  round({msum('amount')}, 2) AS total_amount, {r6(mavg('amount'))} AS avg_amount,
   count(amount) AS n_transactions
 FROM t WHERE kind IS NOT NULL GROUP BY kind"""))
 def q_ks(spark, d):
-    return M.kind_stats(T(spark, d))
+    return rnd(M.kind_stats(T(spark, d)), means=("avg_amount",), total_amount=2)
 
 
 @register("monthly_trend", sql(T_CTE, *_flows(MONTH),

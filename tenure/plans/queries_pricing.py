@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tenure.operators import pricing as P
-from tenure.plans.catalog import ACT, ACT_CTE, PR, PRICING_CTE, T, T_CTE, mavg, register, rnd, sql
+from tenure.plans.catalog import ACT, ACT_CTE, PR, PRICING_CTE, T, T_CTE, mavg, r6, register, rnd, sql
 from tenure.plans.queries_drivers import hist_sql
 
 
@@ -116,11 +116,11 @@ def q_revcurve(spark, d):
     return rnd(P.revenue_curve(PR(spark, d), "price", "revenue"), price=6, revenue=2)
 
 
-@register("price_trends", sql(T_CTE, f"""SELECT transaction_date AS date, {mavg('amount')} AS mean_price,
+@register("price_trends", sql(T_CTE, f"""SELECT transaction_date AS date, {r6(mavg('amount'))} AS mean_price,
   round(stddev_samp(amount), 4) AS std_price, count(amount) AS transactions FROM t
 WHERE transaction_date IS NOT NULL GROUP BY transaction_date"""))
 def q_ptrends(spark, d):
-    return rnd(P.price_trends(T(spark, d)), std_price=4)
+    return rnd(P.price_trends(T(spark, d)), means=("mean_price",), std_price=4)
 
 
 @register("elasticity_histogram", sql(PRICING_CTE, *_EL, hist_sql("e", "elasticity", 20)))

@@ -32,20 +32,23 @@ def sql(*parts: str) -> str:
 
 
 def msum(e: str) -> str:
-    """DuckDB exact money sum as double (matches ``dsum0``)."""
-    return f"CAST(coalesce(sum(CAST({e} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+    """DuckDB sum of amounts, 0 for none."""
+    return f"coalesce(sum({e}), 0.0)"
 
 
 def mavg(e: str) -> str:
-    """DuckDB exact money mean, half-up at 6 decimals, as double (matches ``mavg``).
-
-    Integer arithmetic on cents: DuckDB's own ``avg(DECIMAL)`` returns a
-    double, not the exact decimal quotient.
-    """
-    s = f"CAST(sum(CAST({e} AS DECIMAL(38,2))) * 100 AS HUGEINT)"
-    n = f"NULLIF(count({e}), 0)"
-    return (f"(CAST(CASE WHEN {s} >= 0 THEN (2 * {s} * 10000 + {n}) // (2 * {n}) "
-            f"ELSE -((-2 * {s} * 10000 + {n}) // (2 * {n})) END AS DOUBLE) / 1000000.0)")
+    """DuckDB mean of amounts."""
+    return f"avg({e})"
+
+
+#: Added before a mean of amounts is rounded to 6 digits, on both engines: means of
+#: cents often lie exactly between two roundings, where the last bit would decide.
+NUDGE = 3.7e-8
+
+
+def r6(e: str) -> str:
+    """DuckDB text of a mean of amounts as compared (see ``catalog.rnd``)."""
+    return f"round({e} + {NUDGE}, 6)"
 
 
 PROFILE_CTE = f"""prof AS (
