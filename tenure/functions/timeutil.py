@@ -43,13 +43,3 @@ def month_start(ts) -> Column:
 def month_index(ts) -> Column:
     """Months since year 0: ``year*12 + month − 1``; differences give periods."""
     return (F.year(_c(ts)) * 12 + F.month(_c(ts)) - 1).cast("long")
-
-
-def month_number(ts) -> Column:
-    """Calendar month 1..12 (years merged)."""
-    return F.month(_c(ts))
-
-
-def pandas_weekday(ts) -> Column:
-    """Monday = 0 … Sunday = 6 (pandas ``dayofweek``)."""
-    return F.weekday(_c(ts))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.models.prepare import fill_features
+from tenure.operators.evaluation import churn_correlation, correlation_graph
 from tenure.sources.schema import numeric_columns
 
 IDS = ("driver_id", "tx_id")
@@ -38,3 +39,22 @@ def churn_drivers_importance(df: DataFrame, label: str = "churn", trees: int = 2
                                 featureSubsetStrategy="sqrt", seed=seed)
     model = rf.fit(asm.transform(data))
     return feature_importance(df.sparkSession, model, feats, k=None), feats, model
+
+
+def top_features(df: DataFrame, k: int, label: str = "churn", **model_args) -> list[tuple[str, float]]:
+    """The ``k`` most important features of the driver model with their importances."""
+    imp, _, _ = churn_drivers_importance(df, label, **model_args)
+    return [(r.feature, r.importance) for r in imp.orderBy(F.desc("importance"), "feature").limit(k).collect()]
+
+
+def churn_correlation_top(df: DataFrame, label: str = "churn", k: int = 5, **model_args) -> DataFrame:
+    """|corr(feature, label)| of the ``k`` most important features."""
+    return churn_correlation(df, [f for f, _ in top_features(df, k, label, **model_args)], label)
+
+
+def importance_graph(df: DataFrame, label: str = "churn", k: int = 10, threshold: float = 0.3, **model_args) -> DataFrame:
+    """Correlation graph of the ``k`` most important features: node rows
+    (source, NULL, importance) and edge rows (source, target, |corr|)."""
+    top = top_features(df, k, label, **model_args)
+    nodes = df.sparkSession.createDataFrame([(f, None, float(w)) for f, w in top], "source string, target string, weight double")
+    return nodes.unionByName(correlation_graph(df, [f for f, _ in top], threshold))

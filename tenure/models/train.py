@@ -11,15 +11,11 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Grids of the reference's search (full size); queries use a small one.
-FULL_GRID = {
+# The parameter grids of the search.
+GRID = {
     "rf": {"numTrees": [100, 200], "maxDepth": [5, 10]},
     "gb": {"maxIter": [100, 200], "maxDepth": [3, 5], "stepSize": [0.1, 0.01]},
 }
-SMALL_GRID = {
-    "rf": {"numTrees": [20], "maxDepth": [5]},
-    "gb": {"maxIter": [10], "maxDepth": [3], "stepSize": [0.1]},
-}
 
 
 def _estimator(kind: str, label: str, seed: int):
@@ -32,12 +28,12 @@ def _estimator(kind: str, label: str, seed: int):
 
 def train(df: DataFrame, features: list[str], label: str = "churn", kind: str = "rf", grid: dict | None = None,
           folds: int = 5, seed: int = 42, parallelism: int | None = None) -> CrossValidatorModel:
-    """Grid search with k-fold CV on ROC-AUC.  ``df`` must carry the
-    stratified ``fold`` column of :func:`tenure.models.prepare.stratified_split`."""
+    """Grid search (default: the whole ``GRID[kind]``) with k-fold CV on ROC-AUC.
+    ``df`` must carry the stratified ``fold`` column of :func:`tenure.models.prepare.stratified_split`."""
     est = _estimator(kind, label, seed)
     asm = VectorAssembler(inputCols=features, outputCol="features")
     pipe = Pipeline(stages=[asm, est])
-    g = grid or SMALL_GRID[kind]
+    g = grid or GRID[kind]
     pb = ParamGridBuilder()
     for name, values in g.items():
         pb = pb.addGrid(est.getParam(name), values)

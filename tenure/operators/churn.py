@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import floor_days, minus_days, month_start
-from tenure.operators.common import (AMT, DRV, KIND, TS, TX, drivers, mavg, per_driver_with_ref, ref_date,
+from tenure.operators.common import (AMT, DRV, KIND, TS, TX, drivers, heavy_drivers, join_drivers, mavg, per_driver_with_ref, ref_date,
                                      sum0, with_ref)
 
 
@@ -75,10 +75,11 @@ def revenue_before_churn(t: DataFrame, window_days: int = 30, pre_churn_window:
     days up to (and including) their last transaction; 0 if nobody churned.
 
     The per-driver window is a join of the churned drivers' last dates back
-    to their rows (AQE splits a skewed driver), then a grouped sum.
+    to their rows (a heavy driver's rows are salted), then a grouped sum
+    with partial sums in every task.
     """
     ch = churned_drivers(t, window_days)
-    rows = drivers(t).select(DRV, TS, AMT).join(ch, DRV)
+    rows = join_drivers(drivers(t).select(DRV, TS, AMT), ch, heavy_drivers(t), "inner")
     in_win = F.col(TS) >= minus_days("last_transaction", pre_churn_window)
     per = rows.groupBy(DRV).agg(sum0(F.when(in_win, F.col(AMT))).alias("rev"))
     return per.agg(F.coalesce(mavg("rev"), F.lit(0.0)).alias("avg_revenue_before_churn"))
@@ -126,7 +127,7 @@ def segment_churn_last_kind(t: DataFrame, days: int = 30) -> DataFrame:
 def transaction_churn_flag(t: DataFrame, window_days: int = 30, target: str = "churn") -> DataFrame:
     """Every row gets its driver's CP1 churn flag (0/1)."""
     ch = churned_drivers(t, window_days).select(DRV, F.lit(1).alias("_c"))
-    return (t.join(ch, DRV, "left")
+    return (join_drivers(t, ch, heavy_drivers(t))
              .withColumn(target, F.coalesce(F.col("_c"), F.lit(0)))
              .drop("_c"))
 

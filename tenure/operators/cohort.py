@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import month_index, month_start
-from tenure.operators.common import AMT, DRV, TS, drivers, mavg, sum0
+from tenure.operators.common import AMT, DRV, TS, drivers, heavy_drivers, join_drivers, mavg, sum0
 
 
 def cohort_assign(t: DataFrame) -> DataFrame:
     """Every row with its driver's cohort month (month of the first
     transaction) and ``period_number`` = months since the cohort month."""
     first = drivers(t).groupBy(DRV).agg(F.min(TS).alias("_first"))
-    x = t.join(first, DRV, "left")
+    x = join_drivers(t, first, heavy_drivers(t))
     return (x.withColumn("cohort_month", month_start("_first"))
              .withColumn("period_number", month_index(TS) - month_index("_first"))
              .drop("_first"))
@@ -50,13 +50,28 @@ def cohort_retention(t: DataFrame) -> DataFrame:
                     F.try_divide(F.col("drivers"), base).alias("retention"))
 
 
-def cohort_retention_wide(t: DataFrame, periods: int = 6) -> DataFrame:
-    """Retention pivoted to columns ``period_0 .. period_{periods-1}`` (fixed schema)."""
-    r = cohort_retention(t).where(F.col("period_number") < periods)
-    wide = r.groupBy("cohort_month").pivot("period_number", list(range(periods))).agg(F.first("retention"))
+def _months(t: DataFrame) -> int:
+    """Calendar months from the first to the last date: no cohort has more periods."""
+    r = drivers(t).agg(month_index(F.min(TS)).alias("lo"), month_index(F.max(TS)).alias("hi")).first()
+    return 0 if r.lo is None else int(r.hi - r.lo) + 1
+
+
+def _wide(cells: DataFrame, value: str, periods: int) -> DataFrame:
+    wide = cells.groupBy("cohort_month").pivot("period_number", list(range(periods))).agg(F.first(value))
     return wide.select("cohort_month", *[F.col(str(p)).alias(f"period_{p}") for p in range(periods)])
 
 
+def cohort_retention_wide(t: DataFrame) -> DataFrame:
+    """Retention pivoted to one column per period, ``period_0`` to the last
+    calendar month of the data."""
+    return _wide(cohort_retention(t), "retention", _months(t))
+
+
+def cohort_ltv_wide(t: DataFrame) -> DataFrame:
+    """LTV pivoted like :func:`cohort_retention_wide`."""
+    return _wide(cohort_ltv(t), "ltv", _months(t))
+
+
 def cohort_ltv(t: DataFrame) -> DataFrame:
     """Σ amount per (cohort, period)."""
     return cohort_counts(t).select("cohort_month", "period_number", F.col("ltv").cast("double").alias("ltv"))

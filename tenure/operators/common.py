@@ -46,3 +46,32 @@ def per_driver_with_ref(t: DataFrame, *aggs, ref_name: str = "ref_date") -> Data
     """
     per = drivers(t).groupBy(DRV).agg(*aggs)
     return with_ref(per, ref_date(t, ref_name))
+
+
+# A driver counts as heavy from this share of all rows on, so there are at
+# most HEAVY_SHARE of them: a proven bound for broadcasting their ids.
+HEAVY_SHARE = 200
+SALTS = 64
+
+
+def heavy_drivers(t: DataFrame) -> DataFrame:
+    """(driver_id) of the drivers with over 1/HEAVY_SHARE of all rows; at most HEAVY_SHARE rows."""
+    n = drivers(t).groupBy(DRV).agg(F.count(F.lit(1)).alias("_n"))
+    total = n.agg(F.sum("_n").alias("_all"))  # one row
+    return n.crossJoin(F.broadcast(total)).where(F.col("_n") * HEAVY_SHARE > F.col("_all")).select(DRV)
+
+
+def join_drivers(rows: DataFrame, per: DataFrame, heavy: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` joined to the one-row-per-driver frame ``per``.
+
+    AQE can't split a driver here: ``per`` is an aggregate and keeps its own
+    partitioning.  So a heavy driver's rows get one of SALTS salts, and its row
+    of ``per`` is repeated once per salt; all others have salt 0.
+    """
+    hot = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, DRV, "left").withColumn("_salt", salt).drop("_hot")
+    right = per.join(hot, DRV, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [DRV, "_salt"], how).drop("_salt").select(
+        *rows.columns, *[c for c in per.columns if c != DRV])

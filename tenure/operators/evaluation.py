@@ -17,6 +17,7 @@ from tenure.functions.numeric import qcut_score
 from tenure.functions.ordering import GIDX, cumsum_ordered, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, minus_days
 from tenure.operators.common import DRV, TS, drivers, ref_date, with_ref
+from tenure.sources.schema import numeric_columns
 
 
 def scored_fixture(t: DataFrame, horizon_days: int = 180, days: int = 30) -> DataFrame:
@@ -150,13 +151,15 @@ def safe_corr(x, y) -> F.Column:
     return F.try_divide(F.covar_pop(xb, yb), F.stddev_pop(xb) * F.stddev_pop(yb))
 
 
-def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson correlations as long rows (x, y, r).
+def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Pairwise-complete Pearson correlations of ``cols`` (default: every
+    numeric column) as long rows (x, y, r).
 
     Each row is exploded into its k(k+1)/2 column pairs and grouped by pair:
     three small aggregates per group stay in whole-stage codegen and partial
     aggregation leaves one row per pair and task to shuffle (a single
     aggregation with 3·k(k+1)/2 expressions compiles poorly)."""
+    cols = cols if cols is not None else numeric_columns(df)
     pairs = list(itertools.combinations_with_replacement(range(len(cols)), 2))
     st = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
                                       F.col(cols[i]).cast("double").alias("a"),

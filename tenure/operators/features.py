@@ -2,8 +2,8 @@
 interaction), profile features, IQR outlier treatment, feature text.
 
 Per-driver statistics are computed with one ``groupBy(driver_id)`` and
-joined back (AQE splits a skewed driver in the join) instead of a window
-partitioned by driver, which would put a hot driver's rows in one task.
+joined back (a heavy driver's rows are salted, see ``join_drivers``) instead
+of a window partitioned by driver, which would put its rows in one task.
 Row-order features (3-row rolling mean, slope over row position) use the
 global row index of :mod:`tenure.functions.ordering`: a driver's rows are
 contiguous in that index, so a lag is an equi-join on the index and the
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tenure.functions.numeric import exact_quantiles
 from tenure.functions.ordering import GIDX, PID, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, month_start
-from tenure.operators.common import AMT, DRV, TS, TX, mavg, sum0
+from tenure.operators.common import AMT, DRV, TS, TX, heavy_drivers, join_drivers, mavg, sum0
 from tenure.sources.schema import numeric_columns
 
 TEMPORAL = ["day_of_week", "month", "quarter", "is_weekend", "transaction_frequency",
@@ -96,7 +96,7 @@ def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "moneta
         x = (rows.withColumn("_ym", month_start(TS))
                  .join(mm.join(stats, DRV), [DRV, "_ym"], "left").drop("_ym"))
     else:
-        x = rows.join(stats, DRV, "left")
+        x = join_drivers(rows, stats, heavy_drivers(t))
     x = (x.withColumn("day_of_week", F.weekday(TS))
           .withColumn("month", F.month(TS))
           .withColumn("quarter", F.quarter(TS))

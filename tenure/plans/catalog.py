@@ -15,9 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.plans.sqlviews import ACT_CTE, NUDGE, PRICING_CTE, PROFILE_CTE, T_CTE, mavg, msum, r6, sql
+from tenure.plans.sqlviews import ACT_CTE, MIXED_CTE, NUDGE, PRICING_CTE, PROFILE_CTE, T_CTE, mavg, msum, r6, sql
 from tenure.plans.sqlviews import floor_days as fd
-from tenure.sources import load_activity, load_customer_profile, load_pricing, load_transactions
+from tenure.sources import load_activity, load_customer_profile, load_mixed, load_pricing, load_transactions
 
 
 @dataclass
@@ -55,6 +55,10 @@ def ACT(spark, d):
     return load_activity(spark, d)
 
 
+def MIX(spark, d):
+    return load_mixed(spark, d)
+
+
 def PR(spark, d):
     return load_pricing(spark, d)
 

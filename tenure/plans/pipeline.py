@@ -1,7 +1,7 @@
 """The staged retention job and persistence of its results.
 
-read → transaction features → churn / cohort / segment tables → model →
-parquet report.  Every table is written by Spark (one folder per table, a
+read → transaction features → churn / cohort / segment tables → price tables →
+driver importances → model → evaluation tables.  Every table is written by Spark (one folder per table, a
 one-row metadata table beside them); nothing is collected on the driver
 except the model's AUCs.
 """
@@ -10,25 +10,30 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import month_start
-from tenure.operators import churn, cohort, drivers, features, monthly, segments
+from tenure.operators import churn, cohort, drivers, evaluation, features, monthly, pricing, segments
 
 META = "_metadata"
 DATA = "processed_transactions"
 
 
 def write_processed(df: DataFrame, metrics: dict[str, DataFrame], path: str,
-                    partition_by_month: bool = True) -> None:
+                    partition_by_month: bool = True, files_per_month: int = 4) -> None:
     """Processed transactions (partitioned by month, so later reads prune),
-    each metric frame, and a metadata row (last_processed, rows, columns)."""
-    w = df.withColumn("_month", month_start("transaction_date")) if partition_by_month else df
-    writer = w.write.mode("overwrite")
+    each metric frame, and a metadata row (last_processed, rows, columns).
+
+    Rows are dealt by month and a spread key first, so a month has
+    ``files_per_month`` files at most instead of one per task."""
     if partition_by_month:
-        writer = writer.partitionBy("_month")
-    writer.parquet(f"{path}/{DATA}")
+        w = df.withColumn("_month", month_start("transaction_date"))
+        w = w.repartition("_month", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_month)))
+        w.write.mode("overwrite").partitionBy("_month").parquet(f"{path}/{DATA}")
+    else:
+        df.write.mode("overwrite").parquet(f"{path}/{DATA}")
     for name, m in metrics.items():
         m.write.mode("overwrite").parquet(f"{path}/metrics/{name}")
     spark = df.sparkSession
@@ -41,42 +46,96 @@ def write_processed(df: DataFrame, metrics: dict[str, DataFrame], path: str,
 
 
 def load_processed(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """Reload what :func:`write_processed` wrote; FileNotFoundError if absent."""
+    """Reload what :func:`write_processed` wrote; FileNotFoundError if absent.
+    Any other failure to read is raised as it is."""
     try:
         meta = spark.read.parquet(f"{path}/{META}")
-    except Exception as e:  # AnalysisException: path does not exist
-        raise FileNotFoundError(f"no processed data under {path}") from e
-    names = meta.select("metrics").first()[0]  # one row of metadata
-    cols = meta.select("columns").first()[0]
-    df = spark.read.parquet(f"{path}/{DATA}").select(*cols)
-    return df, {n: spark.read.parquet(f"{path}/metrics/{n}") for n in names}, meta
-
-
-def run_pipeline(spark: SparkSession, t: DataFrame, out: str, train_model: bool = True) -> dict:
-    """The whole job on a canonical transactions frame; returns a summary."""
-    feats = features.transaction_features(t)
-    metrics = {
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"no processed data under {path}") from e
+        raise
+    row = meta.select("metrics", "columns").first()  # one row of metadata
+    df = spark.read.parquet(f"{path}/{DATA}").select(*row.columns)
+    return df, {n: spark.read.parquet(f"{path}/metrics/{n}") for n in row.metrics}, meta
+
+
+def churn_tables(t: DataFrame) -> dict[str, DataFrame]:
+    """KPIs, the advanced bundle, monthly, segment and cohort tables."""
+    return {
         "churn_basic_metrics": churn.churn_basic_metrics(t),
-        "lifetime_summary": churn.lifetime_summary(t),
-        "revenue_before_churn": churn.revenue_before_churn(t),
+        **churn.advanced_metrics(t),
         "churn_by_segment": churn.churn_by_segment(t),
-        "churn_seasonality": churn.churn_seasonality(t),
         "monthly_churn": monthly.monthly_churn(t),
+        "monthly_trend": monthly.monthly_trend(t),
+        "kind_stats": monthly.kind_stats(t),
+        "segment_profile": segments.segment_profile(t),
+        "segment_strategy": segments.segment_strategy(t),
+        "segment_priority": segments.segment_priority(t),
         "cohort_retention": cohort.cohort_retention(t),
         "cohort_ltv": cohort.cohort_ltv(t),
-        "segment_strategy": segments.segment_strategy(t),
+        "cohort_ltv_cumulative": cohort.cohort_ltv_cumulative(t),
+        "cohort_period_means": cohort.cohort_period_means(t),
+        "cohort_value_per_retained": cohort.cohort_value_per_retained(t),
         "driver_features": drivers.driver_features(t),
+        "rfm_scores": drivers.rfm_scores(t),
+    }
+
+
+def price_tables(p: DataFrame) -> dict[str, DataFrame]:
+    """Price stage on a frame with price, demand, revenue and segment."""
+    return {
+        "elasticity_curve": pricing.elasticity_curve(p, "price", "demand"),
+        "optimal_price": pricing.optimal_price(p, "price", "revenue"),
+        "segment_price_sensitivity": pricing.segment_price_sensitivity(p, "segment", "price", "demand", "revenue"),
+        "revenue_curve": pricing.revenue_curve(p, "price", "revenue"),
     }
-    write_processed(feats, metrics, out)
-    summary = {"out": out}
+
+
+def evaluation_tables(scored: DataFrame) -> dict[str, DataFrame]:
+    """Evaluation tables of a scored frame (y_true, y_pred, y_prob)."""
+    return {"confusion_matrix": evaluation.confusion_matrix(scored), "roc_auc": evaluation.roc_auc(scored),
+            "roc_curve": evaluation.roc_curve(scored), "pr_curve": evaluation.pr_curve(scored),
+            "classification_report": evaluation.classification_report(scored), "calibration": evaluation.calibration(scored)}
+
+
+def _write_tables(tables: dict[str, DataFrame], out: str, stage: str) -> None:
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{out}/{stage}/{name}")
+
+
+def run_pipeline(spark: SparkSession, t: DataFrame, out: str, prices: DataFrame | None = None, train_model: bool = True,
+                 reuse: bool = True, grids: dict | None = None) -> dict:
+    """The whole job on a canonical transactions frame; returns a summary.
+
+    Features and metrics are written once and read from there by the later
+    stages (price tables, importances, model, evaluation).  With ``reuse`` a
+    stored result under ``out`` is read instead of computed again."""
+    summary: dict = {"out": out, "reused": False}
+    try:
+        if not reuse:
+            raise FileNotFoundError
+        feats, metrics, _ = load_processed(spark, out)
+        summary["reused"] = True
+    except FileNotFoundError:
+        write_processed(features.transaction_features(t), churn_tables(t), out)
+        feats, metrics, _ = load_processed(spark, out)
+    if prices is not None:
+        _write_tables(price_tables(prices), out, "prices")
     if train_model:
+        from tenure.models.importance import churn_drivers_importance, feature_importance
         from tenure.models.prepare import fill_features, model_columns, stratified_split
-        from tenure.models.train import save_model, select_model, train
-        df = spark.read.parquet(f"{out}/metrics/driver_features")
+        from tenure.models.train import predict, save_model, select_model, train
+        importances, _, _ = churn_drivers_importance(churn.transaction_churn_flag(feats), "churn")
+        _write_tables({"driver_importance": importances}, out, "causal")
+        df = metrics["driver_features"]
         cols = model_columns(df)
         tr, te = stratified_split(fill_features(df, cols), "churn", materialize=True)
-        rf, gb = train(tr, cols, kind="rf"), train(tr, cols, kind="gb")
+        grids = grids or {}
+        rf, gb = (train(tr, cols, kind=k, grid=grids.get(k)) for k in ("rf", "gb"))
         kind, best, a_rf, a_gb = select_model(rf, gb, te)
         save_model(best, f"{out}/model")  # the selected model is the one saved
+        predict(best, te).write.mode("overwrite").parquet(f"{out}/model_tables/scored")
+        scored = spark.read.parquet(f"{out}/model_tables/scored")
+        _write_tables(evaluation_tables(scored) | {"feature_importance": feature_importance(spark, best, cols, k=None)}, out, "model_tables")
         summary.update({"selected": kind, "auc_rf": a_rf, "auc_gb": a_gb})
     return summary

@@ -115,11 +115,11 @@ def q_kpi(spark, d):
   SELECT driver_id, max(transaction_date) AS last, coalesce(sum(amount), 0) AS total
   FROM t WHERE driver_id IS NOT NULL GROUP BY driver_id)""", f"""x AS (
   SELECT count(*) AS total_drivers,
-         count(*) FILTER (WHERE last < ref_date - INTERVAL 7 DAY) AS churned_drivers,
-         count(*) FILTER (WHERE last >= ref_date - INTERVAL 7 DAY) AS n_active,
-         {mavg('CASE WHEN last >= ref_date - INTERVAL 7 DAY THEN total END')} / (7 / 30.0) AS active_rev
+         count(*) FILTER (WHERE last < ref_date - INTERVAL 1 DAY) AS churned_drivers,
+         count(*) FILTER (WHERE last >= ref_date - INTERVAL 1 DAY) AS n_active,
+         {mavg('CASE WHEN last >= ref_date - INTERVAL 1 DAY THEN total END')} / (1 / 30.0) AS active_rev
   FROM per, ref)""",
  """SELECT total_drivers, churned_drivers, round(churned_drivers / total_drivers, 6) AS churn_rate,
        round(active_rev * (n_active * (churned_drivers / total_drivers)), 2) AS revenue_at_risk FROM x"""))
 def q_act_basic(spark, d):
-    return rnd(churn.churn_basic_metrics(ACT(spark, d), window_days=7), churn_rate=6, revenue_at_risk=2)
+    return rnd(churn.churn_basic_metrics(ACT(spark, d), window_days=1), churn_rate=6, revenue_at_risk=2)

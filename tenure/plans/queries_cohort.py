@@ -35,11 +35,24 @@ def q_ret(spark, d):
     return rnd(C.cohort_retention(T(spark, d)), retention=6)
 
 
-@register("cohort_retention_wide", sql(T_CTE, *_DM, "SELECT cohort_month, " + ", ".join(
-    f"round(max(CASE WHEN period_number = {p} THEN retention END), 6) AS period_{p}" for p in range(6))
-    + " FROM ret GROUP BY cohort_month"))
+PERIODS = 80  # calendar months of ``orders`` at every scale
+
+
+def _wide_sql(value: str, digits: int) -> str:
+    cols = ", ".join(f"round(max(CASE WHEN period_number = {p} THEN {value} END), {digits}) AS period_{p}" for p in range(PERIODS))
+    return sql(T_CTE, *_DM, f"SELECT cohort_month, {cols} FROM ret GROUP BY cohort_month")
+
+
+@register("cohort_retention_wide", _wide_sql("retention", 6))
 def q_ret_wide(spark, d):
-    return rnd(C.cohort_retention_wide(T(spark, d)), **{f"period_{p}": 6 for p in range(6)})
+    w = C.cohort_retention_wide(T(spark, d))
+    return rnd(w, **{c: 6 for c in w.columns[1:]})
+
+
+@register("cohort_ltv_wide", _wide_sql("ltv", 2))
+def q_ltv_wide(spark, d):
+    w = C.cohort_ltv_wide(T(spark, d))
+    return rnd(w, **{c: 2 for c in w.columns[1:]})
 
 
 @register("cohort_ltv", sql(T_CTE, *_DM, "SELECT cohort_month, period_number, round(CAST(ltv AS DOUBLE), 2) AS ltv FROM cc"))

@@ -109,11 +109,12 @@ def q_prob_hist(spark, d):
     return rnd(histogram(S(spark, d), "y_prob", 30), bin_start=6, bin_end=6)
 
 
-CORR_COLS = ["total_transactions", "avg_amount", "std_amount", "total_amount", "days_active",
-             "avg_transaction_per_day", "churn", "payment_type_FIRST_PAYMENT",
-             "payment_type_FIRST_PAYMENT_EXCHANGE", "payment_type_RECURRENCY"]
-TOP = ["total_transactions", "avg_amount", "std_amount", "total_amount", "days_active"]
-GRAPH = TOP + ["avg_transaction_per_day"]
+# The numeric columns of the driver feature table, in its order: what the
+# queries take from the frame itself, spelt out for the SQL.
+NUMERIC = ["driver_id", "total_transactions", "avg_amount", "std_amount", "total_amount", "days_active",
+           "avg_transaction_per_day", "churn", "payment_type_FIRST_PAYMENT",
+           "payment_type_FIRST_PAYMENT_EXCHANGE", "payment_type_RECURRENCY"]
+INPUTS = [c for c in NUMERIC if c not in ("driver_id", "churn")]
 
 
 def _corr_pairs_sql(cols):
@@ -124,25 +125,45 @@ def _corr_pairs_sql(cols):
     return "\nUNION ALL ".join(rows)
 
 
-@register("correlation_matrix", sql(T_CTE, REF, _DF_SQL, "cm AS (" + _corr_pairs_sql(CORR_COLS) + ")",
+@register("correlation_matrix", sql(T_CTE, REF, _DF_SQL, "cm AS (" + _corr_pairs_sql(NUMERIC) + ")",
                                     "SELECT x, y, round(r, 6) AS r FROM cm"))
 def q_corr(spark, d):
-    return rnd(EV.correlation_matrix(D.driver_features(T(spark, d)), CORR_COLS), r=6)
+    return rnd(EV.correlation_matrix(D.driver_features(T(spark, d))), r=6)
 
 
 @register("churn_correlation", sql(T_CTE, REF, _DF_SQL, "SELECT * FROM (" + "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, round(abs(corr(CAST({f} AS DOUBLE), CAST(churn AS DOUBLE))), 6) AS correlation FROM dfe"
-    for f in TOP) + ")"))
+    for f in INPUTS) + ")"))
 def q_churn_corr(spark, d):
-    return rnd(EV.churn_correlation(D.driver_features(T(spark, d)), TOP, "churn"), correlation=6)
+    from tenure.models.prepare import model_columns
+    df = D.driver_features(T(spark, d))
+    return rnd(EV.churn_correlation(df, model_columns(df), "churn"), correlation=6)
 
 
 @register("correlation_graph", sql(T_CTE, REF, _DF_SQL, "cm AS (" + "\nUNION ALL ".join(
     f"SELECT '{a}' AS source, '{b}' AS target, abs(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))) AS w FROM dfe"
-    for i, a in enumerate(GRAPH) for b in GRAPH[i + 1:]) + ")",
+    for i, a in enumerate(INPUTS) for b in INPUTS[i + 1:]) + ")",
     "SELECT source, target, round(w, 6) AS weight FROM cm WHERE w > 0.3"))
 def q_graph(spark, d):
-    return rnd(EV.correlation_graph(D.driver_features(T(spark, d)), GRAPH, 0.3), weight=6)
+    from tenure.models.prepare import model_columns
+    df = D.driver_features(T(spark, d))
+    return rnd(EV.correlation_graph(df, model_columns(df), 0.3), weight=6)
+
+
+def _flagged(spark, d):
+    return transaction_churn_flag(FE.transaction_features(T(spark, d)), 30)
+
+
+@register("churn_correlation_top", None)
+def q_churn_corr_top(spark, d):
+    from tenure.models.importance import churn_correlation_top
+    return rnd(churn_correlation_top(_flagged(spark, d), "churn", 5), correlation=6)
+
+
+@register("importance_graph", None)
+def q_importance_graph(spark, d):
+    from tenure.models.importance import importance_graph
+    return rnd(importance_graph(_flagged(spark, d), "churn", 10, 0.3), weight=6)
 
 
 # --- Spark ML keys (no SQL form: rows-only) --------------------------------
@@ -207,6 +228,5 @@ def q_importance(spark, d):
 @register("churn_drivers_importance", None)
 def q_drivers_importance(spark, d):
     from tenure.models.importance import churn_drivers_importance
-    tf = transaction_churn_flag(FE.transaction_features(T(spark, d)), 30)
-    imp, _, _ = churn_drivers_importance(tf, "churn")
+    imp, _, _ = churn_drivers_importance(_flagged(spark, d), "churn")
     return imp

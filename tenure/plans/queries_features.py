@@ -118,6 +118,15 @@ def q_iqr(spark, d):
     return rnd(FE.iqr_outlier_treatment(D.driver_features(T(spark, d)), "churn"), means=("avg_amount",), **_IQR_ROUND)
 
 
+_TEXT = ["total_transactions", "days_active", "churn"]
+
+
+@register("feature_text_rows", sql(T_CTE, REF, _DF_SQL, "SELECT driver_id, " + " || ' ' || ".join(
+    f"'{c} ' || coalesce(CAST({c} AS VARCHAR), 'nan')" for c in _TEXT) + " AS feature_text FROM dfe"))
+def q_text_rows(spark, d):
+    return FE.feature_text(D.driver_features(T(spark, d)), _TEXT, id_col="driver_id").select("driver_id", "feature_text")
+
+
 @register("feature_text", None)
 def q_text(spark, d):
     df = D.driver_features(T(spark, d))
@@ -125,11 +134,24 @@ def q_text(spark, d):
                            id_col="driver_id")
 
 
+_SCALED = [c for c in _DF_COLS if c != "driver_id"]
+
+
 @register("scaled_features", sql(T_CTE, REF, _DF_SQL, "SELECT driver_id, " + ", ".join(
-    f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0.0 END, 6) AS {c}"
-    for c in ["total_transactions", "avg_amount", "total_amount", "days_active"]) + " FROM dfe"))
+    f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE CASE WHEN {c} IS NOT NULL THEN 0.0 END END, 6) + 0.0 AS {c}"
+    for c in _SCALED) + " FROM dfe"))
 def q_scaled(spark, d):
-    from tenure.models.prepare import scaled_features
-    cols = ["total_transactions", "avg_amount", "total_amount", "days_active"]
+    from tenure.models.prepare import model_columns, scaled_features
     df = D.driver_features(T(spark, d))
+    cols = model_columns(df)
     return rnd(scaled_features(df, cols).select("driver_id", *cols), **{c: 6 for c in cols})
+
+
+_DF_ALL = ["driver_id", "total_transactions", "avg_amount", "std_amount", "total_amount", "first_transaction", "last_transaction",
+           "days_active", "avg_transaction_per_day", "churn", *[f"payment_type_{k}" for k in _KS]]
+
+
+@register("driver_missing_counts", sql(T_CTE, REF, _DF_SQL, "SELECT column_name, n_missing FROM (SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in _DF_ALL) + f" FROM dfe) UNPIVOT (n_missing FOR column_name IN ({', '.join(_DF_ALL)}))"))
+def q_driver_missing(spark, d):
+    return FE.missing_counts(D.driver_features(T(spark, d)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tenure.operators import pricing as P
-from tenure.plans.catalog import ACT, ACT_CTE, PR, PRICING_CTE, T, T_CTE, mavg, r6, register, rnd, sql
+from tenure.plans.catalog import ACT, ACT_CTE, MIX, MIXED_CTE, PR, PRICING_CTE, T, T_CTE, mavg, r6, register, rnd, sql
 from tenure.plans.queries_drivers import hist_sql
 
 
@@ -43,10 +43,10 @@ _DA = """da AS (SELECT driver_id, CAST(CAST(transaction_date AS DATE) AS TIMESTA
   WHERE driver_id IS NOT NULL AND transaction_date IS NOT NULL GROUP BY 1, 2)"""
 
 
-@register("daily_activity_join", sql(ACT_CTE, _DA, """SELECT t.*, da.is_active FROM t LEFT JOIN da
+@register("daily_activity_join", sql(MIXED_CTE, _DA, """SELECT t.*, da.is_active FROM t LEFT JOIN da
   ON da.driver_id = t.driver_id AND da.day = t.transaction_date"""))
 def q_daily_join(spark, d):
-    return P.daily_activity_join(ACT(spark, d))
+    return P.daily_activity_join(MIX(spark, d))
 
 
 _EL = [
@@ -97,14 +97,14 @@ def q_seg_price(spark, d):
                optimal_price=4, estimated_revenue=2, a=6)
 
 
-@register("demand_curve", sql(T_CTE, """da AS (SELECT driver_id, CAST(CAST(transaction_date AS DATE) AS TIMESTAMP) AS day,
+@register("demand_curve", sql(MIXED_CTE, """da AS (SELECT driver_id, CAST(CAST(transaction_date AS DATE) AS TIMESTAMP) AS day,
   1 AS is_active FROM t WHERE driver_id IS NOT NULL AND transaction_date IS NOT NULL GROUP BY 1, 2)""",
   """g AS (SELECT t.amount, avg(da.is_active) AS is_active FROM t LEFT JOIN da
      ON da.driver_id = t.driver_id AND da.day = t.transaction_date WHERE t.amount IS NOT NULL GROUP BY t.amount)""",
   """SELECT amount, is_active, CASE WHEN count(is_active) OVER w = 5 THEN avg(is_active) OVER w END AS smoothed_demand
   FROM g WINDOW w AS (ORDER BY amount ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""))
 def q_demand(spark, d):
-    return P.demand_curve(T(spark, d))
+    return P.demand_curve(MIX(spark, d))
 
 
 @register("revenue_curve", sql(PRICING_CTE, *quad_sql("pr", "price", "revenue"),

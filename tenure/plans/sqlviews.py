@@ -15,6 +15,14 @@ ACT_CTE = """t AS (
          value AS amount, event_type AS kind
   FROM events)"""
 
+MIXED_CTE = """t AS (
+  SELECT o_orderkey AS tx_id, o_custkey AS driver_id, CAST(o_orderdate AS TIMESTAMP) AS transaction_date, o_totalprice AS amount,
+         CASE o_orderstatus WHEN 'F' THEN 'FIRST_PAYMENT' WHEN 'O' THEN 'RECURRENCY'
+                            WHEN 'P' THEN 'FIRST_PAYMENT_EXCHANGE' END AS kind
+  FROM orders
+  UNION ALL
+  SELECT -event_id - 1, user_id, CAST(ts AS TIMESTAMP), value, event_type FROM events)"""
+
 PRICING_CTE = """pr AS (
   SELECT p_retailprice AS price, l_quantity AS demand,
          l_extendedprice * (1 - l_discount) AS revenue, p_brand AS segment

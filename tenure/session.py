@@ -8,8 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins and coalesces/splits
-# partitions at run time (skewed drivers are split by the skew-join rule);
-# the session time zone is fixed so that TIMESTAMP_NTZ arithmetic never
+# partitions at run time; the session time zone is fixed so that TIMESTAMP_NTZ arithmetic never
 # depends on the host.
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,6 +18,8 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go as soon as the frames that read them are gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

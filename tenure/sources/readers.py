@@ -32,7 +32,7 @@ def load_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     onto the three payment kinds.  Only these four columns are read.
     """
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return o.select(
+    return canonicalize(o.select(
         F.col("o_orderkey").alias("tx_id"),
         F.col("o_custkey").alias("driver_id"),
         F.col("o_orderdate").cast("timestamp_ntz").alias("transaction_date"),
@@ -41,19 +41,26 @@ def load_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_orderstatus") == "O", "RECURRENCY")
          .when(F.col("o_orderstatus") == "P", "FIRST_PAYMENT_EXCHANGE")
          .alias("kind"),
-    )
+    ))
 
 
 def load_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical transactions from the ``events`` table (times of day)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(
+    return canonicalize(e.select(
         F.col("event_id").alias("tx_id"),
         F.col("user_id").alias("driver_id"),
         F.col("ts").cast("timestamp_ntz").alias("transaction_date"),
         F.col("value").alias("amount"),
         F.col("event_type").alias("kind"),
-    )
+    ))
+
+
+def load_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Midnight rows (:func:`load_transactions`) and time-of-day rows
+    (:func:`load_activity`, their tx_id negative) in one frame."""
+    a = load_activity(spark, sf_dir).withColumn("tx_id", -F.col("tx_id") - 1)
+    return load_transactions(spark, sf_dir).unionByName(a)
 
 
 def load_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,24 @@ def test_centred_rolling_even_and_odd(spark):
         ref = pd.Series(vals).rolling(w, center=True).mean().tolist()
         for a, b in zip(got, ref):
             assert (a is None and np.isnan(b)) or abs(a - b) < 1e-12
+
+
+def test_legal_input_does_not_crash(spark):
+    from tenure.functions.numeric import histogram, quad_fit
+    from tenure.operators.evaluation import calibration
+    one = spark.createDataFrame([("a", 5.0, 1.0), ("a", 5.0, 2.0), ("b", 1.0, 1.0), ("b", 2.0, 4.0), ("b", 3.0, 9.0)], "s string, x double, y double")
+    fit = {r.s: r for r in quad_fit(one, "x", "y", by="s").collect()}
+    assert fit["a"].a is None and abs(fit["b"].a - 1.0) < 1e-9
+    flat = spark.createDataFrame([(0.5, 1), (0.5, 0)], "y_prob double, y_true int")
+    assert [tuple(r) for r in calibration(flat).collect()] == [(0, 0.5, 0.5, 2)]
+    h = histogram(spark.createDataFrame([(float("nan"),), (1.0,), (2.0,), (None,)], "v double"), "v", 4).orderBy("bin").collect()
+    assert [r["count"] for r in h] == [1, 0, 0, 1] and h[0].bin_start == 1.0 and h[-1].bin_end == 2.0
+
+
+def test_amounts_are_not_rounded(spark):
+    from tenure.operators import churn, monthly
+    t = spark.createDataFrame([(1, 1, 0.004), (2, 1, 0.004), (3, 2, 0.004), (4, 3, 1e17)], "tx_id long, driver_id long, amount double") \
+        .selectExpr("tx_id", "driver_id", "to_timestamp_ntz('2024-01-01') AS transaction_date", "amount", "IF(driver_id = 3, 'B', 'A') AS kind")
+    k = {r.kind: r for r in monthly.kind_stats(t).collect()}
+    assert abs(k["A"].total_amount - 0.012) < 1e-15 and abs(k["A"].avg_amount - 0.004) < 1e-15 and k["B"].total_amount == 1e17
+    assert churn.churn_basic_metrics(t).first().total_drivers == 3

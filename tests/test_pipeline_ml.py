@@ -2,6 +2,7 @@
 
 import tempfile
 
+import numpy as np
 import pytest
 from conftest import tx
 from pyspark.sql import functions as F
@@ -75,15 +76,39 @@ def test_scaled_population_std(spark):
     assert sorted(x.a for x in r) == [-1.0, 1.0] and all(x.b == 0.0 for x in r)
 
 
+def test_grids_are_whole():
+    from tenure.models.train import GRID
+    sizes = {k: int(np.prod([len(v) for v in g.values()])) for k, g in GRID.items()}
+    assert sizes == {"rf": 4, "gb": 8}
+
+
 def test_run_pipeline_end_to_end(spark):
     from tenure.plans.pipeline import run_pipeline
-    from tenure.sources import load_transactions
+    from tenure.sources import load_pricing, load_transactions
     t = load_transactions(spark, "/root/testdata/sf0.001")
     out = tempfile.mkdtemp(prefix="tenure-pipe-")
-    summary = run_pipeline(spark, t, out)
-    assert summary["selected"] in ("rf", "gb") and 0.0 <= summary["auc_rf"] <= 1.0
+    grids = {"rf": {"numTrees": [5], "maxDepth": [3]}, "gb": {"maxIter": [2], "maxDepth": [2]}}
+    summary = run_pipeline(spark, t, out, prices=load_pricing(spark, "/root/testdata/sf0.001"), grids=grids)
+    assert summary["selected"] in ("rf", "gb") and 0.0 <= summary["auc_rf"] <= 1.0 and not summary["reused"]
     df, metrics, meta = load_processed(spark, out)
     assert df.count() == t.count() and "risk_score" in df.columns
     assert metrics["cohort_retention"].count() > 0 and meta.first().n_rows == t.count()
+    for table in ("prices/revenue_curve", "causal/driver_importance", "model_tables/roc_curve", "model_tables/feature_importance"):
+        assert spark.read.parquet(f"{out}/{table}").count() > 0
     model = load_model(f"{out}/model")
     assert len(model.stages) == 2
+    assert run_pipeline(spark, t, out, train_model=False)["reused"]
+
+
+def test_feature_transformer_in_a_saved_model(spark):
+    from pyspark.ml import PipelineModel
+
+    from tenure.models.transformer import TransactionFeatures
+    from tenure.operators.features import transaction_features
+    from tenure.sources import load_transactions
+    t = load_transactions(spark, "/root/testdata/sf0.001")
+    d = tempfile.mkdtemp(prefix="tenure-stage-")
+    PipelineModel([TransactionFeatures(groups=["temporal", "risk"])]).write().overwrite().save(d)
+    got = PipelineModel.load(d).transform(t)
+    want = transaction_features(t, ["temporal", "risk"])
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and TransactionFeatures().transform(t).columns[-1] == "seasonal_value"

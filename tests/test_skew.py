@@ -27,14 +27,39 @@ def hot_frame(spark):
 def test_hot_driver_rolling_and_slope(spark):
     t = hot_frame(spark)
     got = features.transaction_features(t, ["behavioral", "monetary"]).toPandas().set_index("tx_id").sort_index()
-    pdf = t.toPandas().sort_values(["driver_id", "transaction_date", "tx_id"])
-    g = pdf.groupby("driver_id")["amount"]
-    roll = g.transform(lambda x: x.rolling(3, min_periods=1).mean())
-    slope = g.transform(lambda x: np.polyfit(np.arange(len(x)), x, 1)[0] if len(x) > 1 else np.nan)
-    exp = pd.DataFrame({"tx_id": pdf.tx_id, "roll": roll, "slope": slope}).set_index("tx_id").sort_index()
-    assert np.allclose(got.usage_intensity, exp.roll)
-    m = ~exp.slope.isna()
-    assert np.allclose(got.value_trend[m].astype(float), exp.slope[m], rtol=1e-9, atol=1e-9)
+    by_driver = {}
+    for r in sorted(t.collect(), key=lambda r: (r.driver_id, r.transaction_date, r.tx_id)):
+        by_driver.setdefault(r.driver_id, []).append((r.tx_id, r.amount))
+    for rows in by_driver.values():
+        n, seen = len(rows), []
+        mid = (n - 1) / 2
+        spread = sum((k - mid) ** 2 for k in range(n))
+        trend = sum((k - mid) * a for k, (_, a) in enumerate(rows)) / spread if spread else None
+        for tx, amount in rows:
+            seen = (seen + [amount])[-3:]
+            assert np.isclose(got.usage_intensity[tx], sum(seen) / len(seen))
+            assert pd.isna(got.value_trend[tx]) if trend is None else np.isclose(float(got.value_trend[tx]), trend, atol=1e-9)
+
+
+def test_heavy_driver_is_spread_over_the_join(spark):
+    from tenure.operators.common import heavy_drivers, join_drivers
+    t = hot_frame(spark)
+    per = t.groupBy("driver_id").agg(F.min("amount").alias("low"))
+    heavy = heavy_drivers(t)
+    assert 1 in {r.driver_id for r in heavy.collect()} and heavy.count() <= 200
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        j = join_drivers(t, per, heavy)
+        sizes = [r["count"] for r in j.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 1500 and max(sizes) < 2 * 1500 / 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {r.driver_id: r.low for r in per.collect()}
+    assert all(r.low == want[r.driver_id] for r in j.collect())
 
 
 def test_read_csv_raw_layout(spark):
