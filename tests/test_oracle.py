@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tenure.plans.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "orders", "lineitem", "part", "events"]
@@ -37,7 +38,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(k for k, q in REGISTRY.items() if q.oracle))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns

@@ -5,16 +5,18 @@ and column pruning at the scan."""
 import pytest
 
 import __spark_entry__ as E
+from tenure.plans.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-ML = {"cv_rf", "cv_gbt", "model_selection", "scored", "feature_importance", "churn_drivers_importance"}
+ML = {"cv_rf", "cv_gbt", "model_selection", "scored", "feature_importance", "churn_drivers_importance",
+      "churn_correlation_top", "importance_graph"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - ML))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - ML))
 def test_no_window_partitioned_by_driver(spark, name):
     p = plan(E.queries()[name](spark, SF))
     assert "windowspecdefinition(driver_id" not in p
