@@ -44,3 +44,20 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+#: Bytes of an Arrow batch handed to Python, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` unchanged; its session's Arrow batches are limited to BATCH_BYTES if they have no limit.
+
+    Spark counts rows only by default: ten thousand long texts would be one
+    batch.  With the limit a Python worker's memory doesn't depend on how long
+    the texts are (one text is never divided).
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_BYTES))
+    return df

@@ -28,6 +28,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.llm.common import small_batches
+
 RATE = 0.1
 _APART = re.compile(r"[\W_]+")
 LEAKS = "doc_id long, item_id long, distance int, start long, end long"
@@ -235,7 +237,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, b
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = spark.createDataFrame([], LEAKS)
     for items in _blocks(benchmark, "item_id", "text", block_chars):
-        found = found.union(rows.mapInArrow(_finder(spark.sparkContext.broadcast(items), rate), LEAKS))
+        found = found.union(rows.transform(small_batches).mapInArrow(_finder(spark.sparkContext.broadcast(items), rate), LEAKS))
     return found
 
 
@@ -270,5 +272,5 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, rate: float = RATE, b
                 yield batch.filter(pa.array([not m.leaks(t.as_py()) for t in batch.column(k)], pa.bool_()))
         return run
     for items in _blocks(benchmark, "item_id", "text", block_chars):
-        documents = documents.mapInArrow(keeper(spark.sparkContext.broadcast(items)), documents.schema)
+        documents = documents.transform(small_batches).mapInArrow(keeper(spark.sparkContext.broadcast(items)), documents.schema)
     return documents

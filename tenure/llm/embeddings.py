@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut
+from tenure.llm.common import cut, small_batches
 from tenure.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -195,11 +195,11 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col:
             models[r["dim"]] = (centres, gaps)
         kind = dict(nodes.dtypes)["vector"]
         placed = (nodes.select("node", "n", "vector")
-                  .mapInArrow(_placer(spark.sparkContext.broadcast(models), threshold),
+                  .transform(small_batches).mapInArrow(_placer(spark.sparkContext.broadcast(models), threshold),
                               f"dim int, cell int, visitor int, node long, n long, vector {kind}"))
         n_part = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         found = cut(_units(placed, block).repartition(n_part, "unit").sortWithinPartitions("unit", "side")
-                    .mapInArrow(_comparer(threshold), "a long, links long, b long"))
+                    .transform(small_batches).mapInArrow(_comparer(threshold), "a long, links long, b long"))
         roots = connected_components(found.filter("b IS NOT NULL").select("a", "b"))
         linked = (nodes.select("node").join(found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links")), "node", "left")
                   .join(roots, "node", "left").select("node", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("component")))
@@ -211,3 +211,17 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, id_col:
     alone = rows.filter(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return (compared.union(alone)
             .select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+#: DuckDB form of ``near_duplicates`` over ``embeddings`` (all pairs: for small tables).
+SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+n AS (SELECT r, vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+      WHERE x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+g AS (SELECT r, vec_id, list_transform(x, lambda c: c / norm) AS u FROM n WHERE norm > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.r <> b.r AND len(a.u) = len(b.u) AND list_inner_product(a.u, b.u) >= {THRESHOLD}),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT reach.a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.a = v.r) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.r
+"""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from tenure.llm.common import WHITE, cut, free_name, shared_folder
+from tenure.llm.common import WHITE, cut, free_name, shared_folder, small_batches
 
 RUN_SCHEMA = "h binary, n_docs long, max_doc long, fresh boolean"
 
@@ -54,7 +54,7 @@ def line_keys(documents: DataFrame, min_chars: int, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.binary()), pa.array(docs, pa.int64())], names=["h", "doc"])
     rows = (documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
             .filter("doc IS NOT NULL AND text IS NOT NULL"))
-    return rows.mapInArrow(run, "h binary, doc long")
+    return rows.transform(small_batches).mapInArrow(run, "h binary, doc long")
 
 
 class LineRuns:
@@ -160,7 +160,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ba
     for c in counts:
         schema = schema.add(free_name(documents, c), LongType())
     at = joined.columns
-    return joined.mapInArrow(_rebuild(schema, at.index(text_col), at.index(gone), min_chars), schema)
+    return joined.transform(small_batches).mapInArrow(_rebuild(schema, at.index(text_col), at.index(gone), min_chars), schema)
 
 
 def line_report(documents: DataFrame, **args) -> DataFrame:

@@ -33,6 +33,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.llm.common import small_batches
+
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 TOKENIZER = "byte_bpe_50k.json"
@@ -192,4 +194,4 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         if packer.rows:
             yield out()
     rows = documents.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return rows.transform(small_batches).mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import WHITE, cut
+from tenure.llm.common import WHITE, cut, small_batches
 from tenure.llm.wordhash import U64, chunks, hash_words, mix
 
 FOLDS = 5
@@ -140,7 +140,7 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", tex
             .join(F.broadcast(cut(picked)), id_col)
             .repartition(1).sortWithinPartitions(order, id_col, "_text").select("_text", "_y"))
     w = np.zeros((1 << bits) + 1)
-    for r in rows.mapInArrow(_trainer(bits), "feature long, weight double").collect():  # 2**bits + 1 rows at most
+    for r in rows.transform(small_batches).mapInArrow(_trainer(bits), "feature long, weight double").collect():  # 2**bits + 1 rows at most
         w[r.feature] = r.weight
     return w
 
@@ -167,7 +167,7 @@ def score(documents: DataFrame, weights: np.ndarray, text_col: str = "text", sco
             got = [score_texts(run, shared.value) for _, run in chunks(batch.column(k).to_pylist())]
             out = pa.array(np.concatenate(got) if got else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, score_col])
-    return documents.mapInArrow(run, schema)
+    return documents.transform(small_batches).mapInArrow(run, schema)
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fit_args) -> DataFrame:

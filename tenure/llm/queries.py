@@ -66,5 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontam": op10_decontam,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.SQL,
+    "op4_embeddings": embeddings.SQL,
     "op8_lines": linededup.SQL,
 }

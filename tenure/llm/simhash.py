@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut
+from tenure.llm.common import cut, small_batches
 from tenure.llm.components import connected_components
 
 SEED = 42
@@ -73,7 +73,7 @@ def _fingerprinter(words: int):
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id long, fp long: the fingerprint's 64 bits as a signed number) of every row."""
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprinter(words), "id long, fp long")
+    return rows.transform(small_batches).mapInArrow(_fingerprinter(words), "id long, fp long")
 
 
 # --- the trie -------------------------------------------------------------------------------
@@ -274,7 +274,7 @@ def trie_links(fps: DataFrame, bits: int = 2, limit: int = 100_000) -> DataFrame
         open_rows = cut(_children(open_rows.join(large, key, "left_semi"), bits))
     n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return (ready.repartition(n, *key).sortWithinPartitions(*key, "side", "v")
-            .mapInArrow(_joiner(bits), "a long, b long"))
+            .transform(small_batches).mapInArrow(_joiner(bits), "a long, b long"))
 
 
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2,

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut, shared_folder
+from tenure.llm.common import cut, shared_folder, small_batches
 from tenure.llm.wordhash import U64, chunks, hash_words, mix
 
 _GRAM_BASE = 0xD6E8FEB86659FD93
@@ -274,7 +274,7 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
     rows = (documents.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
             .filter("doc IS NOT NULL AND text IS NOT NULL"))
     folder = shared_folder(spark, "suffixes")
-    rows.mapInArrow(_positions(gram, min_words - gram + 1), "g long, doc long, version long, pos int").write.parquet(f"{folder}/positions")
+    rows.transform(small_batches).mapInArrow(_positions(gram, min_words - gram + 1), "g long, doc long, version long, pos int").write.parquet(f"{folder}/positions")
     chosen = spark.read.parquet(f"{folder}/positions")
     twice = cut(chosen.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("g"))
     wanted = (chosen.join(twice, "g", "left_semi").groupBy("doc", "version")
@@ -283,12 +283,12 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
              .agg(F.first("text").alias("text"), F.first("wanted").alias("wanted")))
     key = ["g", "after", "before", "doc", "pos"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = texts.mapInArrow(_contexts(gram, min_words), SUFFIX)
+    suffixes = texts.transform(small_batches).mapInArrow(_contexts(gram, min_words), SUFFIX)
     nb = Neighbours(gram, min_words, reach)
-    found = cut(suffixes.repartitionByRange(n, *key).sortWithinPartitions(*key).mapInArrow(_compare(nb), FOUND))
+    found = cut(suffixes.repartitionByRange(n, *key).sortWithinPartitions(*key).transform(small_batches).mapInArrow(_compare(nb), FOUND))
     # The ends of all tasks: at most 2 * reach rows per task, in order in one task.
     ends = (found.filter("kind = 1").select(*[c.split()[0] for c in SUFFIX.split(", ")]).distinct()
-            .repartition(1).sortWithinPartitions(*key).mapInArrow(_compare(nb), FOUND).filter("kind = 0"))
+            .repartition(1).sortWithinPartitions(*key).transform(small_batches).mapInArrow(_compare(nb), FOUND).filter("kind = 0"))
     hits = found.filter("kind = 0").union(ends)
     return (hits.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "ref")).alias("hits"))
-            .mapInArrow(_merge, SPANS))
+            .transform(small_batches).mapInArrow(_merge, SPANS))

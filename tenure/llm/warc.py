@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut, filesystem, shared_folder
+from tenure.llm.common import cut, filesystem, shared_folder, small_batches
 
 # Fixed values of the seekable Zstandard format and of WARC 1.1.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -199,7 +199,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     marked = (rows.join(firsts, "_digest", "left")
               .select(F.col("_id").cast("string").alias("_id"), "_uri", "_payload", "_digest",
                       F.when(F.col("_first").isNotNull(), refers).alias("_refers")))
-    index = marked.mapInArrow(_writer(folder, frame_bytes, bundle_bytes, level, date), INDEX_SCHEMA)
+    index = marked.transform(small_batches).mapInArrow(_writer(folder, frame_bytes, bundle_bytes, level, date), INDEX_SCHEMA)
     index.write.parquet(f"{folder}/index")
     return spark.read.parquet(f"{folder}/index")
 
@@ -231,7 +231,7 @@ def read_archives(index: DataFrame) -> DataFrame:
     # One bundle is one unit of work.  An explicit count keeps AQE from gathering these few bytes of
     # paths, which stand for whole files, into one task.
     n = max(1, bundles.count())
-    return bundles.repartition(n).mapInArrow(_reader, RECORD_SCHEMA)
+    return bundles.repartition(n).transform(small_batches).mapInArrow(_reader, RECORD_SCHEMA)
 
 
 def read_record(bundle: str, frame_offset: int, frame: int, offset: int) -> dict:
@@ -251,3 +251,17 @@ def roundtrip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     num = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long")
     return r.select(num("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                     num("refers_to").alias("refers_to"))
+
+
+#: DuckDB form of ``roundtrip`` over ``pages``: base32 of a SHA-1 goes by eight groups of 20 bits.
+SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS h FROM p),
+e AS (SELECT page_id, payload_bytes, h, list_transform(range(8), lambda i: CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT)) AS g FROM d),
+f AS (SELECT page_id, payload_bytes, h, list_aggregate(list_transform(range(32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((g[k // 4 + 1] >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest FROM e),
+m AS (SELECT h, min(page_id) AS first FROM f GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f JOIN m USING (h)
+"""
