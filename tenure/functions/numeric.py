@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tenure.functions.ordering import GIDX, global_order, shifts_ordered
 
 
+#: Up to so many (group, probability) pairs the ranks looked for are broadcast.
+FEW_RANKS = 50_000
+
+
 def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by or [])
 
@@ -33,13 +37,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by=()) -> Dat
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
     tgt = (grp.select(*by, "_n", "_start", F.explode(probs_arr).alias("prob"))
               .withColumn("_pos", F.col("prob") * (F.col("_n") - 1))
-              .withColumn("_lo", F.col("_start") + F.floor("_pos"))
-              .withColumn("_hi", F.col("_start") + F.ceil("_pos"))
-              .withColumn("_frac", F.col("_pos") - F.floor("_pos")))
-    vals = ordered.select(GIDX, "_v")
-    lo = vals.withColumnRenamed(GIDX, "_lo").withColumnRenamed("_v", "_vlo")
-    hi = vals.withColumnRenamed(GIDX, "_hi").withColumnRenamed("_v", "_vhi")
-    out = tgt.join(lo, "_lo").join(hi, "_hi")
+              .withColumn("_frac", F.col("_pos") - F.floor("_pos"))
+              .select(*by, "prob", "_frac", F.explode(F.array(
+                  F.struct((F.col("_start") + F.floor("_pos")).alias(GIDX), F.lit(True).alias("_low")),
+                  F.struct((F.col("_start") + F.ceil("_pos")).alias(GIDX), F.lit(False).alias("_low")))).alias("_t"))
+              .select(*by, "prob", "_frac", f"_t.{GIDX}", "_t._low"))
+    # Two ranks per group and probability.  Few groups: the ranks go to the
+    # sorted values, which are read once and not shuffled again.
+    groups = grp.count() if by else 1
+    tgt = F.broadcast(tgt) if groups * len(probs) <= FEW_RANKS else tgt
+    out = ordered.select(GIDX, "_v").join(tgt, GIDX).groupBy(*by, "prob", "_frac").agg(
+        F.max(F.when(F.col("_low"), F.col("_v"))).alias("_vlo"), F.max(F.when(~F.col("_low"), F.col("_v"))).alias("_vhi"))
     q = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")
     return out.select(*by, "prob", q.alias("quantile"))
 
@@ -127,26 +135,28 @@ def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None, by=(
                         *([grid[hue]] if hue else []), F.coalesce("_n", F.lit(0).cast("long")).alias("count")))
 
 
-def quad_fit(df: DataFrame, x: str, y: str, by=()) -> DataFrame:
+def quad_fit(df: DataFrame, x: str, y: str, by=(), with_range: bool = False) -> DataFrame:
     """Least-squares parabola ``y = a x² + b x + c`` per group (``polyfit`` deg 2).
 
     Two aggregations: mean / spread of ``x``, then power sums of the centred,
     scaled ``z = (x − m)/s`` (well conditioned), solved in closed form and
     mapped back.  Returns ``(*by, n, a, b, c, vertex_x, vertex_y, is_maximum)``;
     fewer than three distinct ``x`` have no single parabola: all NULL but ``n``.
+    ``with_range`` adds ``x_min`` and ``x_max`` from the same first pass.
     """
     by = _cols(by)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"),
                                                                       F.col(y).cast("double").alias("_y"))
-    m = d.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
+    m = d.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"),
+                          F.min("_x").alias("x_min"), F.max("_x").alias("x_max"))
     dz = (d.crossJoin(F.broadcast(m)) if not by else d.join(m, by)).withColumn(
         "_z", F.try_divide(F.col("_x") - F.col("_m"), F.col("_s")))
     z, yy = F.col("_z"), F.col("_y")
-    sums = dz.groupBy(*by, "_m", "_s").agg(
+    sums = dz.groupBy(*by, "_m", "_s", "x_min", "x_max").agg(
         F.count(F.lit(1)).alias("n"), F.sum(z).alias("s1"), F.sum(z * z).alias("s2"),
         F.sum(z * z * z).alias("s3"), F.sum(z * z * z * z).alias("s4"), F.sum(yy).alias("t0"),
         F.sum(z * yy).alias("t1"), F.sum(z * z * yy).alias("t2"))
-    return sums.select(*by, "n", *_solve_quadratic())
+    return sums.select(*by, "n", *_solve_quadratic(), *(["x_min", "x_max"] if with_range else []))
 
 
 def _solve_quadratic() -> list[Column]:

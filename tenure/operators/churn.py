@@ -25,7 +25,12 @@ def churn_basic_metrics(t: DataFrame, window_days: int = 30) -> DataFrame:
     revenue_at_risk = mean over *active* drivers of ``sum(amount)/(N/30)``
     × (number of active drivers × churn_rate).
     """
-    x = (per_driver_with_ref(t, F.max(TS).alias("last"), sum0(AMT).alias("total"))
+    return _basic(t, window_days).select("total_drivers", "churned_drivers", "churn_rate", "revenue_at_risk")
+
+
+def _basic(t: DataFrame, window_days: int) -> DataFrame:
+    """One row of KPIs from one per-driver table (with the reference date)."""
+    x = (per_driver_with_ref(t, F.max(TS).alias("last"), F.min(TS).alias("first"), sum0(AMT).alias("total"))
          .withColumn("_cut", minus_days("ref_date", window_days)))
     active = F.col("last") >= F.col("_cut")
     agg = x.agg(
@@ -33,10 +38,11 @@ def churn_basic_metrics(t: DataFrame, window_days: int = 30) -> DataFrame:
         F.count_if(F.col("last") < F.col("_cut")).alias("churned_drivers"),
         F.count_if(active).alias("_n_active"),
         (mavg(F.when(active, F.col("total"))) / F.lit(window_days / 30.0)).alias("_active_rev"),
+        F.avg(floor_days("first", "last")).alias("avg_days_to_churn"),
     )
     rate = F.try_divide(F.col("churned_drivers"), F.col("total_drivers"))
     return agg.select(
-        "total_drivers", "churned_drivers", rate.alias("churn_rate"),
+        "total_drivers", "churned_drivers", rate.alias("churn_rate"), "avg_days_to_churn",
         (F.col("_active_rev") * (F.col("_n_active") * rate)).alias("revenue_at_risk"))
 
 
@@ -134,9 +140,7 @@ def transaction_churn_flag(t: DataFrame, window_days: int = 30, target: str = "c
 
 def kpi_summary(t: DataFrame, window_days: int = 30) -> DataFrame:
     """churn_rate, avg_days_to_churn, revenue_at_risk in one row."""
-    b = churn_basic_metrics(t, window_days).select("churn_rate", "revenue_at_risk")
-    ls = lifetime_summary(t).select("avg_days_to_churn")
-    return b.crossJoin(ls).select("churn_rate", "avg_days_to_churn", "revenue_at_risk")
+    return _basic(t, window_days).select("churn_rate", "avg_days_to_churn", "revenue_at_risk")
 
 
 def advanced_metrics(t: DataFrame, window_days: int = 30) -> dict[str, DataFrame]:

@@ -61,15 +61,15 @@ def _wide(cells: DataFrame, value: str, periods: int) -> DataFrame:
     return wide.select("cohort_month", *[F.col(str(p)).alias(f"period_{p}") for p in range(periods)])
 
 
-def cohort_retention_wide(t: DataFrame) -> DataFrame:
+def cohort_retention_wide(t: DataFrame, periods: int | None = None) -> DataFrame:
     """Retention pivoted to one column per period, ``period_0`` to the last
-    calendar month of the data."""
-    return _wide(cohort_retention(t), "retention", _months(t))
+    calendar month of the data (or the first ``periods`` of them)."""
+    return _wide(cohort_retention(t), "retention", _months(t) if periods is None else periods)
 
 
-def cohort_ltv_wide(t: DataFrame) -> DataFrame:
+def cohort_ltv_wide(t: DataFrame, periods: int | None = None) -> DataFrame:
     """LTV pivoted like :func:`cohort_retention_wide`."""
-    return _wide(cohort_ltv(t), "ltv", _months(t))
+    return _wide(cohort_ltv(t), "ltv", _months(t) if periods is None else periods)
 
 
 def cohort_ltv(t: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tenure.functions.numeric import exact_quantiles, histogram, qcut_scores
 from tenure.functions.timeutil import floor_days, month_start, plus_days
 from tenure.operators.common import AMT, DRV, KIND, TS, drivers, mavg, sum0, per_driver_with_ref
+from tenure.session import cut_lineage
 from tenure.sources.schema import KINDS
 
 
@@ -96,12 +97,13 @@ def behavioral_box_stats(t: DataFrame) -> DataFrame:
 
 def behavior_histogram(t: DataFrame, bins: int = 20) -> DataFrame:
     """20-bin histogram of each behaviour metric."""
-    return histogram(_long_metrics(t), "value", bins, by="metric")
+    return histogram(cut_lineage(_long_metrics(t).select("metric", "value")), "value", bins, by="metric")
 
 
 def value_by_churn_histogram(t: DataFrame, bins: int = 30, days: int = 28) -> DataFrame:
-    """Mean value per driver, 30 bins, stacked by churn (CP3)."""
-    return histogram(driver_summary(t, days), "valor_medio", bins, hue="churn")
+    """Mean value per driver, 30 bins, stacked by churn (CP3).  Range, counts and
+    churn values all read one checkpointed two-column driver table."""
+    return histogram(cut_lineage(driver_summary(t, days).select("valor_medio", "churn")), "valor_medio", bins, hue="churn")
 
 
 def driver_features(t: DataFrame, kinds=tuple(KINDS), days: int = 30) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tenure.functions.numeric import centred_rolling_mean, quad_fit
 from tenure.functions.ordering import ffill_ordered, global_order, shift_ordered
 from tenure.operators.common import AMT, DRV, TS, mavg
+from tenure.session import cut_lineage
 
 
 def daily_activity(t: DataFrame) -> DataFrame:
@@ -69,11 +70,13 @@ def optimal_price(df: DataFrame, price: str, revenue: str, by=()) -> DataFrame:
 
 def segment_price_sensitivity(df: DataFrame, segment: str, price: str, demand: str, revenue: str) -> DataFrame:
     """Per segment: mean elasticity and optimal price, each on the segment's
-    own rows."""
-    e = elasticity_curve(df.where(F.col(segment).isNotNull()), price, demand, by=segment) \
-        .groupBy(segment).agg(F.avg("elasticity").alias("elasticity"))
-    o = optimal_price(df.where(F.col(segment).isNotNull()), price, revenue, by=segment)
-    return e.join(o, segment)
+    own rows.  Both start from one table of (segment, price) with the mean
+    demand and the revenue, so the rows are read once."""
+    g = (df.where(F.col(segment).isNotNull() & F.col(price).isNotNull()).groupBy(segment, price)
+           .agg(F.avg(demand).alias("_demand"), F.sum(revenue).alias("_revenue")))
+    g = cut_lineage(g)
+    e = elasticity_curve(g, price, "_demand", by=segment).groupBy(segment).agg(F.avg("elasticity").alias("elasticity"))
+    return e.join(optimal_price(g, price, "_revenue", by=segment), segment)
 
 
 def demand_curve(t: DataFrame, window: int = 5) -> DataFrame:
@@ -81,19 +84,17 @@ def demand_curve(t: DataFrame, window: int = 5) -> DataFrame:
     rolling mean of ``min(window, n)`` rows (full window required)."""
     a = daily_activity_join(t).where(F.col(AMT).isNotNull())
     g = a.groupBy(AMT).agg(F.avg("is_active").alias("is_active"))
-    n = g.count()  # scalar: the window size must be known to build the frame
-    w = max(1, min(window, n))
     o = global_order(g, [AMT])
+    w = max(1, min(window, o.count()))  # one number, from the checkpointed order
     return centred_rolling_mean(o, "is_active", w, "smoothed_demand").select(AMT, "is_active", "smoothed_demand")
 
 
 def revenue_curve(df: DataFrame, price: str, revenue: str, points: int = 100) -> DataFrame:
     """``points`` evenly spaced prices from min to max with the revenue of a
     parabola fitted on the *rows* (not price groups)."""
-    f = quad_fit(df, price, revenue)
-    rng = df.agg(F.min(price).cast("double").alias("_lo"), F.max(price).cast("double").alias("_hi"))
-    x = f.crossJoin(rng).select("a", "b", "c", "_lo", "_hi",
-                                F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    f = quad_fit(df, price, revenue, with_range=True)  # one row
+    x = f.select("a", "b", "c", F.col("x_min").alias("_lo"), F.col("x_max").alias("_hi"),
+                 F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(points - 1)
     p = F.when(F.col("i") == points - 1, F.col("_hi")).otherwise(F.col("_lo") + F.col("i") * step)
     x = x.withColumn("price", p)

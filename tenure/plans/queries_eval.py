@@ -184,11 +184,31 @@ def q_split_counts(spark, d):
     return stratified_split_counts(D.driver_features(T(spark, d)), "churn")
 
 
+# A search fits 20 (forest) or 40 (boosting) models and a final one.  The keys
+# below ask for the same two searches, so a session fits each once per input.
+_SEARCHES: dict[tuple, tuple] = {}
+
+
+def _data(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SEARCHES:
+        _SEARCHES[key] = _model_data(spark, d)
+    return _SEARCHES[key]
+
+
+def _search(spark, d, kind):
+    from tenure.models.train import train
+    key = (spark.sparkContext.applicationId, d, kind)
+    if key not in _SEARCHES:
+        tr, _, feats = _data(spark, d)
+        _SEARCHES[key] = train(tr, feats, "churn", kind=kind)
+    return _SEARCHES[key]
+
+
 def _cv(kind):
     def q(spark, d):
-        from tenure.models.train import predict, train
-        tr, te, feats = _model_data(spark, d)
-        return predict(train(tr, feats, "churn", kind=kind), te)
+        from tenure.models.train import predict
+        return predict(_search(spark, d, kind), _data(spark, d)[1])
     return q
 
 
@@ -197,32 +217,26 @@ register("cv_gbt", None)(_cv("gb"))
 
 
 def _select(spark, d):
-    from tenure.models.train import select_model, train
-    tr, te, feats = _model_data(spark, d)
-    rf, gb = train(tr, feats, kind="rf"), train(tr, feats, kind="gb")
-    return select_model(rf, gb, te), te, feats
+    from tenure.models.train import select_model
+    return select_model(_search(spark, d, "rf"), _search(spark, d, "gb"), _data(spark, d)[1])
 
 
 @register("model_selection", None)
 def q_model_selection(spark, d):
-    (kind, _, a_rf, a_gb), _, _ = _select(spark, d)
+    kind, _, a_rf, a_gb = _select(spark, d)
     return spark.createDataFrame([(kind, float(a_rf), float(a_gb))], "selected string, auc_rf double, auc_gb double")
 
 
 @register("scored", None)
 def q_scored(spark, d):
     from tenure.models.train import predict
-    (_, best, _, _), te, _ = _select(spark, d)
-    return predict(best, te)
+    return predict(_select(spark, d)[1], _data(spark, d)[1])
 
 
 @register("feature_importance", None)
 def q_importance(spark, d):
     from tenure.models.importance import feature_importance
-    from tenure.models.train import train
-    tr, _, feats = _model_data(spark, d)
-    m = train(tr, feats, kind="rf")
-    return feature_importance(spark, m.bestModel, feats, k=20)
+    return feature_importance(spark, _search(spark, d, "rf").bestModel, _data(spark, d)[2], k=20)
 
 
 @register("churn_drivers_importance", None)
