@@ -180,7 +180,7 @@ def centred_rolling_mean(df: DataFrame, value: str, w: int, out: str) -> DataFra
 
     pandas ``rolling(w, center=True).mean()``: the window is the rows
     ``i-(w-1-o) .. i+o`` with ``o = (w-1)//2``; NULL unless all ``w`` rows
-    exist and are non-NULL.  Built from ``w-1`` index joins (``w`` is small).
+    exist and are non-NULL.  Built from ``w-1`` shifts (``w`` is small).
     """
     o = (w - 1) // 2
     offs = [k for k in range(-(w - 1 - o), o + 1) if k != 0]

@@ -10,8 +10,8 @@ here replace it by
 2. per-partition row counts — one row per partition, bounded by the
    partition count — turned into offsets (as ``RDD.zipWithIndex`` does),
    giving every row its global index ``_gidx``,
-3. equi-joins on ``_gidx`` (lags) or per-partition windows plus a carry-in
-   from the preceding partitions (running sums, forward fill).
+3. per-partition windows, plus what the neighbouring partitions' border rows
+   (lags) or the preceding partitions' totals (running sums, forward fill) add.
 
 Every shuffle here is balanced whatever the key distribution.
 """
@@ -63,27 +63,34 @@ def shifts_ordered(df: DataFrame, cols: list[str], ks: list[int], suffixes: list
     """Values of ``cols`` ``k`` rows earlier (``k < 0``: later), for every
     ``k`` in ``ks``, as columns ``c + suffixes[i]``.
 
-    Each row sends narrow copies of itself to its target indices; one
-    aggregation by target index (consecutive rows share a task, so the
-    partial aggregation already merges most copies) and one equi-join on
-    the index bring them back — two exchanges however many offsets.  With
-    ``key`` the other row must have the same key (a lag within groups that
-    are contiguous in the order)."""
-    parts = [F.struct(F.lit(k).alias("_k"), (F.col(idx) + k).alias("_t"),
-                      *([F.col(key).alias("_key")] if key else []),
-                      *[F.col(c).alias(c) for c in cols]) for k in ks]
-    ex = df.select(F.explode(F.array(*parts)).alias("_s")).select("_s.*")
-    aggs = []
+    ``df`` comes from :func:`global_order` (with ``_pid``).  Inside a partition
+    the value is a window function over ``_pid``: one exchange of the rows
+    however many offsets.  The few rows whose target lies in another
+    partition look it up among the first and last rows of all partitions, at
+    most ``2 * max(|k|)`` per partition, which are broadcast.  With ``key`` the
+    other row must have the same key (a lag within groups that are contiguous
+    in the order)."""
+    reach = max(abs(k) for k in ks)
+    fields = [*([F.col(key).alias("_key")] if key else []), *[F.col(c).alias(c) for c in cols]]
+    ends = df.groupBy(PID).agg(F.min(idx).alias("_lo"), F.max(idx).alias("_hi"))
+    edges = (df.join(F.broadcast(ends), PID)
+             .where((F.col(idx) < F.col("_lo") + reach) | (F.col(idx) > F.col("_hi") - reach))
+             .select(F.col(idx).alias("_at"), F.struct(*fields).alias("_edge")))
+    w = Window.partitionBy(PID).orderBy(idx)
+    names = df.columns
     for k, suf in zip(ks, suffixes):
-        if key:
-            aggs.append(F.max(F.when(F.col("_k") == k, F.col("_key"))).alias(f"_key{suf}"))
-        aggs += [F.max(F.when(F.col("_k") == k, F.col(c))).alias(c + suf) for c in cols]
-    got = ex.groupBy(F.col("_t").alias(idx)).agg(*aggs)
-    out = df.join(got, idx, "left")
-    keep = [F.col(c) for c in df.columns]
+        inside = F.lag(F.struct(*fields), k) if k >= 0 else F.lead(F.struct(*fields), -k)
+        df = df.withColumn(f"_w{suf}", inside.over(w))
+    out = df
     for k, suf in zip(ks, suffixes):
-        same = (F.col(f"_key{suf}") == F.col(key)) if key else F.lit(True)
-        keep += [F.when(same, F.col(c + suf)).alias(c + suf) for c in cols]
+        other = edges.select((F.col("_at") + k).alias(f"_at{suf}"), F.col("_edge").alias(f"_e{suf}"))
+        out = out.join(F.broadcast(other), (F.col(idx) == F.col(f"_at{suf}")) & F.col(f"_w{suf}").isNull(), "left")
+        out = out.withColumn(f"_w{suf}", F.coalesce(f"_w{suf}", f"_e{suf}"))
+    keep = [F.col(c) for c in names]
+    for suf in suffixes:
+        got = F.col(f"_w{suf}")
+        same = got["_key"] == F.col(key) if key else F.lit(True)
+        keep += [F.when(same, got[c]).alias(c + suf) for c in cols]
     return out.select(*keep)
 
 

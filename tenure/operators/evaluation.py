@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.numeric import qcut_score
-from tenure.functions.ordering import GIDX, cumsum_ordered, global_order, shifts_ordered
+from tenure.functions.ordering import GIDX, PID, cumsum_ordered, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, minus_days
 from tenure.operators.common import DRV, TS, drivers, ref_date, with_ref
 from tenure.sources.schema import numeric_columns
@@ -70,7 +70,7 @@ def _curve_points(s: DataFrame) -> DataFrame:
 def roc_curve(s: DataFrame, drop_intermediate: bool = True) -> DataFrame:
     """ROC points (threshold, fpr, tpr), starting at (0, 0) with a NULL
     threshold; collinear intermediate points dropped."""
-    c = _curve_points(s).select(GIDX, "y_prob", "tps", "fps")
+    c = _curve_points(s).select(PID, GIDX, "y_prob", "tps", "fps")
     tot = c.agg(F.max("tps").alias("_P"), F.max("fps").alias("_N"), F.max(GIDX).alias("_last"))
     if drop_intermediate:
         c = shifts_ordered(c, ["tps", "fps"], [1, -1], ["_p", "_n"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tenure.functions.ordering import PID, global_order
 from tenure.sources.schema import RAW_CSV_SCHEMA, canonicalize
 
 
@@ -12,8 +13,15 @@ def read_transactions_csv(spark: SparkSession, path: str, schema=RAW_CSV_SCHEMA)
     """CSV with a header row in the raw layout (date, driver_id, amount, kind).
 
     An explicit schema avoids the inference pass over the whole input.
+    Without a ``tx_id`` column rows are numbered in file order (files by path,
+    then the row's place), whatever the input splits.
     """
     df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if "tx_id" not in df.columns:
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task's splits
+        df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                       place.alias("_place"))
+        df = global_order(df, ["_file", "_block", "_place"], "tx_id").drop(PID, "_file", "_block", "_place")
     return canonicalize(df)
 
 

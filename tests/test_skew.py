@@ -70,3 +70,33 @@ def test_read_csv_raw_layout(spark):
     assert t.columns == ["tx_id", "driver_id", "transaction_date", "amount", "kind"]
     r = sorted(t.collect(), key=lambda x: x.driver_id)
     assert str(r[0].transaction_date) == "2024-01-01 10:00:00" and r[1].transaction_date is None
+
+
+def test_csv_rows_are_numbered_in_file_order(spark):
+    d = tempfile.mkdtemp(prefix="tenure-csv-")
+    for name, first in (("a", 0), ("b", 500)):
+        with open(f"{d}/{name}.csv", "w") as f:
+            f.write("date,driver_id,amount,kind\n" + "".join(f"2024-01-01 10:00:00,{first + k},1.0,A\n" for k in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_transactions_csv(spark, d).collect()
+            assert sorted((r.tx_id, r.driver_id) for r in rows) == [(k, k) for k in range(1000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_lags_cross_partition_borders(spark):
+    from tenure.functions.ordering import global_order, shifts_ordered
+    t = spark.createDataFrame([(k, k // 7, float(k)) for k in range(60)], "k long, g long, v double").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keep several small partitions
+    try:
+        o = global_order(t, ["g", "k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    rows = shifts_ordered(o, ["v"], [1, 3, -2], ["_a", "_b", "_c"], key="g").collect()
+    value = lambda k, g: float(k) if 0 <= k < 60 and k // 7 == g else None
+    assert len(rows) == 60 and len({r._pid for r in rows}) > 1
+    for r in rows:
+        assert (r.v_a, r.v_b, r.v_c) == (value(r.k - 1, r.g), value(r.k - 3, r.g), value(r.k + 2, r.g))
