@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.ordering import GIDX, global_order, shifts_ordered
+from tenure.session import few_rows
 
 
 #: Up to so many (group, probability) pairs the ranks looked for are broadcast.
@@ -120,6 +121,7 @@ def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None, by=(
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * F.lit(bins) / (F.col("_hi") - F.col("_lo"))).cast("long") + 1,
                 F.lit(bins).cast("long"))
     keys = [*by, "bin"] + ([hue] if hue else [])
+    rng = few_rows(rng) if by else rng
     ranged = d.crossJoin(F.broadcast(rng)) if not by else d.join(rng, by)
     counts = ranged.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))))
@@ -149,7 +151,7 @@ def quad_fit(df: DataFrame, x: str, y: str, by=(), with_range: bool = False) ->
                                                                       F.col(y).cast("double").alias("_y"))
     m = d.groupBy(*by).agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"),
                           F.min("_x").alias("x_min"), F.max("_x").alias("x_max"))
-    dz = (d.crossJoin(F.broadcast(m)) if not by else d.join(m, by)).withColumn(
+    dz = (d.crossJoin(F.broadcast(m)) if not by else d.join(few_rows(m), by)).withColumn(
         "_z", F.try_divide(F.col("_x") - F.col("_m"), F.col("_s")))
     z, yy = F.col("_z"), F.col("_y")
     sums = dz.groupBy(*by, "_m", "_s", "x_min", "x_max").agg(
@@ -192,3 +194,13 @@ def centred_rolling_mean(df: DataFrame, value: str, w: int, out: str) -> DataFra
     for p in parts[1:]:
         total = total + p
     return cur.withColumn(out, total / F.lit(float(w))).drop(*names)
+
+
+def half_even(x, digits: int = 2) -> Column:
+    """Rounding of ties to the even digit (numpy's ``round``)."""
+    return F.bround(F.col(x) if isinstance(x, str) else x, digits)
+
+
+def thousands(x, digits: int = 0) -> Column:
+    """Number as text with thousands separators."""
+    return F.format_number(F.col(x) if isinstance(x, str) else x, digits)

@@ -43,3 +43,8 @@ def month_start(ts) -> Column:
 def month_index(ts) -> Column:
     """Months since year 0: ``year*12 + month − 1``; differences give periods."""
     return (F.year(_c(ts)) * 12 + F.month(_c(ts)) - 1).cast("long")
+
+
+def month_name(month) -> Column:
+    """English name of a calendar month 1..12."""
+    return F.date_format(F.make_date(F.lit(2000), _c(month).cast("int"), F.lit(1)), "MMMM")

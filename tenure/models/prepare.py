@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.ordering import GIDX, PID, global_order
+from tenure.session import few_rows
 
 # Columns never used as model inputs.
 DROP = ("driver_id", "churn", "first_transaction", "last_transaction")
@@ -29,7 +30,7 @@ def split_positions(df: DataFrame, label: str, id_col: str = "driver_id", seed:
     h = F.xxhash64(F.col(id_col), F.lit(seed))
     o = global_order(df.withColumn("_h", h), [label, "_h", id_col])
     grp = o.groupBy(label).agg(F.min(GIDX).alias("_start"), F.count(F.lit(1)).alias("_class_n"))
-    return (o.join(grp, label)  # one row per class
+    return (o.join(few_rows(grp), label)  # one row per class
              .withColumn("_pos", F.col(GIDX) - F.col("_start"))
              .drop("_start", "_h", GIDX, PID))
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.timeutil import floor_days, minus_days, month_start
+from tenure.session import few_rows
 from tenure.operators.common import (AMT, DRV, KIND, TS, TX, drivers, heavy_drivers, join_drivers, mavg, per_driver_with_ref, ref_date,
                                      sum0, with_ref)
 
@@ -101,10 +102,9 @@ def churn_by_segment(t: DataFrame, col: str = KIND, window_days: int = 30) -> Da
     """
     per = drivers(t).groupBy(DRV).agg(F.max(TS).alias("last"))
     sd = drivers(t).where(F.col(col).isNotNull()).select(col, DRV).distinct().join(per, DRV)
-    # both uses of sd read the same three columns, so it is computed once
     seg = sd.groupBy(col).agg(F.max("last").alias("seg_ref"), F.count(DRV).alias("n_drivers"))
     churned = F.col("last") < minus_days("seg_ref", window_days)
-    c = sd.join(seg, col).groupBy(col, "n_drivers").agg(F.count_if(churned).alias("_c"))
+    c = sd.join(few_rows(seg), col).groupBy(col, "n_drivers").agg(F.count_if(churned).alias("_c"))
     return c.select(col, (F.col("_c") / F.col("n_drivers")).alias("churn_rate"), "n_drivers")
 
 

@@ -88,7 +88,7 @@ def behavioral_box_stats(t: DataFrame) -> DataFrame:
                                    for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    x = long.join(qw, "metric")  # one row of quartiles per metric
+    x = long.join(F.broadcast(qw), "metric")  # four rows: one per metric
     return x.groupBy("metric", "q1", "median", "q3").agg(
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.min(F.when(F.col("value") >= lo_f, F.col("value"))).alias("lower_whisker"),

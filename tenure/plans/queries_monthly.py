@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tenure.functions.numeric import half_even, thousands
+from tenure.functions.timeutil import month_name
 from tenure.operators import monthly as M
 from tenure.plans.catalog import T, T_CTE, mavg, msum, r6, register, rnd, sql
 
@@ -111,3 +115,12 @@ FROM ch JOIN dm a ON a.month = ch.month
 WHERE NOT EXISTS (SELECT 1 FROM dm b WHERE b.driver_id = a.driver_id AND b.month = ch.prev_month)"""))
 def q_mnd(spark, d):
     return M.month_new_drivers(T(spark, d))
+
+
+@register("seasonality_labels", sql(T_CTE, f"""c AS (SELECT {MNUM} AS month, count(*) AS n FROM t WHERE transaction_date IS NOT NULL GROUP BY 1)""",
+  """SELECT month, strftime(make_date(2000, month, 1), '%B') AS month_name, format('{:,}', n) AS label,
+       round_even(n / 8.0, 2) AS eighth FROM c"""))
+def q_labels(spark, d):
+    x = M.transaction_seasonality(T(spark, d))
+    return x.select("month", month_name("month").alias("month_name"), thousands("n_transactions").alias("label"),
+                    half_even(F.col("n_transactions") / 8.0).alias("eighth"))

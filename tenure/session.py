@@ -83,6 +83,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_rows(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``df`` to be joined to many rows on few keys: broadcast if it has at
+    most ``limit`` rows, else left to the planner.  It is written to the
+    checkpoint folder first, so that counting it costs one small read."""
+    from pyspark.sql import functions as F
+    small = cut_lineage(df)
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench (single JVM)."""
     mem = os.environ.get("TENURE_DRIVER_MEMORY", "8g")
