@@ -84,12 +84,13 @@ class LineRuns:
         return keys if runs is None else keys.join(runs.select("h").hint("merge"), "h", "left_anti")
 
     def add(self, batch: DataFrame) -> None:
-        """Add a batch of (h, doc) rows; a document must not come in two batches."""
+        """Add a batch of (h, doc) rows; a document must not come in two batches.
+
+        The counted keys are used twice, from one exchange."""
         counted = batch.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
         if self._runs() is None:
             marked = counted.withColumn("fresh", F.lit(True))
         else:
-            counted = cut(counted)
             new = self.fresh(counted).withColumn("fresh", F.lit(True))
             known = counted.join(self._runs().select("h").hint("merge"), "h", "left_semi").withColumn("fresh", F.lit(False))
             marked = new.unionByName(known)
@@ -150,7 +151,6 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ba
     heavy = cut(store.totals().filter(F.col("n_docs") >= min_docs).select("h", "max_doc"))
     lost = (keys.join(heavy, "h").filter("doc <> max_doc").groupBy("doc")
             .agg(F.collect_set("h").alias("gone")))  # at most a document's own lines
-    lost = cut(lost)
     doc, gone = free_name(documents, "_doc"), free_name(documents, "_gone")
     joined = documents.join(lost.select(F.col("doc").alias(doc), F.col("gone").alias(gone)),
                             documents[id_col].cast("long") == F.col(doc), "left").drop(doc)
