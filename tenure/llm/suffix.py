@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut, shared_folder, small_batches
+from tenure.llm.common import cut, free_name, shared_folder, small_batches
 from tenure.llm.wordhash import U64, chunks, hash_words, mix
 
 _GRAM_BASE = 0xD6E8FEB86659FD93
@@ -292,3 +292,33 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
     hits = found.filter("kind = 0").union(ends)
     return (hits.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "ref")).alias("hits"))
             .transform(small_batches).mapInArrow(_merge, SPANS))
+
+
+def without_passages(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``documents`` with every repeated passage cut out of the texts that hold
+    it, except the smallest id it was met in.  White space around a cut stays;
+    rows without an id or passage are unchanged."""
+    import re
+    word = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+    doc, gone = free_name(documents, "_doc"), free_name(documents, "_gone")
+    cuts = (spans.filter("ref_doc < doc_id").groupBy(F.col("doc_id").alias(doc))
+            .agg(F.collect_list(F.struct("start_word", "end_word")).alias(gone)))  # at most a text's own spans
+    joined = documents.join(cuts, documents[id_col].cast("long") == F.col(doc), "left").drop(doc)
+    at, gone_at = joined.columns.index(text_col), joined.columns.index(gone)
+
+    def shorten(text: str, drop) -> str:
+        words = [m.span() for m in word.finditer(text)]
+        for s in sorted(drop, key=lambda s: -s["start_word"]):
+            if s["start_word"] < len(words):
+                text = text[:words[s["start_word"]][0]] + text[words[min(s["end_word"], len(words)) - 1][1]:]
+        return text
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            texts = [t if not d or t is None else shorten(t, d)
+                     for t, d in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist())]
+            cols = [c for k, c in enumerate(batch.columns) if k != gone_at]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=documents.columns)
+    return joined.transform(small_batches).mapInArrow(run, documents.schema)

@@ -64,6 +64,9 @@ def test_empty_table(spark):
     ("<article>x<div class='ad big'>buy<div>in</div></div>y<div id=comments><p>c</div></article>tail", "x y"),
     ("<body class=has-sidebar><p>k<script>'</p>'</script>eep</p><form>q<input></form><p hidden>no</p>", "keep"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a b c d"), ("<!-- <p>x</p> --><p>y", "y"),
+    ("<article class='post has-sidebar'><p>a</p><section id=comments><article class=comment>no</article></section></article>"
+     "<article class='comment-body'>bad</article>", "a"),
+    ("<div class='page with-sidebar'><div class=siteHeader>h</div><p>b</p><ins class=adsbygoogle>x</ins></div>", "b"),
     ("<div role=main><p>m</p><aside>s</aside></div><p>out</p>", "m"),
 ])
 def test_blocks(page, text):

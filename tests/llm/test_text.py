@@ -278,3 +278,13 @@ def test_trees_add_spans_and_keep_base_ones(spark):
     assert got == {0: "email:0:18", 1: "card:0:19", 2: "", 3: "email:0:15", 9: ""}
     assert {r.doc_id: r.text for r in pii.redact(odd, model).collect()} == {0: "[EMAIL]", 1: "[CARD]", 2: texts[2], 3: "[EMAIL]", 9: None}
     assert pii.train(docs.limit(0)).trees == [] and pii.report(docs.limit(0), model).count() == 0
+
+
+def test_passages_are_cut_but_once(spark):
+    shared = " ".join(f"s{k}" for k in range(30))
+    docs = [(1, f"a b {shared} c"), (2, f"d\n{shared}\te f"), (3, "g h"), (4, None), (None, shared)]
+    df = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, _doc int")
+    out = suffix.without_passages(df, suffix.repeated_passages(df, min_words=20, gram=10))
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted(
+        [("1", docs[0][1]), ("2", "d\n\te f"), ("3", "g h"), ("4", "None"), ("None", shared)])
