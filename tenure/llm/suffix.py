@@ -304,7 +304,7 @@ def without_passages(documents: DataFrame, spans: DataFrame, id_col: str = "doc_
     cuts = (spans.filter("ref_doc < doc_id").groupBy(F.col("doc_id").alias(doc))
             .agg(F.collect_list(F.struct("start_word", "end_word")).alias(gone)))  # at most a text's own spans
     joined = documents.join(cuts, documents[id_col].cast("long") == F.col(doc), "left").drop(doc)
-    at, gone_at = joined.columns.index(text_col), joined.columns.index(gone)
+    at, gone_at, names = joined.columns.index(text_col), joined.columns.index(gone), documents.columns
 
     def shorten(text: str, drop) -> str:
         words = [m.span() for m in word.finditer(text)]
@@ -320,5 +320,5 @@ def without_passages(documents: DataFrame, spans: DataFrame, id_col: str = "doc_
                      for t, d in zip(batch.column(at).to_pylist(), batch.column(gone_at).to_pylist())]
             cols = [c for k, c in enumerate(batch.columns) if k != gone_at]
             cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=documents.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
     return joined.transform(small_batches).mapInArrow(run, documents.schema)

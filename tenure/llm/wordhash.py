@@ -53,18 +53,38 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(33))
 
 
-def hash_words(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, first word of every text and the total as one more entry)."""
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+#: Bytes hashed at a time: temporary arrays are a multiple of this, however long a text is.
+SEGMENT = 1 << 21
+
+
+def _hash_segment(buf: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of a buffer that ends in white space."""
     values, white = _byte_values(fold_case)
-    at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
     edge = np.flatnonzero(np.diff(white[buf], prepend=True))  # word starts and ends alternate
     starts, ends = edge[::2], edge[1::2]
     up, down = _powers(len(buf))
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, U64), np.cumsum(values[buf] * up, dtype=U64)))
-        h = mix((sums[ends] - sums[starts]) * down[starts])
-    return h, np.searchsorted(starts, at)
+        return mix((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def hash_words(texts: list[bytes], fold_case: bool = False, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, first word of every text and the total as one more entry)."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)))
+    white = _byte_values(fold_case)[1]
+    hashes, starts, lo = [], [], 0
+    while lo < len(buf):
+        hi = lo + segment
+        while hi < len(buf) and not white[buf[lo:hi]].any():  # one word longer than a segment
+            hi += segment
+        hi = min(hi, len(buf))
+        hi = lo + int(np.flatnonzero(white[buf[lo:hi]])[-1]) + 1  # the last byte of all is white
+        h, first = _hash_segment(buf[lo:hi], fold_case)
+        hashes.append(h)
+        starts.append(first + lo)
+        lo = hi
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at)
 
 
 def chunks(texts: Iterable, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:

@@ -28,6 +28,9 @@ def test_word_hashes_depend_on_the_word_alone():
     long = [("w%d " % k).encode() * 400_000 for k in range(2)]  # over the prepared powers
     h, at = wordhash.hash_words(long)
     assert len(set(h.tolist())) == 2 and at.tolist() == [0, 400_000, 800_000]
+    for size in (1, 7, 100):  # segments don't change a hash
+        again = wordhash.hash_words(texts, segment=size)
+        assert [x.tolist() for x in again] == [x.tolist() for x in wordhash.hash_words(texts)]
 
 
 # --- quality --------------------------------------------------------------------------------
