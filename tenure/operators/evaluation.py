@@ -8,8 +8,6 @@ all scores.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +15,7 @@ from tenure.functions.numeric import qcut_score
 from tenure.functions.ordering import GIDX, PID, cumsum_ordered, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, minus_days
 from tenure.operators.common import DRV, TS, drivers, ref_date, with_ref
+from tenure.session import cut_lineage
 from tenure.sources.schema import numeric_columns
 
 
@@ -155,20 +154,19 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFram
     """Pairwise-complete Pearson correlations of ``cols`` (default: every
     numeric column) as long rows (x, y, r).
 
-    Each row is exploded into its k(k+1)/2 column pairs and grouped by pair:
-    three small aggregates per group stay in whole-stage codegen and partial
-    aggregation leaves one row per pair and task to shuffle (a single
-    aggregation with 3·k(k+1)/2 expressions compiles poorly)."""
+    The columns are checkpointed as doubles, so the frame behind them is
+    computed once; then there is one aggregation per first column, over that
+    column and the later ones.  Rows are never copied."""
     cols = cols if cols is not None else numeric_columns(df)
-    pairs = list(itertools.combinations_with_replacement(range(len(cols)), 2))
-    st = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                      F.col(cols[i]).cast("double").alias("a"),
-                                      F.col(cols[j]).cast("double").alias("b")) for i, j in pairs])).alias("p")
-    r = df.select(st).select("p.*").groupBy("i", "j").agg(safe_corr("a", "b").alias("r"))
-    names = F.array(*[F.lit(c) for c in cols])
-    both = r.select(F.col("i").alias("xi"), F.col("j").alias("yi"), "r").unionByName(
-        r.where(F.col("i") != F.col("j")).select(F.col("j").alias("xi"), F.col("i").alias("yi"), "r"))
-    return both.select(names[F.col("xi")].alias("x"), names[F.col("yi")].alias("y"), "r")
+    x = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
+    out = None
+    for i in range(len(cols)):
+        one = x.agg(*[safe_corr(f"c{i}", f"c{j}").alias(f"r{j}") for j in range(i, len(cols))])
+        cells = [F.struct(F.lit(cols[a]).alias("x"), F.lit(cols[b]).alias("y"), F.col(f"r{j}").alias("r"))
+                 for j in range(i, len(cols)) for a, b in dict.fromkeys(((i, j), (j, i)))]
+        one = one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def churn_correlation(df: DataFrame, features: list[str], label: str = "churn") -> DataFrame:

@@ -11,8 +11,8 @@ from tenure.operators import evaluation as EV
 from tenure.operators import features as FE
 from tenure.operators.churn import transaction_churn_flag
 from tenure.plans.catalog import REF, T, T_CTE, fd, mavg, msum, register, rnd, sql
-from tenure.plans.queries_drivers import hist_sql
-from tenure.plans.queries_features import _DF_SQL
+from tenure.plans.queries_drivers import _SUMMARY, hist_sql
+from tenure.plans.queries_features import _DF_SQL, _FEAT
 
 SCORED = [
     REF,
@@ -117,20 +117,37 @@ NUMERIC = ["driver_id", "total_transactions", "avg_amount", "std_amount", "total
 INPUTS = [c for c in NUMERIC if c not in ("driver_id", "churn")]
 
 
-def _corr_pairs_sql(cols):
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            rows.append(f"SELECT '{a}' AS x, '{b}' AS y, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS r FROM dfe")
-    return "\nUNION ALL ".join(rows)
+def _corr_sql(cols, relation):
+    """DuckDB text of all pairs' correlations, from one pass over ``relation``."""
+    pairs = ", ".join(f"{{'x': '{a}', 'y': '{b}', 'r': corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))}}" for a in cols for b in cols)
+    return f"SELECT p.x AS x, p.y AS y, round(p.r, 6) + 0.0 AS r FROM (SELECT unnest([{pairs}]) AS p FROM {relation})"
 
 
-@register("correlation_matrix", sql(T_CTE, REF, _DF_SQL, "cm AS (" + _corr_pairs_sql(NUMERIC) + ")",
-                                    "SELECT x, y, round(r, 6) AS r FROM cm"))
+@register("correlation_matrix", sql(T_CTE, REF, _DF_SQL, _corr_sql(NUMERIC, "dfe")))
 def q_corr(spark, d):
     return rnd(EV.correlation_matrix(D.driver_features(T(spark, d))), r=6)
 
 
+SUMMARY_NUMERIC = ["driver_id", "total_pagamentos", "valor_medio", "valor_total", "pagamentos_recorrentes", "trocas_carro",
+                   "contratos_novos", "dias_sem_pagar"]
+
+
+@register("summary_correlation_matrix", sql(T_CTE, _SUMMARY, _corr_sql(SUMMARY_NUMERIC, "ds")))
+def q_corr_summary(spark, d):
+    return rnd(EV.correlation_matrix(D.driver_summary(T(spark, d))), r=6)
+
+
+TX_NUMERIC = ["tx_id", "driver_id", "amount", "transaction_frequency", "days_since_first", "days_since_last", "avg_payment",
+              "payment_volatility", "payment_range", "payment_consistency", "usage_intensity", "total_value",
+              "avg_value_per_month", "value_trend", "risk_score", "value_frequency_interaction", "risk_value_interaction",
+              "seasonal_value"]
+
+
+@register("transaction_correlation_matrix", sql(T_CTE, *_FEAT, _corr_sql(TX_NUMERIC, "w")))
+def q_corr_tx(spark, d):
+    return rnd(EV.correlation_matrix(FE.transaction_features(T(spark, d))), r=6)
+
+
 @register("churn_correlation", sql(T_CTE, REF, _DF_SQL, "SELECT * FROM (" + "\nUNION ALL ".join(
     f"SELECT '{f}' AS feature, round(abs(corr(CAST({f} AS DOUBLE), CAST(churn AS DOUBLE))), 6) AS correlation FROM dfe"
     for f in INPUTS) + ")"))

@@ -15,7 +15,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-ML = {"cv_rf", "cv_gbt", "model_selection", "scored", "feature_importance", "churn_drivers_importance"}
+ML = {"cv_rf", "cv_gbt", "model_selection", "scored", "feature_importance", "churn_drivers_importance",
+      "churn_correlation_top", "importance_graph"}
 PATTERNS = [
     ("shuffle stages", r"ShuffleQueryStage"),
     ("broadcast stages", r"BroadcastQueryStage"),
@@ -31,7 +32,7 @@ PATTERNS = [
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as E
+    from tenure.plans.catalog import REGISTRY
     from tenure.session import local_session
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,10 +42,10 @@ def main() -> None:
           "side.\n")
     print("| query | " + " | ".join(p for p, _ in PATTERNS) + " |")
     print("| --- |" + " --- |" * len(PATTERNS))
-    for name, fn in E.queries().items():
+    for name, query in REGISTRY.items():
         if name in ML:
             continue
-        df = fn(spark, sf)
+        df = query.run(spark, sf)
         df.write.format("noop").mode("overwrite").save()
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
