@@ -25,7 +25,7 @@ _FEAT = [
     """o AS (SELECT t.*, row_number() OVER (PARTITION BY driver_id ORDER BY transaction_date, tx_id) - 1 AS pos,
         avg(amount) OVER (PARTITION BY driver_id ORDER BY transaction_date, tx_id
                           ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS usage_intensity FROM t)""",
-    "vt AS (SELECT driver_id, regr_slope(amount, pos) AS value_trend FROM o WHERE driver_id IS NOT NULL GROUP BY driver_id)",
+    "vt AS (SELECT driver_id, CASE WHEN count(amount) > 1 THEN regr_slope(amount, pos) END AS value_trend FROM o WHERE driver_id IS NOT NULL GROUP BY driver_id)",
     f"""x AS (SELECT o.tx_id, o.driver_id, o.transaction_date, o.amount, o.kind, o.usage_intensity,
         ds.transaction_frequency, ds.avg_payment, ds.payment_volatility, ds.payment_range, ds.total_value,
         mm.avg_value_per_month, vt.value_trend,
