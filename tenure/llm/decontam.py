@@ -163,14 +163,11 @@ class Matcher:
                 spare = items[j][2]
                 lo = end + 1 - size - at - spare
                 hi = lo + len(items[j][1]) + 2 * spare
-                w = windows.get(j)
-                if w is None:
-                    windows[j] = [[lo, hi]]
-                elif lo <= w[-1][1]:
-                    if hi > w[-1][1]:
-                        w[-1][1] = hi
-                else:
-                    w.append([lo, hi])
+                w = windows.setdefault(j, [])
+                while w and lo <= w[-1][1]:  # a later hit may stand for an earlier start
+                    a, b = w.pop()
+                    lo, hi = min(lo, a), max(hi, b)
+                w.append([lo, hi])
         out = []
         for j, spans in windows.items():
             item_id, item, errors = items[j][:3]

@@ -213,6 +213,23 @@ def test_matcher_against_edit_distance():
     assert hits > 100
 
 
+def test_a_repeated_phrase_does_not_hide_the_start_of_a_passage():
+    rng = random.Random(11)
+    part = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase = part(22)
+    item = phrase + part(38) + phrase + part(118)  # 200 characters, 20 edits, pieces of 9 or 10
+    cuts = decontam.pieces(item, 20)
+    for order in ((0, 2), (2, 0)):
+        x = list(item)
+        for at, piece in cuts[:6]:  # two edits in each of the first pieces
+            x[at + 1] = x[at + len(piece) - 2] = "z"
+        x[58] = "z"
+        edits = sum(a != b for a, b in zip(item, x))
+        t = " ".join([part(300)] * order[0] + ["".join(x)] + [part(300)] * order[1])
+        assert edits <= 20 and edit_search(item, t) == edits
+        assert [r[:2] for r in decontam.Matcher([(1, item)], .1).leaks(t)] == [(1, edits)]
+
+
 def test_leaks_and_odd_rows(spark):
     item = prose(30)
     docs = [(1, prose(50) + " " + item + " " + prose(5)), (2, item.upper().replace(" ", ",\n ")), (3, prose(40)), (4, None), (5, ""), (None, item), (1, item)]
