@@ -102,6 +102,27 @@ def test_differencing_by_nearest_url(spark):
     assert got == {r.page_id: r.text for r in html.extract(df, run=512).collect()}  # whatever the cut
 
 
+def test_short_pages_and_copies_on_a_template_heavy_host(spark):
+    stock = "".join(f"<div>menu {k}</div>" for k in range(6)) + "{}" + "".join(f"<div>foot {k}</div>" for k in range(4))
+    page = lambda *own: stock.format("".join(f"<p>{x}</p>" for x in own))
+    three = [(f"a {k}", f"b {k}", f"c {k}") for k in range(12)]
+    rows = [(k, f"http://short.example/{k:03d}", page(*own)) for k, own in enumerate(three)]
+    # A page between copies of itself, and a hot group of copies between two others.
+    rows += [(100 + k, f"http://hot.example/m{k:03d}", page("same one", "same two")) for k in range(30)]
+    rows += [(200, "http://hot.example/a", page("first")), (201, "http://hot.example/z", page("last"))]
+    # Versions of one page that differ in a line keep their text.
+    text = [f"line {k}" for k in range(20)]
+    rows += [(300 + k, f"http://versions.example/m{k}", page(*text, f"seen {k}")) for k in range(2)]
+    rows += [(310 + k, f"http://versions.example/{c}", page(f"own {c}")) for k, c in enumerate("abcxyz")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for run in (4, 8, 512):
+        got = {r.page_id: r.text for r in html.extract(df, run=run).collect()}
+        assert [got[k] for k in range(12)] == [" ".join(x) for x in three]
+        assert {got[100 + k] for k in range(30)} == {"same one same two"} and (got[200], got[201]) == ("first", "last")
+        assert [got[300 + k] for k in range(2)] == [" ".join([*text, f"seen {k}"]) for k in range(2)]
+        assert [got[310 + k] for k in range(6)] == [f"own {c}" for c in "abcxyz"]
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "http://h/1", "<p>a</p>"), (5, "http://h/2", "<p>b</p>"), (5, "http://h/2", "<p>b</p>")]
     got = sorted(r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
