@@ -73,6 +73,13 @@ def test_blocks(page, text):
     assert " ".join(html.core(html.blocks(page))) == text
 
 
+def test_slugs_and_longer_names_inside_an_article_are_text():
+    page = ("<article><h2 id=related-work>r</h2><section id=discussion><p id=notice-period>n</p></section><h2 id=search>s</h2>"
+            "<p id=copyright-law>c</p><div class='review-summary tags-of-old'>t</div><div class=share>no</div><div id=comments>no</div>"
+            "<div role=search>no</div></article>")
+    assert " ".join(html.core(html.blocks(page))) == "r n s c t"
+
+
 def test_common_rows_is_a_longest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
