@@ -21,6 +21,11 @@ its copies, so a repeated passage meets itself in the array.
 
 Groups of up to ``reach + 1`` suffixes are thus compared completely; in larger
 ones each suffix meets those with which it shares the longest continuation.
+The rest of those is found exactly: every passage of ``min_words`` words whose
+lowest gram (the same in all its copies) is such a group's is hashed as a whole,
+and those met in two ids are hits.  The grams, and then the hashes met in two
+ids, go to a second and third pass over the texts as bits of a filter, so that
+only passages that may count are shuffled.
 
 Defined results for odd input: null, empty and short texts hold no passage; a
 row without an id is left out; rows with equal id and text are one document; a
@@ -57,6 +62,16 @@ def _grams(h: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.nda
     return g, np.arange(n) + gram <= last
 
 
+def _sliding(x: np.ndarray, window: int, pad, pick) -> np.ndarray:
+    """pick over x[i:i + window] by doubling."""
+    n, size, y = len(x), 1, x
+    while size * 2 <= window:
+        y = pick(y, np.concatenate((y[size:], np.full(size, pad, x.dtype)))[:n])
+        size *= 2
+    rest = window - size
+    return pick(y, np.concatenate((y[rest:], np.full(rest, pad, x.dtype)))[:n]) if rest else y
+
+
 def minimisers(h: np.ndarray, at: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(chosen word positions, hashes of their grams) of texts given as word hashes ``h`` cut at ``at``."""
     if len(h) < gram + window - 1:
@@ -64,23 +79,14 @@ def minimisers(h: np.ndarray, at: np.ndarray, gram: int, window: int) -> tuple[n
     g, whole = _grams(h, at, gram)
     n, big = len(g), ~U64(0)
     g = np.where(whole, g, big)
-
-    def sliding(x: np.ndarray, pad, pick) -> np.ndarray:
-        """pick over x[i:i + window] by doubling."""
-        size, y = 1, x
-        while size * 2 <= window:
-            y = pick(y, np.concatenate((y[size:], np.full(size, pad, x.dtype)))[:n])
-            size *= 2
-        rest = window - size
-        return pick(y, np.concatenate((y[rest:], np.full(rest, pad, x.dtype)))[:n]) if rest else y
-    low = sliding(g, big, np.minimum)
+    low = _sliding(g, window, big, np.minimum)
     inside = np.concatenate((whole[window - 1:], np.zeros(window - 1, bool)))  # the window's last position has a whole gram ...
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     ends = np.minimum(np.arange(n) + window - 1, n - 1)
     inside &= text[ends] == text  # ... of the same text
     low = np.where(inside, low, 0)
     # A position is chosen if it is the lowest of some window that holds it: the highest of their lows.
-    highest = sliding(low[::-1], U64(0), np.maximum)[::-1]
+    highest = _sliding(low[::-1], window, U64(0), np.maximum)[::-1]
     chosen = np.flatnonzero((highest == g) & whole)
     return chosen, g[chosen]
 
@@ -100,6 +106,101 @@ def _positions(gram: int, window: int):
     return run
 
 
+_SEGMENT = 16  # a task fills 2 ** 16 bits at a time
+
+
+def _fill(batches) -> Iterator:
+    """(segment, its bits) of sorted bit numbers; a segment's numbers are in one task."""
+    import pyarrow as pa
+    now, bits = None, np.zeros(0, np.uint8)
+
+    def segment():
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+    for batch in batches:
+        b = batch.column(0).to_numpy()
+        for x in np.split(b, np.flatnonzero(np.diff(b >> _SEGMENT)) + 1) if len(b) else ():
+            if now != int(x[0]) >> _SEGMENT:
+                if now is not None:
+                    yield segment()
+                now, bits = int(x[0]) >> _SEGMENT, np.zeros(1 << _SEGMENT - 3, np.uint8)
+            x = x & (1 << _SEGMENT) - 1
+            np.bitwise_or.at(bits, x >> 3, (1 << (x & 7)).astype(np.uint8))
+    if now is not None:
+        yield segment()
+
+
+def _filter_of(keys: DataFrame, n: int) -> np.ndarray:
+    """Bits of the ``n`` hashes in the only column: eight a key, at most 128 MB.  A miss is sure, a hit is not."""
+    size = min(30, max(_SEGMENT, (8 * n - 1).bit_length()))
+    bits = np.zeros(1 << size - 3, np.uint8)
+    at = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << size) - 1).cast("long")).alias("at")
+    parts = (keys.select(at).repartition(F.shiftright("at", _SEGMENT)).sortWithinPartitions("at")
+             .mapInArrow(_fill, "segment long, bits binary"))
+    for r in parts.toLocalIterator():
+        bits[r.segment << _SEGMENT - 3:r.segment + 1 << _SEGMENT - 3] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def _held(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = x & U64(8 * len(bits) - 1)
+    return (bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _windows(gram: int, min_words: int, hot, repeated=None):
+    """(hash, document, start) of every passage of ``min_words`` words whose lowest gram is in ``hot``, itself in ``repeated``."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for first, texts in chunks(batch.column(1).to_pylist()):
+                h, at = hash_words(texts)
+                if len(h) < min_words:
+                    continue
+                low = _sliding(_grams(h, at, gram)[0], min_words - gram + 1, ~U64(0), np.minimum)
+                w, whole = _grams(h, at, min_words)
+                start = np.flatnonzero(whole & _held(hot.value, low))
+                if repeated is not None:
+                    start = start[_held(repeated.value, w[start])]
+                doc = np.searchsorted(at, start, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(w[start].view(np.int64)), pa.array(ids[first + doc]),
+                                                  pa.array((start - at[doc]).astype(np.int32))], names=["w", "doc", "start"])
+    return run
+
+
+def _runs(min_words: int):
+    """Hits of windows that follow each other in a document as one."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        for batch in batches:
+            doc, start, lo, hi = (batch.column(k).to_numpy() for k in range(4))
+            if not len(doc):
+                continue
+            edge = np.concatenate(([0], np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)) + 1))
+            last = np.concatenate((edge[1:], [len(doc)])) - 1
+            ref = np.minimum.reduceat(np.where(lo != doc, lo, hi), edge)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[edge]), pa.array(start[edge]), pa.array((start[last] + min_words).astype(np.int32)),
+                                              pa.array(ref)], names=["doc", "start", "end", "ref"])
+    return run
+
+
+def _exact(rows: DataFrame, hot: DataFrame, gram: int, min_words: int) -> DataFrame | None:
+    """Hits of all passages of ``min_words`` words whose lowest gram is one of ``hot``, in whatever order they stand."""
+    share = rows.sparkSession.sparkContext.broadcast
+    n = hot.count()
+    if not n:
+        return None
+    texts, out = rows.select("doc", "text").transform(small_batches), "w long, doc long, start int"
+    bits = share(_filter_of(hot, n))
+    groups = cut(texts.mapInArrow(_windows(gram, min_words, bits), out).groupBy("w")
+                 .agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi"))
+    n = groups.count()
+    if not n:
+        return None
+    found = texts.mapInArrow(_windows(gram, min_words, bits, share(_filter_of(groups.select("w"), n))), out)
+    return (found.join(groups, "w").select("doc", "start", "lo", "hi").transform(small_batches)
+            .mapInArrow(_runs(min_words), "doc long, start int, end int, ref long"))
+
+
 SUFFIX = "g long, after binary, n_after int, before binary, n_before int, doc long, version long, pos int"
 
 
@@ -276,7 +377,8 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
     folder = shared_folder(spark, "suffixes")
     rows.transform(small_batches).mapInArrow(_positions(gram, min_words - gram + 1), "g long, doc long, version long, pos int").write.parquet(f"{folder}/positions")
     chosen = spark.read.parquet(f"{folder}/positions")
-    twice = cut(chosen.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("g"))
+    twice = cut(chosen.groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"))
+                .filter("lo <> hi").select("g", (F.col("n") > reach + 1).alias("hot")))
     wanted = (chosen.join(twice, "g", "left_semi").groupBy("doc", "version")
               .agg(F.collect_set("pos").alias("wanted")))  # at most a text's own positions
     texts = (rows.join(wanted, ["doc", "version"]).groupBy("doc", "version")
@@ -289,7 +391,9 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
     # The ends of all tasks: at most 2 * reach rows per task, in order in one task.
     ends = (found.filter("kind = 1").select(*[c.split()[0] for c in SUFFIX.split(", ")]).distinct()
             .repartition(1).sortWithinPartitions(*key).transform(small_batches).mapInArrow(_compare(nb), FOUND).filter("kind = 0"))
-    hits = found.filter("kind = 0").union(ends)
+    hits = found.filter("kind = 0").union(ends).select("doc", "start", "end", "ref")
+    exact = _exact(rows, twice.filter("hot").select("g"), gram, min_words)
+    hits = hits if exact is None else hits.union(exact)
     return (hits.groupBy("doc").agg(F.collect_list(F.struct("start", "end", "ref")).alias("hits"))
             .transform(small_batches).mapInArrow(_merge, SPANS))
 

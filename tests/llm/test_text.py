@@ -170,6 +170,22 @@ def test_passages_against_brute_force(spark):
     assert suffix.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_around_a_hot_gram_are_all_found(spark):
+    rng = random.Random(8)
+    big = [f"w{k}" for k in range(5000)]
+    text = lambda n: " ".join(rng.choice(big) for _ in range(n))
+    hot, before = text(10), [text(6) for _ in range(20)]
+    # Pairs that share words before the hot ones and go on differently, among many others.
+    docs = [(k, " ".join([text(15), before[k // 2] if k < 40 else text(6), hot, text(4) if k >= 40 else f"x{k // 2} y z v", text(15)])) for k in range(300)]
+    docs = [(k, t.replace(f"x{k // 2} ", f"{'am'[k % 2]}{k} ").replace("y z v", text(3))) for k, t in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in suffix.repeated_passages(df, min_words=16, gram=8).collect():
+        assert r.ref_doc == r.doc_id ^ 1
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == {k: set(range(15, 31)) for k in range(40)}
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 def edit_search(p, t):
