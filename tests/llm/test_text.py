@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tenure.llm import decontam, linededup, pii, quality, suffix, wordhash
 
@@ -316,6 +317,28 @@ def test_trees_add_spans_and_keep_base_ones(spark):
     assert pii.train(docs.limit(0)).trees == [] and pii.report(docs.limit(0), model).count() == 0
 
 
+def test_a_span_goes_only_for_one_that_is_added(spark, monkeypatch):
+    """A better than B better than C, A-B and B-C overlapping: A and C are added."""
+    def places(df, text, used):
+        found = [("A", 0, 10), ("B", 8, 20), ("C", 18, 30)]
+        spot = F.array(*[F.struct(F.lit(h).alias("hit"), F.lit(a).alias("start"), F.lit(b).alias("end")) for h, a, b in found])
+        for k, n in enumerate(used):
+            df = df.withColumn(n, spot if k == 0 and n.startswith("_other") else F.filter(spot, lambda s: F.lit(False)))
+        return df
+
+    class Model:
+        thresholds = {pii.OTHER[0][0]: .1}
+
+        def score(self, hit):
+            return F.when(hit == "A", .9).when(hit == "B", .8).otherwise(.7)
+    monkeypatch.setattr(pii, "_with_places", places)
+    monkeypatch.setattr(pii, "_passes", lambda kind, hit: F.lit(True))
+    monkeypatch.setattr(pii, "_context", lambda text, s: ())
+    monkeypatch.setattr(pii, "features", lambda kind, hit: hit)
+    df = spark.createDataFrame([(1, "x" * 40)], "doc_id long, text string")
+    assert [(s["start"], s["end"]) for s in pii.find(df, Model()).first().spans] == [(0, 10), (18, 30)]
+
+
 def test_passages_are_cut_but_once(spark):
     shared = " ".join(f"s{k}" for k in range(30))
     docs = [(1, f"a b {shared} c"), (2, f"d\n{shared}\te f"), (3, "g h"), (4, None), (None, shared)]
