@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import decontam, embeddings, html, linededup, packing, pii, quality, simhash, suffix, warc
+from tenure.llm import decontam, dialogue, embeddings, html, linededup, packing, pii, quality, simhash, suffix, warc
 from tenure.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.damaged_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_html": op9_html,
     "op10_decontam": op10_decontam,
+    "op11_dialogue": op11_dialogue,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": warc.SQL,
