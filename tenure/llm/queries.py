@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import decontam, dialogue, embeddings, html, linededup, packing, pii, quality, simhash, suffix, warc
+from tenure.llm import decontam, dialogue, embeddings, html, lexical, licenses, linededup, packing, pii, quality, simhash, suffix, warc
 from tenure.llm.common import table
 
 
@@ -57,6 +57,14 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.damaged_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.find(table(spark, sf_dir, "documents")))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -69,9 +77,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_decontam": op10_decontam,
     "op11_dialogue": op11_dialogue,
+    "op12_licenses": op12_licenses,
+    "op13_lexical": op13_lexical,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op4_embeddings": embeddings.SQL,
     "op8_lines": linededup.SQL,
+    "op12_licenses": licenses.sql(),
+    "op13_lexical": lexical.SQL,
 }

@@ -27,7 +27,7 @@ def rows_of(names, rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     want = con.execute(ORACLES[name])
@@ -37,7 +37,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_numbered_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 12))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near_duplicates", "decontamination", "packing"]
 
 
