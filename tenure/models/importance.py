@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenure.models.ensemble import TreeModel
 from tenure.models.prepare import fill_features
+from tenure.models.train import fit_forest
 from tenure.operators.evaluation import churn_correlation, correlation_graph
+from tenure.session import cut_lineage
 from tenure.sources.schema import numeric_columns
 
 IDS = ("driver_id", "tx_id")
@@ -18,9 +19,16 @@ IDS = ("driver_id", "tx_id")
 def feature_importance(spark: SparkSession, model, names: list[str], k: int | None = 20) -> DataFrame:
     """(feature, importance) of a fitted tree model, sorted, top ``k``.
 
-    The importance vector has one entry per feature (model metadata, not
+    A :class:`TreeModel` gives them by aggregating its node table.  A Spark ML
+    model's importance vector has one entry per feature (model metadata, not
     data), so it is built on the driver."""
     tree = model.stages[-1] if hasattr(model, "stages") else model
+    if isinstance(tree, TreeModel):
+        known = spark.createDataFrame(list(enumerate(names)), "number int, feature string")
+        own = tree.importances(spark).withColumnRenamed("feature", "number")
+        df = (known.join(F.broadcast(own), "number", "left").select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
+              .orderBy(F.desc("importance"), "feature"))
+        return df.limit(k) if k else df
     imp = tree.featureImportances.toArray().tolist()
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
     df = spark.createDataFrame(list(zip(names, [float(v) for v in imp])), schema).orderBy(F.desc("importance"))
@@ -31,13 +39,11 @@ def churn_drivers_importance(df: DataFrame, label: str = "churn", trees: int = 2
                              seed: int = 42, exclude=IDS) -> tuple[DataFrame, list[str], object]:
     """Random forest (20 trees, depth 5, sqrt features) on the numeric
     columns; returns (importances sorted, feature names, model).  Scaling
-    is omitted: it does not change a tree."""
+    is omitted: it does not change a tree.  The model inputs are written once
+    before the fit, which reads them several times."""
     feats = numeric_columns(df, exclude=[label, *exclude])
-    data = fill_features(df, feats).withColumn(label, F.col(label).cast("double"))
-    asm = VectorAssembler(inputCols=feats, outputCol="features")
-    rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
-                                featureSubsetStrategy="sqrt", seed=seed)
-    model = rf.fit(asm.transform(data))
+    data = cut_lineage(fill_features(df, feats).select(*feats, F.col(label).cast("int").alias(label)))
+    model = fit_forest(data, feats, label, trees, depth, seed)
     return feature_importance(df.sparkSession, model, feats, k=None), feats, model
 
 

@@ -60,6 +60,19 @@ def roc_auc(s: DataFrame) -> DataFrame:
     return x.select(F.try_divide(F.col("_a"), F.col("_p") * F.col("_n")).alias("roc_auc"))
 
 
+def roc_auc_by(s: DataFrame, by: list[str]) -> DataFrame:
+    """Area under the ROC curve of every group, (*by, roc_auc), with one sort over
+    all groups: running sums are taken across groups and each group's start is
+    subtracted.  A group with one class only has NULL."""
+    counts = (s.where(F.col("y_prob").isNotNull()).groupBy(*by, "y_prob")
+              .agg(F.sum(F.col("y_true").cast("long")).alias("pos"), F.sum((1 - F.col("y_true")).cast("long")).alias("neg")))
+    c = cumsum_ordered(global_order(counts, [*by, "y_prob"]), ["neg"])
+    below = F.col("neg_cum") - 0.5 * F.col("neg")
+    x = c.groupBy(*by).agg(F.sum(F.col("pos") * below).alias("_a"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"),
+                           F.min(F.col("neg_cum") - F.col("neg")).alias("_start"))
+    return x.select(*by, F.try_divide(F.col("_a") - F.col("_start") * F.col("_p"), F.col("_p") * F.col("_n")).alias("roc_auc"))
+
+
 def _curve_points(s: DataFrame) -> DataFrame:
     """Distinct thresholds in descending order with cumulative tps / fps."""
     g = global_order(_score_groups(s), [F.col("y_prob").desc()])

@@ -131,7 +131,7 @@ def run_pipeline(spark: SparkSession, t: DataFrame, out: str, prices: DataFrame
         cols = model_columns(df)
         tr, te = stratified_split(fill_features(df, cols), "churn", materialize=True)
         grids = grids or {}
-        rf, gb = (train(tr, cols, kind=k, grid=grids.get(k)) for k in ("rf", "gb"))
+        rf, gb = (train(tr, cols, kind=k, grid=grids.get(k), id_col="driver_id") for k in ("rf", "gb"))
         kind, best, a_rf, a_gb = select_model(rf, gb, te)
         save_model(best, f"{out}/model")  # the selected model is the one saved
         predict(best, te).write.mode("overwrite").parquet(f"{out}/model_tables/scored")

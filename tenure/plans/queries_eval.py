@@ -183,7 +183,7 @@ def q_importance_graph(spark, d):
     return rnd(importance_graph(_flagged(spark, d), "churn", 10, 0.3), weight=6)
 
 
-# --- Spark ML keys (no SQL form: rows-only) --------------------------------
+# --- model keys (no SQL form: rows-only) --------------------------------
 
 def _model_data(spark, d):
     from tenure.models.prepare import fill_features, model_columns, stratified_split
@@ -201,31 +201,19 @@ def q_split_counts(spark, d):
     return stratified_split_counts(D.driver_features(T(spark, d)), "churn")
 
 
-# A search fits 20 (forest) or 40 (boosting) models and a final one.  The keys
-# below ask for the same two searches, so a session fits each once per input.
-_SEARCHES: dict[tuple, tuple] = {}
+# Every key fits what it needs, so its time is its own.
 
-
-def _data(spark, d):
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _SEARCHES:
-        _SEARCHES[key] = _model_data(spark, d)
-    return _SEARCHES[key]
-
-
-def _search(spark, d, kind):
+def _search(spark, d, kind, data=None):
     from tenure.models.train import train
-    key = (spark.sparkContext.applicationId, d, kind)
-    if key not in _SEARCHES:
-        tr, _, feats = _data(spark, d)
-        _SEARCHES[key] = train(tr, feats, "churn", kind=kind)
-    return _SEARCHES[key]
+    tr, _, feats = data or _model_data(spark, d)
+    return train(tr, feats, "churn", kind=kind, id_col="driver_id")
 
 
 def _cv(kind):
     def q(spark, d):
         from tenure.models.train import predict
-        return predict(_search(spark, d, kind), _data(spark, d)[1])
+        data = _model_data(spark, d)
+        return predict(_search(spark, d, kind, data), data[1])
     return q
 
 
@@ -235,25 +223,28 @@ register("cv_gbt", None)(_cv("gb"))
 
 def _select(spark, d):
     from tenure.models.train import select_model
-    return select_model(_search(spark, d, "rf"), _search(spark, d, "gb"), _data(spark, d)[1])
+    data = _model_data(spark, d)
+    return *select_model(_search(spark, d, "rf", data), _search(spark, d, "gb", data), data[1]), data[1]
 
 
 @register("model_selection", None)
 def q_model_selection(spark, d):
-    kind, _, a_rf, a_gb = _select(spark, d)
+    kind, _, a_rf, a_gb, _ = _select(spark, d)
     return spark.createDataFrame([(kind, float(a_rf), float(a_gb))], "selected string, auc_rf double, auc_gb double")
 
 
 @register("scored", None)
 def q_scored(spark, d):
     from tenure.models.train import predict
-    return predict(_select(spark, d)[1], _data(spark, d)[1])
+    _, best, _, _, test = _select(spark, d)
+    return predict(best, test)
 
 
 @register("feature_importance", None)
 def q_importance(spark, d):
     from tenure.models.importance import feature_importance
-    return feature_importance(spark, _search(spark, d, "rf").bestModel, _data(spark, d)[2], k=20)
+    data = _model_data(spark, d)
+    return feature_importance(spark, _search(spark, d, "rf", data).bestModel, data[2], k=20)
 
 
 @register("churn_drivers_importance", None)
