@@ -25,6 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared checkpoint folder, as a URI."""
     d = checkpoint_dir(spark)
+    if not d:  # a local folder would be another one on every machine
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     if "://" not in d and not d.startswith("file:"):
         d = "file://" + os.path.abspath(d)
     return f"{d.rstrip('/')}/{name}-{uuid.uuid4().hex}"

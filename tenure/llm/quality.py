@@ -130,14 +130,20 @@ def _trainer(bits: int):
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text",
         id_col: str = "doc_id", bits: int = 18, max_rows: int = 8192) -> np.ndarray:
-    """Learn weights from at most ``max_rows`` labelled rows whose fold is not 0."""
+    """Learn weights from at most ``max_rows`` labelled rows whose fold is not 0.
+
+    Ids are picked in hash order; equal texts of an id are one row, and of the rows
+    of the picked ids the first ``max_rows`` in that order are learnt from, however
+    many texts an id has."""
     order = F.xxhash64(id_col)
     picked = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col)) != 0))
               .groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
               .orderBy(order, id_col).limit(max_rows))
-    # At most max_rows ids: a proven bound for the broadcast, and for the one task that learns in order.
+    # At most max_rows ids and rows: proven bounds for the broadcast and for the one task that learns in order.
     rows = (documents.select(id_col, F.col(text_col).cast("string").alias("_text"))
             .join(F.broadcast(cut(picked)), id_col)
+            .withColumn("_key", F.xxhash64("_text")).dropDuplicates([id_col, "_key"])
+            .orderBy(order, id_col, "_key").limit(max_rows)
             .repartition(1).sortWithinPartitions(order, id_col, "_text").select("_text", "_y"))
     w = np.zeros((1 << bits) + 1)
     for r in rows.transform(small_batches).mapInArrow(_trainer(bits), "feature long, weight double").collect():  # 2**bits + 1 rows at most

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import cut, small_batches
+from tenure.llm.common import cut, free_name, small_batches
 from tenure.llm.components import connected_components
 
 SEED = 42
@@ -65,15 +65,20 @@ def _fingerprinter(words: int):
         import pyarrow as pa
         for batch in batches:
             fps = [0 if t is None else fingerprint(t.encode(), words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))],
-                                             names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column(2)],
+                                             names=["id", "fp", "key"])
     return run
 
 
 def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id long, fp long: the fingerprint's 64 bits as a signed number) of every row."""
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.transform(small_batches).mapInArrow(_fingerprinter(words), "id long, fp long")
+    """(id long, fp long: the fingerprint's 64 bits as a signed number, key long: a hash of the text) of every row."""
+    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
+    return rows.transform(small_batches).mapInArrow(_fingerprinter(words), "id long, fp long, key long")
+
+
+def text_key(text_col: str) -> Column:
+    """Tells the different texts of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 # --- the trie -------------------------------------------------------------------------------
@@ -280,24 +285,37 @@ def trie_links(fps: DataFrame, bits: int = 2, limit: int = 100_000) -> DataFrame
 def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2,
             limit: int = 100_000) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id: smallest id reachable by links) of every row."""
+    return (_classes(documents, id_col, text_col, words, bits, limit)
+            .select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id"))
+
+
+def _classes(documents: DataFrame, id_col: str, text_col: str, words: int, bits: int, limit: int = 100_000) -> DataFrame:
+    """(fp, id, key, root: the smallest fingerprint of the component, component_id) of every row."""
     rows = cut(fingerprints(documents, id_col, text_col, words))
     reps = cut(rows.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep")))
     roots = connected_components(trie_links(reps.select("fp"), bits, limit))
     joined = cut(reps.join(roots, F.col("fp") == F.col("node"), "left")
                  .select("fp", "rep", F.coalesce("component", "fp").alias("root")))
     lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = cut(joined.join(lowest, "root").select("fp", "component_id"))
-    return (rows.join(of_fp, "fp", "left")
-            .select(F.col("id").alias(id_col), hex16(F.col("fp")).alias("fingerprint"), "component_id"))
+    of_fp = cut(joined.join(lowest, "root").select("fp", "root", "component_id"))
+    return rows.join(of_fp, "fp", "left")
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(documents: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """The documents of which the id is its component's smallest, one row each; rows without id stay."""
-    kept = classes(documents, words=words, bits=bits).filter("doc_id = component_id").select("doc_id").distinct()
-    # The join and the removal of repeated rows share one exchange by id.
-    one = documents.join(cut(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(documents.filter("doc_id IS NULL")).select(*documents.columns)
+def keep_one(documents: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every component: a row of its smallest id, of that id's texts in the
+    component the one with the smallest (fingerprint, text hash); rows without id stay.
+
+    What goes is decided by id and text: of an id with different texts each text
+    stays or goes with its own component.  Rows alike in id and text are one."""
+    rows = _classes(documents, id_col, text_col, words, bits).filter("id = component_id")
+    kept = rows.groupBy("root").agg(F.min(F.struct("id", "fp", "key")).alias("one")).select("one.id", "one.key").distinct()
+    own_id, own_key = free_name(documents, "_id"), free_name(documents, "_key")
+    keyed = documents.withColumns({own_id: F.col(id_col).cast("long"), own_key: text_key(text_col)})
+    # The join and the removal of repeated rows share one exchange by id and text.
+    match = (F.col(own_id) == F.col("kept.id")) & (F.col(own_key) == F.col("kept.key"))
+    one = keyed.join(cut(kept).alias("kept"), match, "left_semi").dropDuplicates([own_id, own_key])
+    return one.select(*documents.columns).unionByName(documents.filter(F.col(id_col).isNull()))

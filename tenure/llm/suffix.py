@@ -401,12 +401,17 @@ def repeated_passages(documents: DataFrame, min_words: int = 50, gram: int = 25,
 def without_passages(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` with every repeated passage cut out of the texts that hold
     it, except the smallest id it was met in.  White space around a cut stays;
-    rows without an id or passage are unchanged."""
+    rows without an id or passage are unchanged, and so are those whose id occurs
+    with different texts: a span doesn't say which of them it counts words in."""
     import re
     word = re.compile(r"[^ \t\n\x0b\x0c\r]+")
     doc, gone = free_name(documents, "_doc"), free_name(documents, "_gone")
     cuts = (spans.filter("ref_doc < doc_id").groupBy(F.col("doc_id").alias(doc))
             .agg(F.collect_list(F.struct("start_word", "end_word")).alias(gone)))  # at most a text's own spans
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    unclear = (documents.groupBy(F.col(id_col).cast("long").alias(doc)).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+               .filter("low <> high").select(doc))
+    cuts = cuts.join(unclear, doc, "left_anti")
     joined = documents.join(cuts, documents[id_col].cast("long") == F.col(doc), "left").drop(doc)
     at, gone_at, names = joined.columns.index(text_col), joined.columns.index(gone), documents.columns
 
