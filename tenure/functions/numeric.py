@@ -1,17 +1,21 @@
 """Numeric DataFrame helpers: exact quantiles, quantile scores, histograms,
 quadratic least squares, centred rolling means.
 
-Exact quantiles are computed by sorting (range partitioned) and picking the
-two rows around each rank, never by collecting a group's values (or a
-value→count map) in one task.
+Exact quantiles of whole columns are selected without a sort
+(:mod:`tenure.functions.quantiles`); those of groups are computed by sorting (range
+partitioned) and picking the two rows around each rank, never by collecting a
+group's values (or a value→count map) in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.ordering import GIDX, global_order, shifts_ordered
+from tenure.functions.quantiles import ACCURACY, column_quantiles
 from tenure.session import few_rows
 
 
@@ -63,49 +67,74 @@ def qcut_edges(df: DataFrame, value: str, q: int, by=()) -> DataFrame:
     return qs.groupBy(*by).agg(e) if by else qs.agg(e)
 
 
-def _count_below(edges: Column, x: Column) -> Column:
+def _count_below(edges: list, x: Column) -> Column:
     """Number of inner edges (all but the first and last) strictly below ``x``."""
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-    return F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(e < x, 1).otherwise(0))
+    below = F.lit(0)
+    for e in edges[1:-1]:
+        below = below + F.when(F.lit(e) < x, 1).otherwise(0)
+    return below
 
 
-def qcut_scores(df: DataFrame, values: list[str], q: int, suffix: str = "_score", base: int = 1) -> DataFrame:
-    """:func:`qcut_score` for several columns with one sort: the columns are
-    unpivoted to (column, value), their edges found together, and one row of
-    edge arrays (one per column) is broadcast."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x"))
-                                         for c in values])).alias("_s")).select("_s._c", "_s._x")
-    edges = qcut_edges(long, "_x", q, by="_c")
-    row = edges.groupBy().pivot("_c", values).agg(F.first("edges"))  # one row, one array per column
-    x = df.crossJoin(F.broadcast(row.select(*[F.col(c).alias(f"_e_{c}") for c in values])))
-    for c in values:
-        x = x.withColumn(c + suffix, F.when(F.col(c).isNotNull(), _count_below(F.col(f"_e_{c}"), F.col(c)) + base))
-    return x.drop(*[f"_e_{c}" for c in values])
+def qcut_scores(df: DataFrame, values: list[str], q: int, suffix: str = "_score", base: int = 1, exact: bool = True,
+                accuracy: int = ACCURACY) -> DataFrame:
+    """:func:`qcut_score` for several columns, whose edges are found together."""
+    edges = column_quantiles(df, values, [i / q for i in range(q + 1)], exact, accuracy)
+    return df.select("*", *[F.when(F.col(c).isNotNull(), _count_below(edges[c], F.col(c)) + base).alias(c + suffix) for c in values])
 
 
 def qcut_score(df: DataFrame, value: str, q: int, out: str, by=(), drop_duplicates: bool = False,
-               base: int = 1) -> DataFrame:
+               base: int = 1, exact: bool = True, accuracy: int = ACCURACY) -> DataFrame:
     """``qcut(x, q, labels=False) + base`` as a column ``out``.
 
     Bins are right-closed, the lowest edge included, so the label is the
     number of inner edges strictly below ``x``.  Tied edges are kept (pandas
     raises there); ``drop_duplicates`` removes them first (``duplicates='drop'``).
-    The edges table has one row per group; with no group it is one row and
-    broadcast.
+    With ``exact=False`` the edges come from a mergeable sketch whose rank error
+    is 1/``accuracy`` of the rows (of a group), in one aggregation.  Without
+    groups the edges are ``q + 1`` numbers; with ``by`` a table of one row per group.
     """
     by = _cols(by)
-    edges = qcut_edges(df, value, q, by)
+    probs = [i / q for i in range(q + 1)]
+    if not by:
+        edges = column_quantiles(df, [value], probs, exact, accuracy)[value]
+        if drop_duplicates:
+            edges = sorted(set(edges)) if edges[0] is not None else edges
+        return df.withColumn(out, F.when(F.col(value).isNotNull(), _count_below(edges, F.col(value)) + base))
+    if exact:
+        edges = qcut_edges(df, value, q, by)
+    else:
+        edges = df.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), probs, accuracy).alias("edges"))
     if drop_duplicates:
         edges = edges.withColumn("edges", F.array_distinct("edges"))
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     label = F.aggregate(inner, F.lit(0), lambda acc, e: acc + F.when(e < F.col(value), 1).otherwise(0))
-    joined = df.crossJoin(F.broadcast(edges)) if not by else df.join(edges, by, "left")
-    return joined.withColumn(out, F.when(F.col(value).isNotNull(), label + base)).drop("edges")
+    return df.join(edges, by, "left").withColumn(out, F.when(F.col(value).isNotNull(), label + base)).drop("edges")
+
+
+#: Bins of an automatic histogram at most: outliers widen the bins instead.
+MAX_AUTO_BINS = 1000
+
 
+def round_bins(lo: float, hi: float, q1: float, q3: float, n: int) -> tuple[float, float, int]:
+    """(start, width, bins): bins of 1, 2 or 5 times a power of ten, from a multiple of their width on.
 
-def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None, by=()) -> DataFrame:
+    The width is Freedman and Diaconis' ``2 IQR / n^(1/3)``, or the range over
+    Sturges' ``log2(n) + 1`` bins if the quartiles are one, rounded up."""
+    if lo == hi:
+        return lo - 0.5, 1.0, 1
+    raw = max(2 * (q3 - q1) / n ** (1 / 3) or (hi - lo) / (math.log2(n) + 1), (hi - lo) / MAX_AUTO_BINS)
+    power = 10.0 ** math.floor(math.log10(raw))
+    width = next(m * power for m in (1, 2, 5, 10) if m * power >= raw * (1 - 1e-12))
+    start = math.floor(lo / width) * width
+    return start, width, max(1, math.ceil((hi - start) / width - 1e-9))
+
+
+def histogram(df: DataFrame, value: str, bins: int | None, hue: str | None = None, by=()) -> DataFrame:
     """Equal-width histogram over ``[min, max]`` (last bin closed), per ``by`` group.
 
+    Without ``bins`` (and groups) their number and round edges follow from the
+    quartiles and the number of rows, see :func:`round_bins`.
+
     Returns ``(*by, bin, bin_start, bin_end, [hue], count)`` for every bin
     (and every ``hue`` value of the group), empty ones with count 0; ``bin`` is
     1-based.  NULL and NaN values are left out.  A constant column gets the
@@ -118,16 +147,23 @@ def histogram(df: DataFrame, value: str, bins: int, hue: str | None = None, by=(
     rng = d.groupBy(*by).agg(F.min("_x").alias("_lo0"), F.max("_x").alias("_hi0")).where(F.col("_lo0").isNotNull())
     flat = F.when(F.col("_lo0") == F.col("_hi0"), 0.5).otherwise(0.0)
     rng = rng.select(*by, (F.col("_lo0") - flat).alias("_lo"), (F.col("_hi0") + flat).alias("_hi"))
+    if bins is None:
+        if by:
+            raise ValueError("bins are needed for a histogram by group")
+        n = d.count()
+        lo, q1, q3, hi = column_quantiles(d, ["_x"], [0.0, 0.25, 0.75, 1.0])["_x"]
+        start, size, bins = round_bins(lo, hi, q1, q3, n) if n else (0.0, 1.0, 1)
+        rng = rng.select(F.lit(start).alias("_lo"), F.lit(start + bins * size).alias("_hi"))
     b = F.least(F.floor((F.col("_x") - F.col("_lo")) * F.lit(bins) / (F.col("_hi") - F.col("_lo"))).cast("long") + 1,
                 F.lit(bins).cast("long"))
     keys = [*by, "bin"] + ([hue] if hue else [])
     rng = few_rows(rng) if by else rng
     ranged = d.crossJoin(F.broadcast(rng)) if not by else d.join(rng, by)
     counts = ranged.withColumn("bin", b).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))))
-    if hue:
+    if hue:  # one row per range and hue value: the range goes to the values, few or many
         values = d.select(*by, hue).distinct()
-        grid = grid.join(values, by) if by else grid.crossJoin(values)
+        rng = values.join(rng, by) if by else values.crossJoin(F.broadcast(rng))
+    grid = rng.withColumn("bin", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))))
     match = [grid[k].eqNullSafe(counts[k]) for k in keys]
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     return (grid.join(counts, match, "left")

@@ -75,3 +75,31 @@ def join_drivers(rows: DataFrame, per: DataFrame, heavy: DataFrame, how: str = "
     right = per.join(hot, DRV, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return left.join(right, [DRV, "_salt"], how).drop("_salt").select(
         *rows.columns, *[c for c in per.columns if c != DRV])
+
+
+def heavy_keys(rows: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> list[int]:
+    """xxhash64 of the key tuples with over 1/``share`` of all rows, and perhaps of some with a little less.
+
+    One aggregation: a frequent-items sketch of the keys' hashes, merged map side,
+    of bounded size whatever the number of keys.  It follows ``50 * share`` items,
+    so its counts are off by far less than 1/``share`` of the rows and no heavy
+    tuple is missed.  NULL keys count as a tuple."""
+    h = F.xxhash64(*keys).alias("h")
+    r = rows.select(h).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {2 * share}, {50 * share})").alias("top")).first()
+    return [t["item"] for t in r.top or [] if t["count"] * share * 1.1 > r.n]
+
+
+def join_salted(rows: DataFrame, per: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined to ``per``, which has one row per tuple of ``keys``.
+
+    If ``per`` is an aggregate on the same keys it keeps its partitioning and AQE
+    can't split a key.  So rows of a heavy tuple get one of SALTS salts, and its
+    row of ``per`` is repeated once per salt; without one it is a plain join."""
+    hot = heavy_keys(rows, keys)
+    if not hot:
+        return rows.join(per, keys, how)
+    is_hot = F.xxhash64(*keys).isin(hot)  # at most 2 * HEAVY_SHARE numbers
+    salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    joined = rows.withColumn("_salt", salt).join(per.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how)
+    return joined.select(*rows.columns, *[c for c in per.columns if c not in keys])

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.functions.numeric import exact_quantiles, histogram, qcut_scores
+from tenure.functions.numeric import histogram, qcut_scores
+from tenure.functions.quantiles import column_quantiles
 from tenure.functions.timeutil import floor_days, month_start, plus_days
 from tenure.operators.common import AMT, DRV, KIND, TS, drivers, mavg, sum0, per_driver_with_ref
 from tenure.session import cut_lineage
@@ -81,18 +82,23 @@ def _long_metrics(t: DataFrame) -> DataFrame:
 
 def behavioral_box_stats(t: DataFrame) -> DataFrame:
     """Box statistics per behaviour metric: min, q1, median, q3, max and the
-    whisker ends (most extreme values within 1.5 IQR of the quartiles)."""
-    long = _long_metrics(t).where(F.col("value").isNotNull())
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], by="metric")
-    qw = q.groupBy("metric").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-                                   for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    iqr = F.col("q3") - F.col("q1")
-    lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    x = long.join(F.broadcast(qw), "metric")  # four rows: one per metric
-    return x.groupBy("metric", "q1", "median", "q3").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.min(F.when(F.col("value") >= lo_f, F.col("value"))).alias("lower_whisker"),
-        F.max(F.when(F.col("value") <= hi_f, F.col("value"))).alias("upper_whisker"))
+    whisker ends (most extreme values within 1.5 IQR of the quartiles).
+
+    The metrics are written once, a row per driver; quartiles are selected from
+    its columns, the rest is one aggregation."""
+    m = cut_lineage(behavioral_metrics(t).select(*[F.col(c).cast("double").alias(c) for c in BEHAVIOR_METRICS]))
+    boxes, aggs = column_quantiles(m, list(BEHAVIOR_METRICS), [0.25, 0.5, 0.75]), []
+    for c, (q1, med, q3) in boxes.items():
+        if q1 is None:
+            continue
+        lo, hi, v = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1), F.col(c)
+        aggs.append(F.struct(F.lit(c).alias("metric"), F.lit(q1).alias("q1"), F.lit(med).alias("median"), F.lit(q3).alias("q3"),
+                             F.min(v).alias("min"), F.max(v).alias("max"), F.min(F.when(v >= lo, v)).alias("lower_whisker"),
+                             F.max(F.when(v <= hi, v)).alias("upper_whisker")))
+    if not aggs:
+        schema = "metric string, " + ", ".join(f"{c} double" for c in ("q1", "median", "q3", "min", "max", "lower_whisker", "upper_whisker"))
+        return t.sparkSession.createDataFrame([], schema)
+    return m.agg(F.array(*aggs).alias("boxes")).select(F.explode("boxes").alias("b")).select("b.*")
 
 
 def behavior_histogram(t: DataFrame, bins: int = 20) -> DataFrame:
@@ -130,17 +136,19 @@ def driver_features(t: DataFrame, kinds=tuple(KINDS), days: int = 30) -> DataFra
                      "churn", *[f"payment_type_{k}" for k in sorted(kinds)]))
 
 
-def rfm_scores(t: DataFrame, q: int = 5) -> DataFrame:
+def rfm_scores(t: DataFrame, q: int = 5, exact: bool = True) -> DataFrame:
     """Recency (whole days from the last date + 1 day), frequency, monetary,
     1..q quantile scores (recency inverted), rfm_score and churn_risk.
 
-    Quantile edges are exact (sorted, not collected) and tied edges are kept.
+    Quantile edges are exact, found by selection on the table of drivers, which is
+    written once; with ``exact=False`` they come from a sketch, without that copy's
+    further scans.  Tied edges are kept.
     """
     x = per_driver_with_ref(t, F.max(TS).alias("_last"), F.count(AMT).alias("frequency"),
                             sum0(AMT).alias("monetary"))
     x = x.withColumn("recency", floor_days("_last", plus_days("ref_date", 1)))
     x = x.select(DRV, "recency", "frequency", "monetary")
-    x = qcut_scores(x, ["recency", "frequency", "monetary"], q)
+    x = qcut_scores(cut_lineage(x) if exact else x, ["recency", "frequency", "monetary"], q, exact=exact)
     x = x.withColumn("recency_score", (q + 1) - F.col("recency_score"))
     return (x.withColumn("rfm_score", F.col("recency_score") * 100 + F.col("frequency_score") * 10
                          + F.col("monetary_score"))

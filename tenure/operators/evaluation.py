@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenure.functions import comoments
 from tenure.functions.numeric import qcut_score
 from tenure.functions.ordering import GIDX, PID, cumsum_ordered, global_order, shifts_ordered
 from tenure.functions.timeutil import floor_days, minus_days
@@ -145,48 +146,40 @@ def classification_report(s: DataFrame) -> DataFrame:
     return c.select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def calibration(s: DataFrame, q: int = 10) -> DataFrame:
+def calibration(s: DataFrame, q: int = 10, exact: bool = True) -> DataFrame:
     """Quantile bins of y_prob (duplicate edges dropped): mean predicted vs
-    actual rate per bin."""
-    b = qcut_score(s.where(F.col("y_prob").isNotNull()), "y_prob", q, "bin", drop_duplicates=True, base=0)
+    actual rate per bin.  ``exact=False`` takes the edges from a sketch."""
+    rows = s.where(F.col("y_prob").isNotNull()).select("y_prob", "y_true")
+    b = qcut_score(cut_lineage(rows) if exact else rows, "y_prob", q, "bin", drop_duplicates=True, base=0, exact=exact)
     return b.groupBy("bin").agg(F.avg("y_prob").alias("prob_pred"), F.avg(F.col("y_true").cast("double")).alias("actual"),
                                 F.count(F.lit(1)).alias("n"))
 
 
-def safe_corr(x, y) -> F.Column:
-    """Pearson correlation over the rows where both are non-NULL; NULL for a
-    constant column (``corr`` raises division by zero in ANSI mode)."""
-    x = (F.col(x) if isinstance(x, str) else x).cast("double")
-    y = (F.col(y) if isinstance(y, str) else y).cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    xb, yb = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xb, yb), F.stddev_pop(xb) * F.stddev_pop(yb))
-
-
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations of ``cols`` (default: every
-    numeric column) as long rows (x, y, r).
+    numeric column) as long rows (x, y, r), from one scan.
 
-    The columns are checkpointed as doubles, so the frame behind them is
-    computed once; then there is one aggregation per first column, over that
-    column and the later ones.  Rows are never copied."""
+    Every task keeps co-moments of all pairs (rows, means and centred products of
+    the rows in which both are there), which are merged pairwise, a square root of
+    the tasks' number at a time.  NULL and NaN are missing; a constant column has
+    NULL, a column with itself exactly 1."""
     cols = cols if cols is not None else numeric_columns(df)
-    x = cut_lineage(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
-    out = None
-    for i in range(len(cols)):
-        one = x.agg(*[safe_corr(f"c{i}", f"c{j}").alias(f"r{j}") for j in range(i, len(cols))])
-        cells = [F.struct(F.lit(cols[a]).alias("x"), F.lit(cols[b]).alias("y"), F.col(f"r{j}").alias("r"))
-                 for j in range(i, len(cols)) for a, b in dict.fromkeys(((i, j), (j, i)))]
-        one = one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    if not cols:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    parts = x.mapInArrow(comoments.of_batches, "m binary")
+    some = max(1, int(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    merged = parts.repartition(some).mapInArrow(comoments.merged, "m binary").repartition(1).mapInArrow(comoments.merged, "m binary")
+    found = merged.mapInArrow(comoments.correlations(cols), "x string, y string, r double")
+    pairs = df.sparkSession.createDataFrame([(a, b) for a in cols for b in cols], "x string, y string")  # also without rows
+    return pairs.join(F.broadcast(found), ["x", "y"], "left")  # a row per pair of columns
 
 
 def churn_correlation(df: DataFrame, features: list[str], label: str = "churn") -> DataFrame:
     """|corr(feature, label)| per feature, ascending."""
-    agg = df.agg(*[F.abs(safe_corr(f, label)).alias(f"c{i}") for i, f in enumerate(features)])
-    cells = [F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, f in enumerate(features)]
-    return agg.select(F.explode(F.array(*cells)).alias("c")).select("c.*").orderBy("correlation")
+    m = correlation_matrix(df, [*dict.fromkeys([*features, label])])
+    return (m.where((F.col("y") == label) & F.col("x").isin(features))
+            .select(F.col("x").alias("feature"), F.abs("r").alias("correlation")).orderBy("correlation"))
 
 
 def correlation_graph(df: DataFrame, features: list[str], threshold: float = 0.3) -> DataFrame:

@@ -15,16 +15,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tenure.functions.numeric import exact_quantiles
 from tenure.functions.ordering import GIDX, PID, global_order, shifts_ordered
+from tenure.functions.quantiles import column_quantiles
 from tenure.functions.timeutil import floor_days, month_start
-from tenure.operators.common import AMT, DRV, TS, TX, heavy_drivers, join_drivers, mavg, sum0
+from tenure.operators.common import AMT, DRV, TS, TX, heavy_drivers, join_drivers, join_salted, mavg, sum0
 from tenure.sources.schema import numeric_columns
 
 TEMPORAL = ["day_of_week", "month", "quarter", "is_weekend", "transaction_frequency",
@@ -90,11 +90,11 @@ def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "moneta
     if need_mon:
         # per-driver stats joined onto the (driver, month) means first (both are
         # aggregates), so the rows are shuffled for one join, keyed by
-        # (driver, month): a hot driver is spread over its months
+        # (driver, month): a hot driver is spread over its months, a hot month
+        # of a driver is salted
         mm = (t.where(F.col(DRV).isNotNull()).groupBy(DRV, month_start(TS).alias("_ym"))
                .agg(mavg(AMT).alias("avg_value_per_month")))
-        x = (rows.withColumn("_ym", month_start(TS))
-                 .join(mm.join(stats, DRV), [DRV, "_ym"], "left").drop("_ym"))
+        x = join_salted(rows.withColumn("_ym", month_start(TS)), mm.join(stats, DRV), [DRV, "_ym"]).drop("_ym")
     else:
         x = join_drivers(rows, stats, heavy_drivers(t))
     x = (x.withColumn("day_of_week", F.weekday(TS))
@@ -159,36 +159,45 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def iqr_outlier_treatment(df: DataFrame, target: str, k: float = 1.5, exclude=()) -> DataFrame:
     """Per numeric column (64-bit int / double) other than ``target``:
     values outside ``[Q1 − k·IQR, Q3 + k·IQR]`` become the column median.
-    Treated columns are returned as double.  Quantiles are exact; one row
-    of bounds per column is broadcast."""
-    cols = [c for c in numeric_columns(df, exclude=[target, *exclude])]
-    if not cols:
-        return df
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))
-                                         for c in cols])).alias("s")).select("s.c", "s.v")
-    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by="c")
-    piv = q.groupBy().pivot("c", cols).agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n)
-                                             for p, n in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"))])
-    x = df.crossJoin(F.broadcast(piv))  # one row
+    Treated columns are returned as double.  Quantiles are exact, selected for
+    all columns together in three scans; the rows are neither copied nor moved."""
+    cols = numeric_columns(df, exclude=[target, *exclude])
+    bounds = column_quantiles(df, cols, [0.25, 0.5, 0.75])
     out = []
     for c in df.columns:
-        if c in cols:
-            q1, med, q3 = F.col(f"{c}_q1"), F.col(f"{c}_med"), F.col(f"{c}_q3")
+        v = F.col(c).cast("double")
+        if c in cols and bounds[c][0] is not None:
+            q1, med, q3 = bounds[c]
             iqr = q3 - q1
-            v = F.col(c).cast("double")
-            out.append(F.when((v < q1 - k * iqr) | (v > q3 + k * iqr), med).otherwise(v).alias(c))
+            out.append(F.when((v < q1 - k * iqr) | (v > q3 + k * iqr), F.lit(med)).otherwise(v).alias(c))
         else:
-            out.append(F.col(c))
-    return x.select(*out)
+            out.append(v.alias(c) if c in cols else F.col(c))
+    return df.select(*out)
 
 
-def feature_text(df: DataFrame, columns: list[str], embedder=None, num_features: int = 256,
+def token_vectors(texts: DataFrame, text_col: str = "feature_text", size: int = 32, max_rows: int = 50_000,
+                  min_count: int = 5, seed: int = 42) -> Word2VecModel:
+    """Vectors of the tokens of ``texts``, learnt from their neighbours in a text.
+
+    At most ``max_rows`` texts, the first in hash order, are learnt from, so the
+    token table is bounded; tokens seen less than ``min_count`` times have no vector.
+    ``model.getVectors()`` is the table (word, vector)."""
+    some = texts.orderBy(F.xxhash64(text_col), text_col).limit(max_rows).select(_tokens(text_col).alias("_tok"))
+    return Word2Vec(inputCol="_tok", outputCol="_vec", vectorSize=size, minCount=min_count, seed=seed, numPartitions=1).fit(some)
+
+
+def _tokens(text_col: str) -> F.Column:
+    return F.split(F.lower(text_col), " ")
+
+
+def feature_text(df: DataFrame, columns: list[str], embedder=None, model: Word2VecModel | None = None,
                  id_col: str | None = None) -> DataFrame:
     """Row → text ``"col value col value …"`` → vector.
 
-    The default vectoriser is the JVM-side ``Tokenizer`` + ``HashingTF``.
-    ``embedder`` (pandas Series of text → list of float lists) replaces it
-    and runs batched through ``mapInPandas`` on the executors.
+    The vector is the mean of the vectors of the text's tokens (a token without
+    one counts as zeros), taken on the JVM; they come from ``model`` or are learnt from
+    the texts (:func:`token_vectors`).  ``embedder`` (pandas Series of text → list
+    of float lists) replaces it and runs batched through ``mapInPandas``.
     """
     parts = []
     for c in columns:
@@ -196,9 +205,9 @@ def feature_text(df: DataFrame, columns: list[str], embedder=None, num_features:
     keep = [id_col] if id_col else []
     x = df.select(*keep, F.concat_ws(" ", *parts).alias("feature_text"))
     if embedder is None:
-        tok = Tokenizer(inputCol="feature_text", outputCol="_tok").transform(x)
-        v = HashingTF(inputCol="_tok", outputCol="_vec", numFeatures=num_features).transform(tok)
-        return v.select(*keep, "feature_text", vector_to_array("_vec").alias("embedding"))
+        model = model or token_vectors(x)
+        v = model.transform(x.withColumn(model.getInputCol(), _tokens("feature_text")))
+        return v.select(*keep, "feature_text", vector_to_array(model.getOutputCol(), "float32").alias("embedding"))
     schema = T.StructType([*[f for f in x.schema.fields],
                            T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 

@@ -1,11 +1,12 @@
 """Month-over-month churn and monthly statistics.
 
-Set semantics of the reference ("drivers of the previous observed month that
-are absent this month") become joins on the distinct ``(driver, month)``
-table, which has at most one row per driver and month — a hot driver cannot
-skew it.  The month chain (each observed month and its predecessor) has one
-row per month of the calendar, so ordering it in one task and broadcasting
-it is safe.
+The set semantics of the reference ("drivers of the previous observed month that
+are absent this month") come from one aggregation per driver: the sorted list of
+the driver's months, at most one entry per month of the calendar whatever the
+number of rows, so a hot driver is reduced map side.  Each entry knows the driver's
+own previous and next month.  A driver stays from one observed month to the next if
+the next one is the driver's own next, so counting (month, own next month) pairs, a
+table bounded by the calendar, gives active, retained, churned and new drivers.
 """
 
 from __future__ import annotations
@@ -31,32 +32,35 @@ def driver_months(t: DataFrame, key: str = "year_month") -> DataFrame:
             .select(DRV, _month_key(key).alias("month")).distinct())
 
 
-def month_chain(months: DataFrame) -> DataFrame:
-    """(month, prev_month) over the observed months; bounded by the calendar."""
+def driver_steps(t: DataFrame, key: str = "year_month") -> DataFrame:
+    """(driver_id, month, own_prev, own_next): every month of a driver with the driver's months around it.
+
+    The one shuffle is of the drivers' months, a set per driver and task."""
+    own = (drivers(t).where(F.col(TS).isNotNull()).groupBy(DRV)
+           .agg(F.array_sort(F.collect_set(_month_key(key))).alias("_months")))
+    m = F.col("_months")
+    steps = F.transform(m, lambda x, i: F.struct(x.alias("month"), F.get(m, i - 1).alias("own_prev"), F.get(m, i + 1).alias("own_next")))
+    return own.select(DRV, F.explode(steps).alias("s")).select(DRV, "s.*")
+
+
+def month_chain(steps: DataFrame) -> DataFrame:
+    """(month, prev_month, next_month) over the observed months; bounded by the calendar."""
     w = Window.orderBy("month")
-    return months.select("month").distinct().withColumn("prev_month", F.lag("month").over(w))
+    return (steps.groupBy("month").agg(F.count(F.lit(1)).alias("_n"))
+            .select("month", F.lag("month").over(w).alias("prev_month"), F.lead("month").over(w).alias("next_month")))
 
 
 def month_flows(t: DataFrame, key: str = "year_month") -> DataFrame:
     """Per observed month: active, previous_active, retained, churned, new."""
-    dm = driver_months(t, key)
-    # every branch reads dm with both columns, so its exchange is planned once
-    # and reused; the month chain comes from the per-month counts
-    active = dm.groupBy("month").agg(F.count(DRV).alias("active"))
-    chain = month_chain(active)
-    nxt = chain.where(F.col("prev_month").isNotNull()).select(
-        F.col("prev_month").alias("month"), F.col("month").alias("next_month"))
-    carried = dm.join(F.broadcast(nxt), "month")  # (month=prev, driver, next_month)
-    retained = (carried.join(dm.select(DRV, F.col("month").alias("next_month")), [DRV, "next_month"])
-                .groupBy(F.col("next_month").alias("month")).agg(F.count(F.lit(1)).alias("retained")))
-    prev_active = active.select(F.col("month").alias("prev_month"), F.col("active").alias("previous_active"))
-    out = (chain.join(active, "month")
-                .join(prev_active, "prev_month", "left")
-                .join(retained, "month", "left"))
-    pa = F.coalesce(F.col("previous_active"), F.lit(0)).cast("long")
-    r = F.coalesce(F.col("retained"), F.lit(0)).cast("long")
-    return out.select("month", "prev_month", F.col("active").alias("active"), pa.alias("previous_active"),
-                      r.alias("retained"), (pa - r).alias("churned"), (F.col("active") - r).alias("new"))
+    pairs = driver_steps(t, key).groupBy("month", "own_next").agg(F.count(F.lit(1)).alias("_n"))
+    months = pairs.groupBy("month").agg(F.sum("_n").alias("active"), F.collect_list(F.struct("own_next", "_n")).alias("_to"))
+    w = Window.orderBy("month")  # one row per observed month
+    x = months.select("month", "active", F.lag("month").over(w).alias("prev_month"), F.lag("active").over(w).alias("_before"),
+                      F.lag("_to").over(w).alias("_from"))
+    stay = F.get(F.filter("_from", lambda p: p["own_next"] == F.col("month")), F.lit(0))["_n"]
+    x = x.withColumn("previous_active", F.coalesce("_before", F.lit(0)).cast("long")).withColumn("retained", F.coalesce(stay, F.lit(0)).cast("long"))
+    return x.select("month", "prev_month", "active", "previous_active", "retained",
+                    (F.col("previous_active") - F.col("retained")).alias("churned"), (F.col("active") - F.col("retained")).alias("new"))
 
 
 def monthly_churn_calendar(t: DataFrame) -> DataFrame:
@@ -143,20 +147,16 @@ def transaction_seasonality(t: DataFrame) -> DataFrame:
 
 def month_churned_drivers(t: DataFrame) -> DataFrame:
     """(month, driver_id): drivers of the previous observed year-month that
-    are absent in ``month`` (set difference as an anti join)."""
-    dm = driver_months(t, "year_month")
-    chain = month_chain(dm).where(F.col("prev_month").isNotNull())
-    prev_rows = dm.join(F.broadcast(chain.select(F.col("prev_month").alias("month"),
-                                                 F.col("month").alias("next_month"))), "month")
-    gone = prev_rows.join(dm.select(DRV, F.col("month").alias("next_month")), [DRV, "next_month"], "left_anti")
-    return gone.select(F.col("next_month").alias("month"), DRV)
+    are absent in ``month`` (their own next month is another one, or none)."""
+    steps = driver_steps(t)
+    chain = month_chain(steps).where(F.col("next_month").isNotNull())
+    x = steps.join(F.broadcast(chain.select("month", "next_month")), "month")  # one row per month
+    return x.where(~F.col("own_next").eqNullSafe(F.col("next_month"))).select(F.col("next_month").alias("month"), DRV)
 
 
 def month_new_drivers(t: DataFrame) -> DataFrame:
     """(month, driver_id): drivers of ``month`` absent in the previous
     observed year-month (in the first month everybody is new)."""
-    dm = driver_months(t, "year_month")
-    chain = month_chain(dm)
-    cur = dm.join(F.broadcast(chain), "month")
-    prev = dm.select(DRV, F.col("month").alias("prev_month"))
-    return cur.join(prev, [DRV, "prev_month"], "left_anti").select("month", DRV)
+    steps = driver_steps(t)
+    x = steps.join(F.broadcast(month_chain(steps).select("month", "prev_month")), "month")  # one row per month
+    return x.where(F.col("prev_month").isNull() | ~F.col("own_prev").eqNullSafe(F.col("prev_month"))).select("month", DRV)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.numeric import centred_rolling_mean, quad_fit
 from tenure.functions.ordering import ffill_ordered, global_order, shift_ordered
-from tenure.operators.common import AMT, DRV, TS, mavg
+from tenure.operators.common import AMT, DRV, TS, join_salted, mavg
 from tenure.session import cut_lineage
 
 
@@ -28,9 +28,10 @@ def daily_activity(t: DataFrame) -> DataFrame:
 
 def daily_activity_join(t: DataFrame) -> DataFrame:
     """Rows left-joined to the daily activity on the *exact* timestamp (so
-    only midnight rows find their day), giving ``is_active``."""
+    only midnight rows find their day), giving ``is_active``.  A (driver,
+    timestamp) that holds many of the rows is salted."""
     a = daily_activity(t).select(DRV, TS, "is_active")
-    return t.join(a, [DRV, TS], "left")
+    return join_salted(t, a, [DRV, TS])
 
 
 def elasticity_curve(df: DataFrame, price: str, demand: str, by=()) -> DataFrame:

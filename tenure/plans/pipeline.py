@@ -1,14 +1,16 @@
 """The staged retention job and persistence of its results.
 
 read → transaction features → churn / cohort / segment tables → price tables →
-driver importances → model → evaluation tables.  Every table is written by Spark (one folder per table, a
-one-row metadata table beside them); nothing is collected on the driver
-except the model's AUCs.
+driver importances → model → evaluation tables.  Every table is written by Spark (one
+folder per table; features and metrics as versions with a manifest); nothing is
+collected on the driver except the model's trees and AUCs.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,46 +19,65 @@ from pyspark.sql import functions as F
 from tenure.functions.timeutil import month_start
 from tenure.operators import churn, cohort, drivers, evaluation, features, monthly, pricing, segments
 
-META = "_metadata"
 DATA = "processed_transactions"
-
-
-def write_processed(df: DataFrame, metrics: dict[str, DataFrame], path: str,
-                    partition_by_month: bool = True, files_per_month: int = 4) -> None:
-    """Processed transactions (partitioned by month, so later reads prune),
-    each metric frame, and a metadata row (last_processed, rows, columns).
-
-    Rows are dealt by month and a spread key first, so a month has
-    ``files_per_month`` files at most instead of one per task."""
+VERSIONS = "versions"
+MANIFEST = ("version string, written timestamp_ntz, last_processed timestamp_ntz, fingerprint string, n_rows long, "
+            "columns array<string>, metrics array<string>")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Tells inputs apart: a hash of the columns, the number of rows and two sums of
+    row hashes, from one scan; the rows' order doesn't matter."""
+    names = "|".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias("a"),
+               F.sum(F.xxhash64(F.lit(1), *cols).cast("decimal(38,0)")).alias("b")).first()
+    return hashlib.sha256(f"{names}|{r.n}|{r.a}|{r.b}".encode()).hexdigest()
+
+
+def write_processed(df: DataFrame, metrics: dict[str, DataFrame], path: str, partition_by_month: bool = True,
+                    files_per_month: int = 4, source: str | None = None) -> str:
+    """Processed transactions (partitioned by month, so later reads prune) and each
+    metric frame as a new version under ``path``; returns its name.
+
+    The manifest (time, rows, columns, metrics, ``source``: the input's
+    :func:`fingerprint`) is written last.  A version without one, left by a run
+    that was stopped, is never read, and older versions stay as they are.  Rows
+    are dealt by month and a spread key first, so a month has ``files_per_month``
+    files at most instead of one per task."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    at = f"{path}/{VERSIONS}/{version}"
     if partition_by_month:
         w = df.withColumn("_month", month_start("transaction_date"))
         w = w.repartition("_month", F.pmod(F.xxhash64(*df.columns), F.lit(files_per_month)))
-        w.write.mode("overwrite").partitionBy("_month").parquet(f"{path}/{DATA}")
+        w.write.partitionBy("_month").parquet(f"{at}/{DATA}")
     else:
-        df.write.mode("overwrite").parquet(f"{path}/{DATA}")
+        df.write.parquet(f"{at}/{DATA}")
     for name, m in metrics.items():
-        m.write.mode("overwrite").parquet(f"{path}/metrics/{name}")
-    spark = df.sparkSession
-    stored = spark.read.parquet(f"{path}/{DATA}")
-    meta = stored.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp_ntz").alias("last_processed"),
-        "n_rows", F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
-        F.array(*[F.lit(n) for n in metrics]).alias("metrics"))
-    meta.write.mode("overwrite").parquet(f"{path}/{META}")
-
-
-def load_processed(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """Reload what :func:`write_processed` wrote; FileNotFoundError if absent.
-    Any other failure to read is raised as it is."""
+        m.write.parquet(f"{at}/metrics/{name}")
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    row = (version, now, now, source, spark.read.parquet(f"{at}/{DATA}").count(), list(df.columns), list(metrics))
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.parquet(f"{at}/manifest")
+    return version
+
+
+def load_processed(spark: SparkSession, path: str, source: str | None = None) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """The newest finished version that :func:`write_processed` wrote, and its manifest;
+    with ``source`` only one made from that input.  FileNotFoundError if there is
+    none; any other failure to read is raised as it is."""
     try:
-        meta = spark.read.parquet(f"{path}/{META}")
+        meta = spark.read.schema(MANIFEST).parquet(f"{path}/{VERSIONS}/*/manifest")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"no processed data under {path}") from e
         raise
-    row = meta.select("metrics", "columns").first()  # one row of metadata
-    df = spark.read.parquet(f"{path}/{DATA}").select(*row.columns)
-    return df, {n: spark.read.parquet(f"{path}/metrics/{n}") for n in row.metrics}, meta
+    meta = meta.where(F.col("fingerprint") == source) if source is not None else meta
+    row = meta.orderBy(F.desc("written"), "version").first()  # one row per version
+    if row is None:
+        raise FileNotFoundError(f"no finished version of this input under {path}")
+    at = f"{path}/{VERSIONS}/{row.version}"
+    df = spark.read.parquet(f"{at}/{DATA}").select(*row.columns)
+    return df, {n: spark.read.parquet(f"{at}/metrics/{n}") for n in row.metrics}, meta.where(F.col("version") == row.version)
 
 
 def churn_tables(t: DataFrame) -> dict[str, DataFrame]:
@@ -109,16 +130,17 @@ def run_pipeline(spark: SparkSession, t: DataFrame, out: str, prices: DataFrame
 
     Features and metrics are written once and read from there by the later
     stages (price tables, importances, model, evaluation).  With ``reuse`` a
-    stored result under ``out`` is read instead of computed again."""
+    finished result of the same input under ``out`` is read instead of computed again."""
     summary: dict = {"out": out, "reused": False}
+    source = fingerprint(t)
     try:
         if not reuse:
             raise FileNotFoundError
-        feats, metrics, _ = load_processed(spark, out)
+        feats, metrics, _ = load_processed(spark, out, source)
         summary["reused"] = True
     except FileNotFoundError:
-        write_processed(features.transaction_features(t), churn_tables(t), out)
-        feats, metrics, _ = load_processed(spark, out)
+        write_processed(features.transaction_features(t), churn_tables(t), out, source=source)
+        feats, metrics, _ = load_processed(spark, out, source)
     if prices is not None:
         _write_tables(price_tables(prices), out, "prices")
     if train_model:

@@ -184,6 +184,20 @@ LEFT JOIN {rows} s ON least(CAST(floor((CAST(s.{value} AS DOUBLE) - lo) * {bins}
 GROUP BY {f'g.{by}, ' if by else ''}g.bin, lo, hi{f', g.{hue}' if hue else ''}"""
 
 
+@register("amount_histogram_auto", sql(T_CTE, """q AS (SELECT count(amount) AS n, min(amount) AS lo, max(amount) AS hi,
+  quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3 FROM t)""",
+ """r AS (SELECT *, greatest(CASE WHEN q3 > q1 THEN 2 * (q3 - q1) / pow(n, 1.0 / 3) ELSE (hi - lo) / (log2(n) + 1) END, (hi - lo) / 1000) AS raw FROM q)""",
+ "p AS (SELECT *, pow(10, floor(log10(raw))) AS step FROM r)",
+ """w AS (SELECT *, step * CASE WHEN raw <= step THEN 1 WHEN raw <= 2 * step THEN 2 WHEN raw <= 5 * step THEN 5 ELSE 10 END AS width FROM p)""",
+ "e AS (SELECT *, floor(lo / width) * width AS start, CAST(ceil((hi - floor(lo / width) * width) / width - 1e-9) AS BIGINT) AS bins FROM w)",
+ """SELECT b.bin, round(start + (b.bin - 1) * width, 6) AS bin_start, round(start + b.bin * width, 6) AS bin_end, count(t.amount) AS count
+FROM e, unnest(range(1, bins + 1)) AS b(bin) LEFT JOIN t ON least(CAST(floor((t.amount - start) / width) AS BIGINT) + 1, bins) = b.bin
+GROUP BY b.bin, start, width"""))
+def q_amount_hist_auto(spark, d):
+    from tenure.functions.numeric import histogram
+    return rnd(histogram(T(spark, d), "amount", None), bin_start=6, bin_end=6)
+
+
 @register("amount_histogram", sql(T_CTE, hist_sql("t", "amount", 50)))
 def q_amount_hist(spark, d):
     from tenure.functions.numeric import histogram

@@ -124,7 +124,8 @@ _TEXT = ["total_transactions", "days_active", "churn"]
 @register("feature_text_rows", sql(T_CTE, REF, _DF_SQL, "SELECT driver_id, " + " || ' ' || ".join(
     f"'{c} ' || coalesce(CAST({c} AS VARCHAR), 'nan')" for c in _TEXT) + " AS feature_text FROM dfe"))
 def q_text_rows(spark, d):
-    return FE.feature_text(D.driver_features(T(spark, d)), _TEXT, id_col="driver_id").select("driver_id", "feature_text")
+    df = D.driver_features(T(spark, d))
+    return FE.feature_text(df, _TEXT, embedder=lambda texts: [[]] * len(texts), id_col="driver_id").select("driver_id", "feature_text")
 
 
 @register("feature_text", None)

@@ -4,32 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tenure.functions.ordering import PID, global_order
-from tenure.sources.schema import RAW_CSV_SCHEMA, canonicalize
+from tenure.session import cut_lineage
+from tenure.sources.schema import CORRUPT, RAW_CSV_SCHEMA, Coercion, canonicalize
 
 
-def read_transactions_csv(spark: SparkSession, path: str, schema=RAW_CSV_SCHEMA) -> DataFrame:
+def read_transactions_csv(spark: SparkSession, path: str, schema=RAW_CSV_SCHEMA, coercion: Coercion | None = None) -> DataFrame:
     """CSV with a header row in the raw layout (date, driver_id, amount, kind).
 
     An explicit schema avoids the inference pass over the whole input.
     Without a ``tx_id`` column rows are numbered in file order (files by path,
-    then the row's place), whatever the input splits.
+    then the row's place), whatever the input splits; ``coercion`` then counts in
+    the same pass and is checked here.
     """
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    if "tx_id" not in df.columns:
-        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task's splits
-        df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                       place.alias("_place"))
-        df = global_order(df, ["_file", "_block", "_place"], "tx_id").drop(PID, "_file", "_block", "_place")
-    return canonicalize(df)
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if coercion else schema
+    df = (spark.read.schema(wide).option("header", True).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    return _in_file_order(df, coercion)
 
 
-def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Transactions in canonical or raw layout from parquet / csv / json."""
+def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet", coercion: Coercion | None = None) -> DataFrame:
+    """Transactions in canonical or raw layout from parquet / csv / json, numbered
+    like :func:`read_transactions_csv` if they have no ``tx_id``."""
     if fmt == "csv":
-        return read_transactions_csv(spark, path)
-    return canonicalize(spark.read.format(fmt).load(path))
+        return read_transactions_csv(spark, path, coercion=coercion)
+    return _in_file_order(spark.read.format(fmt).load(path), coercion)
+
+
+def _in_file_order(df: DataFrame, coercion: Coercion | None) -> DataFrame:
+    """``df``, read from files, in the canonical layout."""
+    if "tx_id" in df.columns:
+        return canonicalize(df, coercion)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task's splits
+    x = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), place.alias("_place"))
+    x = canonicalize(x.withColumn("tx_id", F.lit(0).cast("long")), coercion).drop("tx_id")
+    if coercion:
+        x = cut_lineage(x)  # the sort samples its input first: rows would be counted twice
+        coercion.check()
+    out = global_order(x, ["_file", "_block", "_place"], "tx_id").drop(PID, "_file", "_block", "_place")
+    return out.select("tx_id", *[c for c in out.columns if c != "tx_id"])
 
 
 def load_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenure.session import cut_lineage
+
 # The payment kinds of the input data, in this order.
 KINDS = ["FIRST_PAYMENT", "RECURRENCY", "FIRST_PAYMENT_EXCHANGE"]
 
@@ -37,14 +39,45 @@ def validate(df: DataFrame, required=REQUIRED) -> None:
         raise ValueError("DataFrame must contain a 'date' or 'transaction_date' column")
 
 
-def canonicalize(df: DataFrame) -> DataFrame:
+class Coercion:
+    """What was lost on the way into the canonical layout, counted in the pass that reads the rows.
+
+    Hand one to a reader or to :func:`canonicalize`; after the first action on
+    the frame ``counts()`` has ``rows``, ``bad_dates`` (text that is no
+    timestamp), ``bad_amounts`` (NaN) and ``malformed`` (lines of a CSV or JSON
+    file that don't fit its schema)."""
+
+    def __init__(self, max_share: float | None = None):
+        self.max_share = max_share
+        self.observation = Observation()
+
+    def counts(self) -> dict[str, int]:
+        return dict(self.observation.get)
+
+    def check(self) -> dict[str, int]:
+        """The counts; ValueError if more than ``max_share`` of the rows lost a field."""
+        c = self.counts()
+        lost = max(c["bad_dates"], c["bad_amounts"], c["malformed"])
+        if self.max_share is not None and lost > self.max_share * c["rows"]:
+            raise ValueError(f"more than {self.max_share:.2%} of {c['rows']} rows lost a field: {c}")
+        return c
+
+
+#: Column in which readers keep a line that doesn't fit the schema.
+CORRUPT = "_corrupt_record"
+
+
+def canonicalize(df: DataFrame, coercion: Coercion | None = None) -> DataFrame:
     """Bring any transactions-like frame into the canonical layout.
 
     * ``date`` is renamed to ``transaction_date`` and coerced to TIMESTAMP_NTZ
       (text is parsed with ``try_to_timestamp``: unparsable text becomes NULL);
-    * a ``tx_id`` is added when absent (monotone in read order; it is the
-      tie-breaker of every order-dependent operator);
-    * NaN amounts are read as NULL (pandas treats them alike).
+    * a ``tx_id`` is added when absent (monotone in the frame's order; it is the
+      tie-breaker of every order-dependent operator), and the rows are written to
+      the checkpoint folder with it, for a frame computed again may number its
+      rows differently;
+    * NaN amounts are read as NULL (pandas treats them alike);
+    * ``coercion`` counts what became NULL on the way.
     """
     validate(df)
     if "transaction_date" not in df.columns:
@@ -56,12 +89,18 @@ def canonicalize(df: DataFrame) -> DataFrame:
         ts = F.col("transaction_date")
     else:
         ts = F.col("transaction_date").cast(T.TimestampNTZType())
-    if "tx_id" not in df.columns:
+    numbered = "tx_id" in df.columns
+    if not numbered:
         df = df.withColumn("tx_id", F.monotonically_increasing_id())
     amount = F.col("amount").cast("double")
     kind = F.col("kind").cast("string") if "kind" in df.columns else F.lit(None).cast("string")
-    extra = [c for c in df.columns if c not in {"tx_id", "driver_id", "transaction_date", "amount", "kind"}]
-    return df.select(
+    extra = [c for c in df.columns if c not in {"tx_id", "driver_id", "transaction_date", "amount", "kind", CORRUPT}]
+    if coercion:
+        bad = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
+        df = df.observe(coercion.observation, F.count(F.lit(1)).alias("rows"),
+                        F.count_if(F.col("transaction_date").isNotNull() & ts.isNull()).alias("bad_dates"),
+                        F.count_if(F.isnan(amount)).alias("bad_amounts"), F.count_if(bad).alias("malformed"))
+    out = df.select(
         F.col("tx_id").cast("long").alias("tx_id"),
         F.col("driver_id").cast("long").alias("driver_id"),
         ts.alias("transaction_date"),
@@ -69,6 +108,7 @@ def canonicalize(df: DataFrame) -> DataFrame:
         kind.alias("kind"),
         *extra,
     )
+    return out if numbered else cut_lineage(out)
 
 
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
