@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
+from pyspark.ml.feature import HashingTF, Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,12 +175,12 @@ def iqr_outlier_treatment(df: DataFrame, target: str, k: float = 1.5, exclude=()
     return df.select(*out)
 
 
-def token_vectors(texts: DataFrame, text_col: str = "feature_text", size: int = 32, max_rows: int = 50_000,
-                  min_count: int = 5, seed: int = 42) -> Word2VecModel:
+def token_vectors(texts: DataFrame, text_col: str = "feature_text", size: int = 32, max_rows: int = 20_000,
+                  min_count: int = 1, seed: int = 42) -> Word2VecModel:
     """Vectors of the tokens of ``texts``, learnt from their neighbours in a text.
 
     At most ``max_rows`` texts, the first in hash order, are learnt from, so the
-    token table is bounded; tokens seen less than ``min_count`` times have no vector.
+    token table is bounded; tokens seen less than ``min_count`` times in them have no vector.
     ``model.getVectors()`` is the table (word, vector)."""
     some = texts.orderBy(F.xxhash64(text_col), text_col).limit(max_rows).select(_tokens(text_col).alias("_tok"))
     return Word2Vec(inputCol="_tok", outputCol="_vec", vectorSize=size, minCount=min_count, seed=seed, numPartitions=1).fit(some)
@@ -190,13 +190,14 @@ def _tokens(text_col: str) -> F.Column:
     return F.split(F.lower(text_col), " ")
 
 
-def feature_text(df: DataFrame, columns: list[str], embedder=None, model: Word2VecModel | None = None,
-                 id_col: str | None = None) -> DataFrame:
+def feature_text(df: DataFrame, columns: list[str], embedder=None, num_features: int | None = None,
+                 id_col: str | None = None, model: Word2VecModel | None = None) -> DataFrame:
     """Row → text ``"col value col value …"`` → vector.
 
     The vector is the mean of the vectors of the text's tokens (a token without
     one counts as zeros), taken on the JVM; they come from ``model`` or are learnt from
-    the texts (:func:`token_vectors`).  ``embedder`` (pandas Series of text → list
+    the texts (:func:`token_vectors`).  ``num_features`` asks for hashed token counts
+    (``HashingTF``) of that length instead.  ``embedder`` (pandas Series of text → list
     of float lists) replaces it and runs batched through ``mapInPandas``.
     """
     parts = []
@@ -204,7 +205,12 @@ def feature_text(df: DataFrame, columns: list[str], embedder=None, model: Word2V
         parts += [F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("nan"))]
     keep = [id_col] if id_col else []
     x = df.select(*keep, F.concat_ws(" ", *parts).alias("feature_text"))
+    if embedder is None and num_features:
+        v = HashingTF(inputCol="_tok", outputCol="_vec", numFeatures=num_features).transform(x.withColumn("_tok", _tokens("feature_text")))
+        return v.select(*keep, "feature_text", vector_to_array("_vec").alias("embedding"))
     if embedder is None:
+        if model is None and x.isEmpty():
+            return x.withColumn("embedding", F.lit(None).cast("array<float>"))
         model = model or token_vectors(x)
         v = model.transform(x.withColumn(model.getInputCol(), _tokens("feature_text")))
         return v.select(*keep, "feature_text", vector_to_array(model.getOutputCol(), "float32").alias("embedding"))
