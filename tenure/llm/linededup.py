@@ -1,11 +1,14 @@
 """Repeated lines found with levelled sorted runs of line hashes.
 
-The store keeps, for every line key seen so far, the number of documents that
-hold it and the largest of their ids, in sorted runs.  A new batch is
-aggregated by key and merge-anti-joined with the runs, which tells first-seen
-keys from known ones; its own run is then added at level 0.  As soon as a
-level has ``fanout`` runs they are compacted into one run of the next level, so
-a key is rewritten about log(batches) times and a look-up reads few runs.
+The store keeps every line key seen so far in exactly one sorted run, with the
+number of documents of its batch that hold it and the largest of their ids.  A new
+batch is aggregated by key and merge-anti-joined with the runs: first-seen keys
+become a run of their own at level 0, known ones only an entry in the list of
+updates.  As soon as a level has ``fanout`` runs they are compacted into one run
+of the next level, so a key is rewritten about log(batches) times and a look-up
+reads few runs.  Runs are bucketed by key: a join with one never moves it.  At the
+end a key's count is that of its run and its updates; keys without updates,
+most lines of a corpus, are not aggregated again.
 
 A key is a line without the white space at its ends and in lower case (A-Z),
 hashed to 128 bits; only keys of at least ``min_chars`` code points count.
@@ -21,7 +24,9 @@ empty input gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ from pyspark.sql.types import LongType, StructType
 
 from tenure.llm.common import WHITE, cut, free_name, shared_folder, small_batches
 
-RUN_SCHEMA = "h binary, n_docs long, max_doc long, fresh boolean"
+RUN_SCHEMA = "h binary, n_docs long, max_doc long"
 
 
 def key_hash(line: bytes, min_chars: int) -> bytes | None:
@@ -58,58 +63,78 @@ def line_keys(documents: DataFrame, min_chars: int, id_col: str = "doc_id", text
 
 
 class LineRuns:
-    """The store: levels of sorted runs under a shared folder."""
+    """The store: levels of sorted, bucketed runs under a shared folder, and updates of their keys."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3):
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 3, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.folder = folder or shared_folder(spark, "lines")
+        # as many buckets as a shuffle has partitions: then only a batch's side of a join is dealt
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.updates: list[str] = []
         self.written = 0
 
-    def _runs(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.parquet(*paths) if paths else None
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.folder}/run-{self.written:05d}-level{level}"
+        name = f"run_{uuid.uuid4().hex}"
+        (rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
+         .option("path", f"{self.folder}/run-{self.written:05d}-level{level}").saveAsTable(name))
         self.written += 1
-        rows.sortWithinPartitions("h").write.parquet(path)
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
-    def fresh(self, keys: DataFrame) -> DataFrame:
-        """The rows of ``keys`` whose key no run holds (sort-merge anti join)."""
-        runs = self._runs()
-        return keys if runs is None else keys.join(runs.select("h").hint("merge"), "h", "left_anti")
+    def fresh(self, counted: DataFrame) -> DataFrame:
+        """The rows of ``counted`` whose key no run holds (a sort-merge anti join with each run)."""
+        for run in self.runs():
+            counted = counted.join(run.select("h").hint("merge"), "h", "left_anti")
+        return counted
 
-    def add(self, batch: DataFrame) -> None:
-        """Add a batch of (h, doc) rows; a document must not come in two batches.
+    def known(self, counted: DataFrame) -> DataFrame:
+        """The rows of ``counted`` whose key a run holds."""
+        found = [counted.join(run.select("h").hint("merge"), "h", "left_semi") for run in self.runs()]
+        return reduce(DataFrame.unionByName, found, counted.limit(0))
 
-        The counted keys are used twice, from one exchange."""
+    def add(self, batch: DataFrame) -> None:
+        """Add a batch of (h, doc) rows; a document must not come in two batches."""
         counted = batch.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
-        if self._runs() is None:
-            marked = counted.withColumn("fresh", F.lit(True))
-        else:
-            new = self.fresh(counted).withColumn("fresh", F.lit(True))
-            known = counted.join(self._runs().select("h").hint("merge"), "h", "left_semi").withColumn("fresh", F.lit(False))
-            marked = new.unionByName(known)
-        self._write(marked, 0)
+        if self.runs():
+            counted = cut(counted)
+            path = f"{self.folder}/updates-{self.written:05d}"
+            self.known(counted).write.parquet(path)
+            self.updates.append(path)
+        self._write(self.fresh(counted), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merge(self.spark.read.parquet(*full)), level + 1)
+            # no key is in two runs: runs are merged without an aggregation
+            self._write(reduce(DataFrame.unionByName, [self.spark.table(n) for n in full]), level + 1)
+            self._drop(full)
             level += 1
 
-    @staticmethod
-    def _merge(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"),
-                                     F.max("fresh").alias("fresh"))
-
     def totals(self) -> DataFrame:
-        """(h, n_docs, max_doc, fresh) over all runs."""
-        runs = self._runs()
-        return self.spark.createDataFrame([], RUN_SCHEMA) if runs is None else self._merge(runs)
+        """(h, n_docs, max_doc) of every key."""
+        runs = self.runs()
+        if not runs:
+            return self.spark.createDataFrame([], RUN_SCHEMA)
+        if not self.updates:
+            return reduce(DataFrame.unionByName, runs)
+        more = cut(self.spark.read.schema(RUN_SCHEMA).parquet(*self.updates).groupBy("h")
+                   .agg(F.sum("n_docs").alias("n_more"), F.max("max_doc").alias("max_more")))
+        both = [run.join(more.hint("merge"), "h", "left") for run in runs]
+        return reduce(DataFrame.unionByName, both).select(
+            "h", (F.col("n_docs") + F.coalesce("n_more", F.lit(0))).alias("n_docs"), F.greatest("max_doc", "max_more").alias("max_doc"))
+
+    def _drop(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE {n}")
+
+    def close(self) -> None:
+        """Forget the runs' names; their files stay in the folder."""
+        self._drop([n for level in self.levels for n in level])
+        self.levels = []
 
 
 def _rebuild(schema: StructType, text_at: int, drop_at: int, min_chars: int):
@@ -149,6 +174,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, ba
     for k in range(batches):
         store.add(keys.filter(F.col("batch") == k).select("h", "doc"))
     heavy = cut(store.totals().filter(F.col("n_docs") >= min_docs).select("h", "max_doc"))
+    store.close()
     lost = (keys.join(heavy, "h").filter("doc <> max_doc").groupBy("doc")
             .agg(F.collect_set("h").alias("gone")))  # at most a document's own lines
     doc, gone = free_name(documents, "_doc"), free_name(documents, "_gone")
