@@ -328,8 +328,10 @@ def boost(data: Blocks, keep: Callable, rounds: int, depths: np.ndarray, rates:
         out.append(grown)
         since.append(slim(grown))
         if local or done % ROUNDS_KEPT == 0 or done in at:
-            state = keep(each(state, lambda b, later=tuple(since): (*b[:4], _margins(b, later, slice(None)))))
+            old, state = state, keep(each(state, lambda b, later=tuple(since): (*b[:4], _margins(b, later, slice(None)))))
             since = []
+            if not local and not any(old is x for x in snapshots.values()):
+                old.unpersist()
         if done in at:
             snapshots[done] = state
     return out, snapshots

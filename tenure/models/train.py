@@ -64,9 +64,10 @@ def train(df: DataFrame, features: list[str], label: str = "churn", kind: str =
     edges, rows = growth.bin_edges(df, features)
     data = growth.blocks(df, features, label, edges, rows, "fold", id_col)
     search = _forests if kind == "rf" else _boosted
-    scores, model_of = search(df, data, rows, params, list(range(folds)), edges, seed)
+    scores, model_of, held = search(df, data, rows, params, list(range(folds)), edges, seed)
     per_fold = {(r.config, r.fold): r.roc_auc for r in roc_auc_by(scores, ["config", "fold"]).collect()}
-    data.unpersist()
+    for rdd in (data, *held):
+        rdd.unpersist()
     means = [float(np.mean([per_fold[i, f] for f in range(folds) if per_fold.get((i, f)) is not None] or [0.5])) for i in range(len(params))]
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     best = TreeModel(kind, model_of(int(np.argmax(means))))
@@ -109,7 +110,7 @@ def _forests(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: lis
     def model_of(i: int) -> list[tuple]:
         n, d = params[i]["numTrees"], params[i]["maxDepth"]
         return [row for t, c in enumerate(np.flatnonzero(fold == -1)[:n]) for row in _node_rows(grown, c, t, d, edges)]
-    return _scores(df, data.repartition(len(folds) + 1).flatMap(validate)), model_of
+    return _scores(df, data.repartition(len(folds) + 1).flatMap(validate)), model_of, []
 
 
 def _boosted(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: list[int], edges: list[np.ndarray], seed: int):
@@ -129,20 +130,20 @@ def _boosted(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: lis
     if rows > growth.ROWS_AT_ONCE:
         rounds, after = growth.boost(data, lambda x: growth.kept(x, df), max(iterations), depths, rates, left_out, features, seed, iterations)
         found = [state.flatMap(lambda b, done=done: validation(chains, done, b)) for done, state in after.items()]
-        scores = data.context.union(found)
+        scores, held = data.context.union(found), list(after.values())
     else:
         def some(blocks: list, at: slice):
             rounds, after = growth.boost(blocks, lambda x: x, max(iterations), depths[at], rates[at], left_out[at], features, seed, iterations)
             return rounds, [row for done, state in after.items() for b in state for row in validation(chains[at], done, b)]
         dealt = growth.kept(growth.dealt(data, some, len(chains), 1), df)
         rounds = [growth.joined(list(t)) for t in zip(*_same_depth(dealt.map(lambda x: x[0]).collect(), int(depths.max())))]
-        scores = dealt.flatMap(lambda x: x[1])
+        scores, held = dealt.flatMap(lambda x: x[1]), [dealt]
 
     def model_of(i: int) -> list[tuple]:
         p = params[i]
         c = chains.index((p["maxDepth"], p["stepSize"], -1))
         return [row for t, trees in enumerate(rounds[:p["maxIter"]]) for row in _node_rows(trees, c, t, p["maxDepth"], edges)]
-    return _scores(df, scores), model_of
+    return _scores(df, scores), model_of, held
 
 
 def _same_depth(parts: list[list[growth.Trees]], depth: int) -> list[list[growth.Trees]]:

@@ -89,13 +89,14 @@ def heavy_keys(rows: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> li
     return [t["item"] for t in r.top or [] if t["count"] * share * 1.1 > r.n]
 
 
-def join_salted(rows: DataFrame, per: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def join_salted(rows: DataFrame, per: DataFrame, keys: list[str], how: str = "left", hot: list[int] | None = None) -> DataFrame:
     """``rows`` joined to ``per``, which has one row per tuple of ``keys``.
+    ``hot`` are the :func:`heavy_keys`, if known from a frame that is cheaper to read.
 
     If ``per`` is an aggregate on the same keys it keeps its partitioning and AQE
     can't split a key.  So rows of a heavy tuple get one of SALTS salts, and its
     row of ``per`` is repeated once per salt; without one it is a plain join."""
-    hot = heavy_keys(rows, keys)
+    hot = heavy_keys(rows, keys) if hot is None else hot
     if not hot:
         return rows.join(per, keys, how)
     is_hot = F.xxhash64(*keys).isin(hot)  # at most 2 * HEAVY_SHARE numbers

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tenure.functions.ordering import GIDX, PID, global_order, shifts_ordered
 from tenure.functions.quantiles import column_quantiles
 from tenure.functions.timeutil import floor_days, month_start
-from tenure.operators.common import AMT, DRV, TS, TX, heavy_drivers, join_drivers, join_salted, mavg, sum0
+from tenure.operators.common import AMT, DRV, TS, TX, heavy_drivers, heavy_keys, join_drivers, join_salted, mavg, sum0
 from tenure.sources.schema import numeric_columns
 
 TEMPORAL = ["day_of_week", "month", "quarter", "is_weekend", "transaction_frequency",
@@ -94,7 +94,8 @@ def transaction_features(t: DataFrame, groups=("temporal", "behavioral", "moneta
         # of a driver is salted
         mm = (t.where(F.col(DRV).isNotNull()).groupBy(DRV, month_start(TS).alias("_ym"))
                .agg(mavg(AMT).alias("avg_value_per_month")))
-        x = join_salted(rows.withColumn("_ym", month_start(TS)), mm.join(stats, DRV), [DRV, "_ym"]).drop("_ym")
+        hot = heavy_keys(o.withColumn("_ym", month_start(TS)), [DRV, "_ym"])  # the sorted copy has been written
+        x = join_salted(rows.withColumn("_ym", month_start(TS)), mm.join(stats, DRV), [DRV, "_ym"], hot=hot).drop("_ym")
     else:
         x = join_drivers(rows, stats, heavy_drivers(t))
     x = (x.withColumn("day_of_week", F.weekday(TS))
