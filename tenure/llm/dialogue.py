@@ -552,3 +552,63 @@ def repair(conversations: DataFrame, **columns) -> DataFrame:
 def damaged_report(conversations: DataFrame) -> DataFrame:
     """The report of the repair of ``conversations`` after :func:`damage`."""
     return Repair(damage(conversations)).report()
+
+
+# --- the same in SQL ----------------------------------------------------------------
+
+_ROLE = {2: "user", 3: "assistant"}
+
+
+def _value(c, a: str, t: str) -> str:
+    """Cost, audit and lines from a state on; compared in this order."""
+    return f"{{'c': {c}, 'a': {a}, 't': {t}}}"
+
+
+def _act(s: int) -> str:
+    """The best way on from state ``s`` that begins with the row's edit, given the states ``e0`` to ``e3`` behind it."""
+    found = [_value(f"e{s}.c + 3", f"'D' || e{s}.a", f"e{s}.t")]
+    for i, to in zip("sua", KEPT.tolist()):
+        if to[s] >= 0:
+            e = f"e{to[s]}"
+            found.append(f"CASE WHEN live AND i = '{i}' THEN " + _value(f"{e}.c + late", f"'K' || {e}.a", f"chr(10) || role || ':' || text || {e}.t") + " END")
+    k = int(INSERTED[s])
+    found.append("CASE WHEN live THEN " + _value(f"e{k}.c + 2 + late", f"'R' || e{k}.a", f"chr(10) || '{_ROLE[k]}:' || text || e{k}.t") + " END")
+    return f"list_min([{', '.join(found)}]) AS b{s}"
+
+
+def _best(s: int) -> str:
+    """With up to two messages inserted before."""
+    k = int(INSERTED[s])
+    m = int(INSERTED[k])
+    one = _value(f"b{k}.c + 2", f"'I' || b{k}.a", f"chr(10) || '{_ROLE[k]}:' || b{k}.t")
+    two = _value(f"b{m}.c + 4", f"'II' || b{m}.a", f"chr(10) || '{_ROLE[k]}:' || chr(10) || '{_ROLE[m]}:' || b{m}.t")
+    return f"list_min([b{s}, {one}, {two}]) AS e{s}"
+
+
+def sql() -> str:
+    """DuckDB SQL of :func:`damaged_report` over ``conversations``: one step back per row, all states at a time."""
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT conv_id, turn, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k,
+    coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+h AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 20 AS how FROM o),
+g AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role,
+    CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE how WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM g),
+q AS (SELECT *, left(role, 1) AS i, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) NOT IN ('.', '!', '?') AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM p),
+r AS MATERIALIZED (SELECT *, NOT blank AND NOT again AS live, CASE WHEN cut THEN 1 ELSE 0 END AS late FROM q),
+dp AS (SELECT conv_id, count(*) + 1 AS pos, {_value(0, "''", "''")} AS e0, {_value(4, "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")} AS e1,
+    {_value(2, "'I'", "chr(10) || 'assistant:'")} AS e2, {_value(0, "''", "''")} AS e3 FROM r GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, {', '.join(_best(s) for s in range(4))} FROM (
+    SELECT r.conv_id, r.pos, {', '.join(_act(s) for s in range(4))} FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.pos = dp.pos - 1)),
+f AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (live AND cut) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(e0.c, 0) AS BIGINT) AS cost, coalesce(e0.a, '') AS audit, sha256(substr(coalesce(e0.t, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM a.conv_id AND dp.pos = 1"""

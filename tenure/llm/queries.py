@@ -84,6 +84,7 @@ ORACLES: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op4_embeddings": embeddings.SQL,
     "op8_lines": linededup.SQL,
+    "op11_dialogue": dialogue.sql(),
     "op12_licenses": licenses.sql(),
     "op13_lexical": lexical.SQL,
 }
