@@ -104,7 +104,7 @@ def test_shared_growth_equals_single_configurations(split):
 def test_auc_like_spark_ml(split, kind):
     tr, _ = split
     if kind == "rf":
-        est, grid = RandomForestClassifier(labelCol="churn", numTrees=100, maxDepth=5, seed=1), {"numTrees": [100], "maxDepth": [5]}
+        est, grid = RandomForestClassifier(labelCol="churn", numTrees=60, maxDepth=5, seed=1), {"numTrees": [60], "maxDepth": [5]}
         tolerance = 0.005
     else:
         est, grid = GBTClassifier(labelCol="churn", maxIter=20, maxDepth=3, stepSize=0.1, seed=1), {"maxIter": [20], "maxDepth": [3], "stepSize": [0.1]}
