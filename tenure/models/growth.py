@@ -17,14 +17,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
-from pyspark import RDD
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.session import checkpoint_dir
 
 MAX_BINS = 32
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16_384
+#: Tasks per core at most: each task returns sums of all open nodes, whatever its number of rows.
+TASKS_PER_CORE = 2
 #: Open nodes whose sums are added up in one job: 1.5 KB each for three features.
 NODES_PER_JOB = 40_000
 CHAINS_PER_KEY = 16
@@ -58,8 +60,9 @@ def blocks(df: DataFrame, features: list[str], label: str, edges: list[np.ndarra
     x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)], F.col(label).cast("int").alias("y"),
                   (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"), key.alias("id"))
 
-    # every level is a job: tasks of a few rows would cost more than their work
-    x = x.coalesce(max(1, -(-rows // BLOCK_ROWS)))
+    # every level is a job: tasks of a few rows would cost more than their work, and more tasks shuffle more sums
+    parts = max(1, min(-(-rows // BLOCK_ROWS), TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+    x = x.coalesce(parts) if x.rdd.getNumPartitions() >= parts else x.repartition(parts)
 
     def pack(batches) -> Iterable:
         import pyarrow as pa
@@ -101,17 +104,24 @@ class Trees:
         self.gain = np.zeros((chains, 1 << depth))
         self.count = np.zeros((chains, 2 << depth))
 
-    def nodes_of(self, bins: np.ndarray, levels: int | None = None, chains=slice(None)) -> np.ndarray:
-        """Heap number (chain, row) that every row has reached after ``levels`` levels."""
-        feature, cut = self.feature[chains], self.cut[chains]
-        node = np.ones((len(feature), len(bins)), np.int32)
-        rows, own = np.arange(len(bins))[None, :], np.arange(len(feature))[:, None]
-        for _ in range(self.depth if levels is None else levels):
-            inside = np.minimum(node, feature.shape[1] - 1)
-            f = np.where(node < feature.shape[1], feature[own, inside], -1)
-            right = bins[rows, np.maximum(f, 0)] > cut[own, inside]
-            node = np.where(f >= 0, 2 * node + right, node)
-        return node
+    def splits(self, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and cuts of the nodes above level ``levels``; a leaf sends all rows to its left child."""
+        feature, cut = self.feature[:, :1 << levels], self.cut[:, :1 << levels]
+        return np.maximum(feature, 0), np.where(feature >= 0, cut, 255).astype(np.uint8)
+
+    def scores(self, bins: np.ndarray, levels: int | None = None, chains: Iterable[int] | None = None) -> Iterable[np.ndarray]:
+        """For every chain the value of each row's node after ``levels`` levels, or of the leaf before."""
+        levels = self.depth if levels is None else levels
+        feature, cut = self.splits(levels)
+        flat, base = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        value = self.value[:, :2 << levels].copy()
+        for level in range(levels):  # what a leaf's rows reach has the leaf's value
+            i = np.arange(1 << level, 2 << level)
+            leaf = self.feature[:, i] < 0
+            for child in (2 * i, 2 * i + 1):
+                value[:, child] = np.where(leaf, value[:, i], value[:, child])
+        for c in range(len(feature)) if chains is None else chains:
+            yield value[c].take(walk(feature[c].astype(np.int64), cut[c], flat, base, levels))
 
     def padded(self, depth: int) -> "Trees":
         """The same trees in arrays for ``depth`` levels."""
@@ -121,9 +131,17 @@ class Trees:
             getattr(out, name)[:, :own.shape[1]] = own
         return out
 
-    def values_of(self, node: np.ndarray, chains=slice(None)) -> np.ndarray:
-        value = self.value[chains]
-        return value[np.arange(len(value))[:, None], node]
+
+def walk(feature: np.ndarray, cut: np.ndarray, flat: np.ndarray, base: np.ndarray, levels: int) -> np.ndarray:
+    """Heap number that every row has reached in a tree after ``levels`` levels; ``base`` is where its bins begin in ``flat``."""
+    node = np.ones(len(base), np.int64)
+    for _ in range(levels):
+        at = feature.take(node)
+        at += base
+        right = flat.take(at) > cut.take(node)
+        node += node
+        node += right
+    return node
 
 
 def pick_features(seed: int, trees: np.ndarray, nodes: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -191,40 +209,81 @@ def _parts(open_nodes: np.ndarray) -> list[np.ndarray]:
     return [*parts, open_nodes[begin:]]
 
 
+#: Integer sums of weights and targets are added up in one double, this far apart, for so many blocks.
+APART, BLOCKS_IN_ONE = 2.0 ** 26, 64
+
+
 def _level(data: Blocks, trees: Trees, part: np.ndarray, level: int, numbers: np.ndarray, features: int, k: int, seed: int, targets: Callable,
            dtype) -> list[tuple[np.ndarray, np.ndarray]]:
     keys = part[:, 0] // CHAINS_PER_KEY
     of_key = {int(q): part[keys == q] for q in np.unique(keys)}
+    feature, cuts = trees.splits(level)
+    numbers = {q: numbers[nodes[:, 0]] for q, nodes in of_key.items()}
+    low, high = int(part[0, 0]), int(part[-1, 0]) + 1
+    feature, cuts, whole = feature[low:high], cuts[low:high], np.issubdtype(dtype, np.integer)
+
+    def picked_of(q):
+        return pick_features(seed, numbers[q], of_key[q][:, 1], features, k)
 
     def add_up(own):
-        sums = {}
-        for block in own:
-            bins = block[0]
-            for q, nodes in of_key.items():
-                chains = slice(q * CHAINS_PER_KEY, (q + 1) * CHAINS_PER_KEY)
-                weight, target = targets(block, chains)
-                slot = np.full((len(weight), 2 << level), -1, np.int64)
-                slot[nodes[:, 0] - chains.start, nodes[:, 1]] = np.arange(len(nodes))
-                at = trees.nodes_of(bins, level, chains)
-                at = np.where(at < slot.shape[1], slot[np.arange(len(slot))[:, None], np.minimum(at, slot.shape[1] - 1)], -1)
-                c, r = np.nonzero((at >= 0) & (weight > 0))
-                where = at[c, r]
-                picked = pick_features(seed, numbers[nodes[:, 0]], nodes[:, 1], features, k)
-                cell = ((where[:, None] * k + np.arange(k)) * MAX_BINS + bins[r[:, None], picked[where]]).ravel()
-                size = len(nodes) * k * MAX_BINS
-                both = np.stack([np.bincount(cell, np.repeat(v, k), size) for v in (weight[c, r], (weight * target)[c, r])], 1).astype(dtype)
+        plan, sums, held = {}, {}, {}
+        for q, nodes in of_key.items():
+            # a key's nodes are sorted by chain: a range of them for each
+            plan[q] = picked_of(q), [(int(c), *np.searchsorted(nodes[:, 0], [c, c + 1])) for c in np.unique(nodes[:, 0])]
+            held[q] = np.zeros((1 if whole else 2, k, len(nodes), MAX_BINS))
+
+        def decode():
+            for q, one in held.items():
+                target = np.floor(one[0] / APART)
+                both = np.stack([one[0] - target * APART, target]).astype(np.int64)
                 sums[q] = sums[q] + both if q in sums else both
-        return sums.items()
+                one[:] = 0
+        for number, block in enumerate(own, 1):
+            flat, width = block[0].ravel(), block[0].shape[1]
+            for q, (picked, ranges) in plan.items():
+                first = q * CHAINS_PER_KEY
+                weight, target = targets(block, slice(first, first + CHAINS_PER_KEY))
+                for c, a, b in ranges:
+                    r = np.flatnonzero(weight[c - first])
+                    base = r * width
+                    slot = np.full(2 << level, -1, np.int64)
+                    slot[of_key[q][a:b, 1]] = np.arange(b - a)
+                    at = slot.take(walk(feature[c - low].astype(np.int64), cuts[c - low], flat, base, level))
+                    if b - a < 1 << level and (closed := at < 0).any():
+                        r, base, at = (x[~closed] for x in (r, base, at))
+                    w, t = weight[c - first].take(r).astype(float), target[c - first].take(r)
+                    into, size, plain = held[q][:, :, a:b], (b - a) * MAX_BINS, not whole and bool((w == 1).all())
+                    t = w * t
+                    if whole:
+                        w = w + APART * t
+                    cell0 = at * MAX_BINS
+                    for j in range(k):
+                        cell = flat.take(base + (j if k == features else picked[a:b, j].take(at))) + cell0
+                        into[0, j] += np.bincount(cell, None if plain else w, size).reshape(-1, MAX_BINS)
+                        if not whole:
+                            into[1, j] += np.bincount(cell, t, size).reshape(-1, MAX_BINS)
+            if whole and number % BLOCKS_IN_ONE == 0:
+                decode()
+        if whole:
+            decode()
+        return [(q, _narrow(x)) for q, x in (sums if whole else held).items()]
 
     def cut(pair):
         q, sums = pair
-        nodes = of_key[q]
-        picked = pick_features(seed, numbers[nodes[:, 0]], nodes[:, 1], features, k)
-        return nodes, best_cuts(sums.reshape(len(nodes), k, MAX_BINS, 2), picked)
+        return of_key[q], best_cuts(sums.transpose(2, 1, 3, 0), picked_of(q))
     if isinstance(data, list):
         return [cut(pair) for pair in add_up(data)]
     parts = min(len(of_key), data.getNumPartitions())
-    return data.mapPartitions(add_up).reduceByKey(lambda a, b: a + b, parts).map(cut).collect()
+    return data.mapPartitions(add_up).reduceByKey(_added, parts).map(cut).collect()
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Integers of 0 or more in the smallest type that holds them; others as they are."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))) if x.dtype.kind in "iu" else x
+
+
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a + b if a.dtype.kind == "f" else _narrow(np.add(a, b, dtype=np.int64))
 
 
 def _take(trees: Trees, nodes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -246,18 +305,30 @@ def _take(trees: Trees, nodes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 # --- ensembles ----------------------------------------------------------------------
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.array([1, 1, 2, 6, 24, 120, 720, 5040], float))
+# The weight that the first 12 bits decide, 255 where they don't.
+_POISSON_OF = np.searchsorted(_POISSON, np.arange(4096) / 4096).astype(np.uint8)
+_POISSON_OF[(_POISSON * 4096).astype(int)] = 255
+_POISSON_OF[0] = 0
+
+
+def poisson(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) numbers of uniform 64-bit hashes."""
+    w = _POISSON_OF.take((u >> np.uint64(52)).astype(np.int64))
+    open_ = w == 255
+    w[open_] = np.searchsorted(_POISSON, (u[open_] >> np.uint64(11)) * 2.0 ** -53)
+    return w
 
 
 def forest(data: RDD, rows: int, trees: int, depth: int, folds: list[int], features: int, seed: int) -> tuple[Trees, np.ndarray]:
-    """(trees, folds of the chains): ``trees`` trees for every left-out fold (-1: none left out).
+    """(trees, folds of the chains): ``trees`` trees for every left-out fold (-1: none left out), a tree's folds side by side.
 
     A tree has bootstrap weights drawn from Poisson(1) by (row, tree) and sees
     the rounded-up square root of the features' number at each node.  A row's
     weight and a node's features don't depend on the number or depth of the trees, so
     the first 100 of 200 are a forest of 100, and trees of depth 10 cut off at
     depth 5 are trees of depth 5."""
-    fold = np.repeat(np.array(folds), trees)
-    number = np.tile(np.arange(trees), len(folds))
+    fold = np.tile(np.array(folds), trees)
+    number = np.repeat(np.arange(trees), len(folds))
     k = int(np.ceil(np.sqrt(features)))
 
     def some(own: Blocks, at: slice) -> Trees:
@@ -265,9 +336,10 @@ def forest(data: RDD, rows: int, trees: int, depth: int, folds: list[int], featu
 
         def targets(block, chains):
             _, y, f, ids = block
-            u = scatter(scatter(ids.view(np.uint64), seed)[None, :] + numbers[chains].astype(np.uint64)[:, None], seed + 1)
-            w = np.searchsorted(_POISSON, (u >> np.uint64(11)) * 2.0 ** -53)
-            return w * (f[None, :] != left_out[chains][:, None]), np.broadcast_to(y[None, :].astype(float), w.shape)
+            drawn, of = np.unique(numbers[chains], return_inverse=True)  # the folds of a tree share its weights
+            w = poisson(scatter(scatter(ids.view(np.uint64), seed)[None, :] + drawn.astype(np.uint64)[:, None], seed + 1))[of]
+            w[f[None, :] == left_out[chains][:, None]] = 0
+            return w, np.broadcast_to(y[None, :], w.shape)
         grown = Trees(len(left_out), depth)
         grow(own, grown, np.full(len(left_out), depth), numbers, features, k, seed, targets, np.int32)
         return grown
@@ -297,7 +369,7 @@ def residuals(y: np.ndarray, margin: np.ndarray) -> np.ndarray:
     return 4 * y / (1 + np.exp(np.clip(2 * y * margin, -700, 700)))
 
 
-#: Boosting rounds after which the margins are written; later rounds are applied to that copy.
+#: Boosting rounds after which the margins are written to the checkpoint folder; between them they are kept by the executors.
 ROUNDS_KEPT = 5
 
 
@@ -308,32 +380,35 @@ def boost(data: Blocks, keep: Callable, rounds: int, depths: np.ndarray, rates:
     The first tree is fitted to the labels -1 and 1, the others to the loss's
     negative gradient and scaled by the chain's rate; a leaf's value is the mean.
     Margins (chain, row) of all rows, those left out too, travel at the end of the
-    blocks.  Distributed blocks are written by ``keep`` every ``ROUNDS_KEPT``
-    rounds only, and the trees since are applied to that copy."""
+    blocks.  Distributed blocks are kept by the executors after every round and
+    written by ``keep`` every ``ROUNDS_KEPT`` rounds, from where a lost one is made again."""
     at, local = {rounds, *at}, isinstance(data, list)
 
     def each(blocks: Blocks, f: Callable) -> Blocks:
         return [f(b) for b in blocks] if local else blocks.map(f)
-    state, since, out, snapshots = each(data, lambda b: (*b, np.zeros((len(depths), len(b[1]))))), [], [], {}
+    state, before, out, snapshots = each(data, lambda b: (*b, np.zeros((len(depths), len(b[1]))))), None, [], {}
     for done in range(1, rounds + 1):
         grown = Trees(len(depths), int(depths.max()))
 
-        def targets(block, chains, later=tuple(since), first=done == 1):
-            y = block[1] * 2.0 - 1
-            margin = _margins(block, later, chains)
+        def targets(block, chains, first=done == 1):
+            y, margin = block[1] * 2.0 - 1, block[4][chains]
             r = np.broadcast_to(y, margin.shape) if first else residuals(y, margin)
-            return (block[2][None, :] != folds[chains][:, None]).astype(float), r
+            return block[2][None, :] != folds[chains][:, None], r
         grow(state, grown, depths, np.zeros(len(depths), int), features, features, seed, targets)
         grown.value *= (1.0 if done == 1 else rates[:, None])
         out.append(grown)
-        since.append(slim(grown))
+        if before is not None and not any(before is x for x in snapshots.values()):
+            before.unpersist()  # the round's jobs have read what was made of it
+        before = None if local else state
+        state = each(state, lambda b, last=slim(grown): (*b[:4], b[4] + np.stack(list(last.scores(b[0])))))
         if local or done % ROUNDS_KEPT == 0 or done in at:
-            old, state = state, keep(each(state, lambda b, later=tuple(since): (*b[:4], _margins(b, later, slice(None)))))
-            since = []
-            if not local and not any(old is x for x in snapshots.values()):
-                old.unpersist()
+            state = keep(state)
+        else:
+            state.persist(StorageLevel.MEMORY_AND_DISK)
         if done in at:
             snapshots[done] = state
+    if before is not None and not any(before is x for x in snapshots.values()):
+        before.unpersist()
     return out, snapshots
 
 
@@ -342,10 +417,3 @@ def slim(t: Trees) -> Trees:
     s = Trees(0, t.depth)
     s.feature, s.cut, s.value, s.gain, s.count = t.feature, t.cut, t.value, None, None
     return s
-
-
-def _margins(block, later, chains) -> np.ndarray:
-    m = block[4][chains].astype(float)
-    for t in later:
-        m = m + t.values_of(t.nodes_of(block[0], None, chains), chains)
-    return m

@@ -85,9 +85,19 @@ def fit_forest(df: DataFrame, features: list[str], label: str = "churn", trees:
     return PipelineModel([VectorAssembler(inputCols=features, outputCol="features"), TreeModel("rf", nodes)])
 
 
-def _scores(df: DataFrame, rows: RDD) -> DataFrame:
-    """(config, fold, y_true, y_prob) of validation rows."""
-    return df.sparkSession.createDataFrame(rows, "config int, fold int, y_true int, y_prob double")
+def _scores(df: DataFrame, parts: RDD) -> DataFrame:
+    """(config, fold, y_true, y_prob) of validation rows, given as (config, fold, labels, scores) of many rows each."""
+    import pandas as pd
+
+    packed = parts.map(lambda p: (p[0], p[1], p[2].astype(np.int8).tobytes(), p[3].astype(float).tobytes()))
+    frame = df.sparkSession.createDataFrame(packed, "config int, fold int, y binary, p binary", verifySchema=False)
+
+    def unpack(batches):
+        for b in batches:
+            for r in b.itertuples():
+                yield pd.DataFrame({"config": r.config, "fold": r.fold, "y_true": np.frombuffer(r.y, np.int8).astype(np.int32),
+                                    "y_prob": np.frombuffer(r.p, float)})
+    return frame.mapInPandas(unpack, "config int, fold int, y_true int, y_prob double")
 
 
 def _forests(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: list[int], edges: list[np.ndarray], seed: int):
@@ -99,18 +109,18 @@ def _forests(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: lis
         bins, y, f, _ = block
         for own in folds:
             at = np.flatnonzero(f == own)
-            chains = slice(own * trees, (own + 1) * trees)
             for d in sorted({p["maxDepth"] for p in params}) if len(at) else ():
-                node = sent.value.nodes_of(bins[at], d, chains)
-                running = np.cumsum(sent.value.values_of(node, chains), 0)
-                for i, p in enumerate(params):
-                    if p["maxDepth"] == d:
-                        yield from ((i, own, int(t), float(s)) for t, s in zip(y[at], running[p["numTrees"] - 1] / p["numTrees"]))
+                running = np.zeros(len(at))
+                for n, values in enumerate(sent.value.scores(bins[at], d, np.flatnonzero(fold == own)), 1):
+                    running += values
+                    for i, p in enumerate(params):
+                        if (p["maxDepth"], p["numTrees"]) == (d, n):
+                            yield i, own, y[at], running / n
 
     def model_of(i: int) -> list[tuple]:
         n, d = params[i]["numTrees"], params[i]["maxDepth"]
         return [row for t, c in enumerate(np.flatnonzero(fold == -1)[:n]) for row in _node_rows(grown, c, t, d, edges)]
-    return _scores(df, data.repartition(len(folds) + 1).flatMap(validate)), model_of, []
+    return _scores(df, data.flatMap(validate)), model_of, []
 
 
 def _boosted(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: list[int], edges: list[np.ndarray], seed: int):
@@ -120,13 +130,13 @@ def _boosted(df: DataFrame, data: RDD, rows: int, params: list[dict], folds: lis
     iterations, features = {p["maxIter"] for p in params}, len(edges)
 
     def validation(own: list[tuple], done: int, block):
-        """Rows (config, fold, y_true, y_prob) of the rows that the chains ``own`` left out."""
+        """(config, fold, labels, scores) of the rows that the chains ``own`` left out."""
         _, y, f, _, margin = block
         for c, (d, r, fold) in enumerate(own):
             at = np.flatnonzero(f == fold)
             for i, p in enumerate(params):
                 if (p["maxDepth"], p["stepSize"], p["maxIter"]) == (d, r, done):
-                    yield from ((i, fold, int(t), float(s)) for t, s in zip(y[at], margin[c, at]))
+                    yield i, fold, y[at], margin[c, at]
     if rows > growth.ROWS_AT_ONCE:
         rounds, after = growth.boost(data, lambda x: growth.kept(x, df), max(iterations), depths, rates, left_out, features, seed, iterations)
         found = [state.flatMap(lambda b, done=done: validation(chains, done, b)) for done, state in after.items()]

@@ -164,3 +164,39 @@ def test_auc_of_groups(spark):
     for g in range(5):
         assert got[g] == pytest.approx(roc_auc(df.where(F.col("g") == g)).first().roc_auc)
     assert got[9] is None
+
+
+def test_tasks_are_bounded_and_folds_share_draws(split, monkeypatch):
+    tr, _ = split
+    monkeypatch.setattr(growth, "BLOCK_ROWS", 100)
+    edges, rows = growth.bin_edges(tr, FEATURES)
+    data = growth.blocks(tr, FEATURES, "churn", edges, rows, "fold", "driver_id")
+    assert data.getNumPartitions() <= 2 * data.context.defaultParallelism < rows / 100  # each task returns sums of all nodes
+    own, drawn = data.collect(), []
+    poisson = growth.poisson
+    monkeypatch.setattr(growth, "poisson", lambda u: drawn.append(len(u)) or poisson(u))
+    monkeypatch.setattr(growth, "ROWS_AT_ONCE", 0)
+    growth.forest(own[:1], rows, 4, 1, [0, 1, 2, -1], len(edges), 1)
+    assert drawn == [4]  # one of 16 chains each before
+    data.unpersist()
+
+
+def test_poisson_numbers_of_hashes():
+    u = np.random.default_rng(5).integers(0, 2 ** 64, 200_000, dtype=np.uint64)
+    near = np.concatenate([(growth._POISSON[:7] * 2 ** 53).astype(np.uint64) + np.uint64(d) << np.uint64(11) for d in (0, 1, 2)])
+    for x in (u, near, np.array([0, 2 ** 64 - 1], np.uint64)):
+        assert (growth.poisson(x) == np.searchsorted(growth._POISSON, (x >> np.uint64(11)) * 2.0 ** -53)).all()
+
+
+def test_boosting_reads_margins_made_once_a_round(split, monkeypatch):
+    tr, _ = split
+    edges, rows = growth.bin_edges(tr, FEATURES)
+    data = growth.blocks(tr, FEATURES, "churn", edges, rows, "fold", "driver_id")
+    seen, grow = [], growth.grow
+    monkeypatch.setattr(growth, "grow", lambda state, *a, **k: seen.append(state.is_cached) or grow(state, *a, **k))
+    before = data.context._jsc.getPersistentRDDs().size()
+    _, after = growth.boost(data, lambda x: growth.kept(x, tr), 7, np.array([2]), np.array([.1]), np.array([-1]), len(edges), 1)
+    assert seen == [False] + [True] * 6  # later rounds applied all trees since the last written round at every level
+    assert data.context._jsc.getPersistentRDDs().size() == before + len(after) == before + 1
+    for rdd in (data, *after.values()):
+        rdd.unpersist()
