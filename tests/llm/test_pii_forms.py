@@ -94,3 +94,12 @@ def test_places_of_many_matches(spark):
     for r in rows:
         n = len(texts[r.doc_id].split())
         assert r.spans == ",".join(f"ip:{8 * k}:{8 * k + 7}" for k in range(n))
+
+
+def test_every_match_is_learnt_from(spark, monkeypatch):
+    rows = [(i, f"Write to u{i}@host{i % 7}.org or call +49 30 {1000000 + 7 * i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, examples = [], pii.examples
+    monkeypatch.setattr(pii, "examples", lambda found: seen.append({r.kind: r["count"] for r in found.groupBy("kind").count().collect()}) or examples(found))
+    model = pii.train(docs, rounds=1, depth=2)
+    assert [(x["email"], x["phone"]) for x in seen] == [(900, 900)] and len(model.trees) == 1  # about 400 of each before
